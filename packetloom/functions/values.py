@@ -33,3 +33,18 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
             c = c.cast("bigint")
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Decimal text with ``digits`` places, rounded from the exact binary value, ties to even."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", c.cast("double"), F.lit(pattern))
+
+
+def number(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def text(*parts) -> Column:
+    """Concatenate literals and columns; Python strings are literals."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])

@@ -1,10 +1,138 @@
-"""Explanation texts, prompts, provider hook, chat history and suggested questions."""
+"""Explanation texts, prompts, text-model hook, chat history and suggested questions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions.packet import endpoint
+from packetloom.functions.values import fixed, number, text
+from packetloom.operators.flows import TCP_FAMILY
+
+Complete = Callable[[list[str]], list[str]]
+
+
+def mock_complete(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a text model."""
+    return ["Mock LLM explanation: Normal network traffic detected."] * len(prompts)
+
+
+PROVIDERS: dict[str, Complete] = {"mock": mock_complete}
+
+
+def register_provider(name: str, complete: Complete) -> None:
+    PROVIDERS[name] = complete
+
+
+def provider(name: str = "mock") -> Complete:
+    if name not in PROVIDERS:
+        raise ValueError(f"Unknown LLM provider: {name!r}")
+    return PROVIDERS[name]
+
+
+def healthy(name: str = "mock") -> bool:
+    """A provider is healthy when it answers a short prompt."""
+    try:
+        return len(provider(name)(["ping"])) == 1
+    except Exception:
+        return False
+
+
+def template() -> Column:
+    """Text used when no model answers; expects flow columns joined with anomaly columns."""
+    score = fixed(F.coalesce("ensemble_score", F.lit(0.0)), 2)
+    seconds = fixed(F.coalesce("duration_seconds", F.lit(0.0)), 1)
+    counts = text(number("packet_count"), " packets, ", number("byte_count"), " bytes ")
+    flagged = text("Anomalous ", F.col("protocol"), " flow detected (type: ", F.coalesce("anomaly_type", F.lit("unknown")),
+                   ", score: ", score, "). ", counts, "from ", F.col("src_ip"), " to ", F.col("dst_ip"), ".")
+    normal = text("Normal ", F.col("protocol"), " traffic from ", F.col("src_ip"), " to ", F.col("dst_ip"), ". ",
+                  counts, "over ", seconds, "s.")
+    return F.when(F.coalesce("is_anomaly", F.lit(False)), flagged).otherwise(normal)
+
+
+def flow_prompts(flows: DataFrame) -> DataFrame:
+    """Prompt per flow: rounded statistics and the detector result as indented JSON."""
+    port = lambda ip, p: endpoint(ip, F.when(F.col(p) != 0, F.col(p)), "*")
+    rate = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), n).alias(c)
+    flags = F.struct(*[F.col(f"tcp_{f.lower()}_count").alias(f) for f in ("SYN", "FIN", "RST", "ACK", "PSH")])
+    summary = F.struct(
+        "flow_id", port("src_ip", "src_port").alias("src"), port("dst_ip", "dst_port").alias("dst"), "protocol",
+        "packet_count", "byte_count", rate("duration_seconds", 3), rate("avg_packet_size", 1),
+        rate("packets_per_second", 2), rate("bytes_per_second", 2), flags.alias("tcp_flags"))
+    result = F.when(F.col("is_anomaly").isNotNull(), F.to_json(
+        F.struct("is_anomaly", "anomaly_type", "ensemble_score", "severity"), {"pretty": "true", "ignoreNullFields": "false"})
+    ).otherwise(F.to_json(F.struct(F.lit(False).alias("is_anomaly")), {"pretty": "true"}))
+    prompt = text("Network flow statistics:\n", F.to_json(summary, {"pretty": "true"}),
+                  "\n\nAnomaly detection result:\n", result, "\n\nExplain this network flow in plain English.")
+    return flows.withColumn("prompt", prompt)
+
+
+def explain_flows(flows: DataFrame, complete: Complete | None = None) -> DataFrame:
+    """``explanation`` per flow row; without a model, or where it fails, the template is used.
+
+    ``flows`` carries the anomaly columns (null where a flow has none).
+    """
+    if complete is None:
+        return flows.withColumn("explanation", template())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for prompt in frame["prompt"]:
+                try:
+                    out.append(complete([prompt])[0])
+                except Exception:
+                    out.append(None)
+            frame["explanation"] = out
+            yield frame
+
+    asked = flow_prompts(flows).withColumn("_template", template())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
+    return (
+        asked.mapInPandas(run, f"{schema}, explanation string")
+        .withColumn("explanation", F.coalesce("explanation", "_template")).drop("prompt", "_template")
+    )
+
+
+def fill_explanations(anomalies: DataFrame, explained: DataFrame, keys: list[str]) -> DataFrame:
+    """Write new texts only where an anomaly row has none."""
+    new = explained.select(*keys, F.col("explanation").alias("_new"))
+    kept = F.when(F.coalesce("explanation", F.lit("")) != "", F.col("explanation")).otherwise(F.col("_new"))
+    return anomalies.join(new, keys, "left").withColumn("explanation", kept).drop("_new")
+
+
+def suggested_questions(captures: DataFrame) -> DataFrame:
+    """Up to ten questions per capture.
+
+    ``captures``: capture_id, total_anomalies, dns_query_count, http_request_count, protocols
+    (array) and anomaly_types (array).
+    """
+    def when(condition: Column, *questions: str) -> list[Column]:
+        return [F.when(condition, F.lit(q)) for q in questions]
+
+    seen = lambda kind: F.array_contains("anomaly_types", kind)
+    always = F.lit(True)
+    options = [
+        *when(always, "Give me a high-level summary of what happened in this capture.",
+              "Which hosts transferred the most data?"),
+        *when(F.col("total_anomalies") > 0, "Were any anomalies detected? What types and how severe?",
+              "Which flows were flagged as suspicious and why?"),
+        *when(F.col("dns_query_count") > 0, "What DNS queries were made? Were any domains unusual?"),
+        *when(F.arrays_overlap("protocols", F.array(*[F.lit(p) for p in TCP_FAMILY])),
+              "Were there any TCP handshake failures or connection issues?",
+              "Explain the TCP connection patterns in this capture."),
+        *when(seen("port_scan"), "Was there a port scan? Which host performed it and what ports were probed?"),
+        *when(seen("dns_spike"), "There seems to be a DNS spike — what caused it?"),
+        *when(seen("data_exfiltration"), "Is there evidence of data exfiltration in this capture?"),
+        *when(F.col("http_request_count") > 0, "What HTTP hosts and endpoints were accessed?"),
+        *when(always, "Which protocols were used and in what proportion?",
+              "Were there any signs of retransmissions or packet loss?"),
+    ]
+    return captures.select("capture_id", F.slice(F.array_compact(F.array(*options)), 1, 10).alias("questions"))
+
 
 def chat_history(messages: DataFrame) -> DataFrame:
     """Messages of every session in order, with their index."""

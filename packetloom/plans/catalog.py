@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.dissect import dissect
 from packetloom.functions.packet import flow_key, has_flag, protocol_label
-from packetloom.functions.values import plain
+from packetloom.functions.values import fixed, plain
 from packetloom.operators import anomalies as A
+from packetloom.operators import chunks as C
+from packetloom.operators import context as CX
+from packetloom.operators import dense as DN
+from packetloom.operators import explain as E
 from packetloom.operators import filters as P
 from packetloom.operators import flows as FL
+from packetloom.operators import reports as R
 from packetloom.operators import segments as SG
+from packetloom.operators import sparse as SP
 from packetloom.operators import stats as S
 from packetloom.plans import fixtures as X
-from packetloom.session import use_utc
+from packetloom.runtime import materialize
+from packetloom.session import prepare
 from packetloom.sources.frame_fixture import frames_from_packets
 from packetloom.sources.tables import EPOCH_2024_US, packets, read_table
 
@@ -30,7 +37,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Query:
 
     @wraps(fn)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(fn(use_utc(spark), folder))
+        return plain(fn(prepare(spark), folder))
 
     QUERIES[fn.__name__] = run
     return run
@@ -264,9 +271,6 @@ def flows_page(spark, folder):
                   ["flow_id", "first_packet_id"], limit=500, offset=20)
 
 
-LOOKUP_KEY = F.md5
-
-
 @query
 def flow_lookup(spark, folder):
     # The flow key is a filter on the packets already, so one flow is aggregated, not all of them.
@@ -387,8 +391,159 @@ def session_rollup(spark, folder):
 
 @query
 def chat_history(spark, folder):
-    from packetloom.operators.explain import chat_history as history
-
     messages = read_table(spark, folder, "conversations").select(
         F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
-    return history(messages)
+    return E.chat_history(messages)
+
+
+# ---- reports
+
+@query
+def report_summary(spark, folder):
+    p, f, a = R.restrict(packets(spark, folder), capture_flows(spark, folder), anomaly_table(spark, folder), at_second(60))
+    return R.report_summary(p, f, a)
+
+
+@query
+def top_anomalies(spark, folder):
+    return R.top_anomalies(anomaly_table(spark, folder))
+
+
+@query
+def json_report_parts(spark, folder):
+    return R.json_parts(packets(spark, folder), capture_flows(spark, folder), anomaly_table(spark, folder))
+
+
+# ---- text chunks and retrieval
+
+def chunk_table(spark, folder, persist=True):
+    """Chunks of all captures; inputs that feed several families are written once."""
+    p = materialize(packets(spark, folder), "packets")
+    s = materialize(X.scored_flows(FL.capture_flows(p)), "scored")
+    chunks = C.build_chunks(p, s, min_ports=2)
+    return p, s, materialize(chunks, "chunks") if persist else chunks
+
+
+@query
+def chunks_text(spark, folder):
+    return chunk_table(spark, folder, persist=False)[2].drop("metadata")
+
+
+@query
+def chunk_counts(spark, folder):
+    return C.chunk_counts(chunk_table(spark, folder, persist=False)[2])
+
+
+def capture_facts(p: DataFrame, s: DataFrame) -> DataFrame:
+    """Inputs of the question rules, one row per capture."""
+    traffic = p.groupBy("capture_id").agg(
+        F.collect_set("protocol").alias("protocols"), F.count("http_host").alias("http_request_count"),
+        F.count("dns_query").alias("dns_query_count"))
+    found = s.groupBy("capture_id").agg(
+        F.count_if("is_anomaly").alias("total_anomalies"),
+        F.collect_set(F.when(F.col("is_anomaly"), F.col("anomaly_type"))).alias("anomaly_types"))
+    return traffic.join(found, "capture_id")
+
+
+def question_table(p: DataFrame, s: DataFrame) -> DataFrame:
+    return E.suggested_questions(capture_facts(p, s)).select(
+        "capture_id", F.posexplode("questions").alias("_pos", "question")).select(
+        "capture_id", (F.col("_pos") + 1).cast("bigint").alias("question_id"), "question")
+
+
+@query
+def suggested_questions(spark, folder):
+    return question_table(packets(spark, folder), scored(spark, folder)).withColumnRenamed("question_id", "question_no")
+
+
+@query
+def tfidf_terms(spark, folder):
+    postings, _ = SP.build_index(read_table(spark, folder, "documents"), "doc_id", "text", keep_tf=True)
+    return plain(postings.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.sum("weight").alias("weight_sum"),
+        F.max("weight").alias("top_weight")), 4)
+
+
+@query
+def tfidf_topk(spark, folder):
+    postings, idf = SP.build_index(read_table(spark, folder, "documents"), "doc_id", "text")
+    vectors = SP.query_vectors(read_table(spark, folder, "benchmark"), idf, "item_id", "text")
+    return SP.retrieve(postings, vectors, "doc_id", "item_id")
+
+
+def retrieval(spark, folder):
+    """Suggested questions answered from their capture's chunks, summary chunk always included."""
+    p, s, chunks = chunk_table(spark, folder)
+    questions = question_table(p, s)
+    postings, idf = SP.build_index(chunks, "chunk_id", "content", scope=["capture_id"])
+    vectors = SP.query_vectors(questions, idf, "question_id", "question", scope=["capture_id"])
+    hits = SP.retrieve(postings, vectors, "chunk_id", "question_id", scope=["capture_id"])
+    merged = CX.with_summary(hits, questions, chunks, "question_id")
+    return p, s, questions, merged.join(chunks, ["capture_id", "chunk_id"])
+
+
+ANSWER_KEYS = ["capture_id", "question_id"]
+
+
+@query
+def chat_retrieval(spark, folder):
+    return retrieval(spark, folder)[3].select(*ANSWER_KEYS, "chunk_id", "score", "rank", "category")
+
+
+@query
+def context_budget(spark, folder):
+    # A small budget, so that the cut is reached on the driver tables.
+    return CX.pack_context(retrieval(spark, folder)[3], ANSWER_KEYS, max_chars=700)
+
+
+@query
+def source_list(spark, folder):
+    line = lambda x: F.concat_ws("|", x["category"], x["content"], fixed(x["score"], 4))
+    listed = CX.source_list(retrieval(spark, folder)[3], ANSWER_KEYS, shown=4)
+    return listed.withColumn("sources", F.array_join(F.transform("sources", line), "\n"))
+
+
+@query
+def answers_batch(spark, folder):
+    p, s, questions, ranked = retrieval(spark, folder)
+    captures = S.capture_summary(p, s, s).withColumn("filename", F.col("capture_id"))
+    prompts = CX.build_prompts(questions, CX.pack_context(ranked, ANSWER_KEYS), captures, "question_id")
+    return CX.answer(prompts, ranked, ANSWER_KEYS, E.provider("mock"))
+
+
+@query
+def dense_normalise(spark, folder):
+    u = DN.normalise(read_table(spark, folder, "embeddings"), "embedding")
+    return u.select("vec_id", F.size("embedding").alias("dims"),
+                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("length_sq"),
+                    F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"))
+
+
+@query
+def dense_topk(spark, folder):
+    """Nearest vectors to the centre of every label."""
+    unit = DN.normalise(read_table(spark, folder, "embeddings"), "embedding")
+    parts = unit.select(F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy("label", "pos").agg(F.avg("x").alias("m"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
+    centres = means.groupBy("label").agg(F.transform(ordered, lambda e: e["m"]).alias("embedding"))
+    return DN.retrieve(unit, DN.normalise(centres, "embedding"), "vec_id", "label", "embedding")
+
+
+# ---- explanations
+
+@query
+def explanation_template(spark, folder):
+    return E.explain_flows(scored(spark, folder)).select("capture_id", "flow_id", "explanation")
+
+
+@query
+def explanations_fill(spark, folder):
+    explained = E.explain_flows(scored(spark, folder))
+    return E.fill_explanations(anomaly_table(spark, folder), explained, ["capture_id", "flow_id"]).select(
+        "anomaly_id", "explanation")
+
+
+@query
+def flow_prompts(spark, folder):
+    return E.flow_prompts(scored(spark, folder)).select("capture_id", "flow_id", "prompt")
