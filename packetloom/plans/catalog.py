@@ -12,21 +12,27 @@ from packetloom.functions.dissect import dissect
 from packetloom.functions.packet import flow_key, has_flag, protocol_label
 from packetloom.functions.values import fixed, plain
 from packetloom.operators import anomalies as A
+from packetloom.operators import autoencoder as AE
 from packetloom.operators import chunks as C
 from packetloom.operators import context as CX
 from packetloom.operators import dense as DN
+from packetloom.operators import detect as D
 from packetloom.operators import explain as E
 from packetloom.operators import filters as P
 from packetloom.operators import flows as FL
+from packetloom.operators import forest as FO
 from packetloom.operators import reports as R
 from packetloom.operators import segments as SG
 from packetloom.operators import sparse as SP
 from packetloom.operators import stats as S
 from packetloom.plans import fixtures as X
-from packetloom.runtime import materialize
+from packetloom.runtime import materialize, scratch_path
 from packetloom.session import prepare
-from packetloom.sources.frame_fixture import frames_from_packets
-from packetloom.sources.tables import EPOCH_2024_US, packets, read_table
+from packetloom.sources import capture_files as CF
+from packetloom.sources.frame_fixture import frames_from_packets, write_captures
+from packetloom.sources.tables import EPOCH_2024_US, packets, packets_from_events, read_table
+from packetloom.streaming import feeds as FD
+from packetloom.streaming import flows as SF
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -547,3 +553,100 @@ def explanations_fill(spark, folder):
 @query
 def flow_prompts(spark, folder):
     return E.flow_prompts(scored(spark, folder)).select("capture_id", "flow_id", "prompt")
+
+
+# ---- detectors
+
+@query
+def iforest_scores(spark, folder):
+    features = A.feature_vector(materialize(capture_flows(spark, folder), "flows"))
+    scaled = A.apply_scaler(features, A.fit_scaler(features))
+    forest = FO.fit_forest(scaled, ["capture_id", "flow_id"])
+    return FO.score_forest(scaled, forest).select("capture_id", "flow_id", "raw_score", "score", "is_anomaly")
+
+
+@query
+def autoencoder_scores(spark, folder):
+    features = A.feature_vector(materialize(capture_flows(spark, folder), "flows"))
+    scaled = A.apply_scaler(features, A.fit_scaler(features))
+    model = AE.fit_autoencoder(scaled, partitions=4, ids=["capture_id", "flow_id"])
+    return AE.score_autoencoder(scaled, model, ["capture_id"]).select(
+        "capture_id", "flow_id", "reconstruction_error", "score", "is_anomaly")
+
+
+@query
+def detector_pipeline(spark, folder):
+    """Train on all flows, store the models, load them again and score."""
+    flows = materialize(capture_flows(spark, folder), "flows")
+    models = D.train(flows, trees=50, epochs=10, partitions=4)
+    path = scratch_path(spark, "models")
+    D.save_models(spark, models, path)
+    return D.analyse(flows, D.load_models(spark, path)).select(
+        "capture_id", "flow_id", "if_score", "ae_score", "ensemble_score", "is_anomaly", "anomaly_type", "severity")
+
+
+# ---- capture files
+
+@query
+def pcap_scan(spark, folder):
+    """Write the packets as capture files, scan the files, dissect the frames."""
+    path = scratch_path(spark, "captures")
+    write_captures(frames_from_packets(packets(spark, folder)), path).collect()
+    scanned = dissect(CF.scan_captures(spark, path))
+    return scanned.withColumn("capture_id", F.regexp_extract("capture_id", r"([^/]+)\.pcap$", 1))
+
+
+@query
+def capture_files(spark, folder):
+    """Status of every landed file: admitted, readable, with packets."""
+    path = scratch_path(spark, "captures")
+    write_captures(frames_from_packets(packets(spark, folder)), path).collect()
+    frames = CF.scan_captures(spark, path)
+    status = CF.capture_status(spark, path, frames, dissect(frames))
+    return status.withColumn("capture_id", F.regexp_extract("capture_id", r"([^/]+)\.pcap$", 1))
+
+
+# ---- streams
+
+def packet_stream(spark, folder):
+    schema = read_table(spark, folder, "events").schema
+    return packets_from_events(FD.stream_table(spark, folder, schema, "events.parquet"))
+
+
+def run_to_table(spark, stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream over everything that is there and return what it wrote."""
+    path = scratch_path(spark, label)
+    FD.write_batches(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return FD.read_batches(spark, f"{path}/rows", stream.schema)
+
+
+@query
+def live_flows_stream(spark, folder):
+    return run_to_table(spark, SF.live_flow_stream(packet_stream(spark, folder)), "live-flows")
+
+
+@query
+def protocol_minutes_stream(spark, folder):
+    return run_to_table(spark, FD.protocol_minutes(packet_stream(spark, folder)), "minutes")
+
+
+@query
+def packet_feed_stream(spark, folder):
+    return run_to_table(spark, FD.packet_feed(packet_stream(spark, folder)), "feed")
+
+
+@query
+def anomaly_feed_stream(spark, folder):
+    """Closed flows of the stream, scored with models trained on the finished captures."""
+    flows = materialize(capture_flows(spark, folder), "flows")
+    models = D.train(flows, trees=50, epochs=10, partitions=4)
+    closed = SF.live_flow_stream(packet_stream(spark, folder))
+    return run_to_table(spark, FD.anomaly_feed(FD.score_stream(closed, models)), "alerts")
+
+
+@query
+def session_windows_stream(spark, folder):
+    schema = read_table(spark, folder, "events").schema
+    messages = FD.stream_table(spark, folder, schema, "events.parquet").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"))
+    return run_to_table(spark, FD.session_activity(messages), "sessions")

@@ -372,5 +372,32 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id,
     q["session_rollup"] = """
       SELECT conv_id AS session_id, count(*) AS message_count, max(turn) AS last_active_at FROM conversations GROUP BY 1"""
 
+    # ---- capture files: one file per capture and block of 20,000 ids, numbered from 0 in each file
+    files = PACKETS + """,
+filed AS (SELECT * REPLACE (capture_id || '-' || CAST(packet_id // 20000 AS VARCHAR) AS capture_id,
+    row_number() OVER (PARTITION BY capture_id, packet_id // 20000 ORDER BY packet_id) - 1 AS packet_id) FROM packets)"""
+    q["pcap_scan"] = _with(files, f"SELECT {PACKET_OUT} FROM filed")
+    q["capture_files"] = _with(files, """
+      SELECT capture_id, CAST(24 + sum(length + 16) AS BIGINT) AS length, count(*) AS packets, CAST(NULL AS VARCHAR) AS error FROM filed GROUP BY 1""")
+
+    # ---- streams: what is closed once the watermark stands 30 s behind the last packet
+    wm = "((SELECT max(us) FROM packets) // 1000 - 30000) * 1000"
+    q["live_flows_stream"] = _with(LIVE_FLOWS + f""",
+emitted AS (SELECT * EXCLUDE (is_active, close_reason), false AS is_active, CASE WHEN closed THEN 'teardown' ELSE 'timeout' END AS close_reason
+  FROM live WHERE (closed AND end_time <= {wm}) OR {wm} - end_time > 120000000)""", f"SELECT {FLOW_OUT} FROM emitted")
+    q["protocol_minutes_stream"] = _with(PACKETS, f"""
+      SELECT us // 60000000 * 60000000 AS minute, protocol, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets
+      WHERE us // 60000000 * 60000000 + 60000000 <= {wm} GROUP BY 1, 2""")
+    q["packet_feed_stream"] = _with(PACKETS, """
+      SELECT CAST(to_json({'type': 'packet', 'data': {'timestamp': strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00',
+        'src_ip': src_ip, 'dst_ip': dst_ip, 'src_port': src_port, 'dst_port': dst_port, 'protocol': protocol, 'length': length,
+        'tcp_flags': tcp_flags, 'flow_id': flow_id, 'dns_query': dns_query, 'http_host': http_host}}) AS VARCHAR) AS value FROM packets""")
+    q["session_windows_stream"] = """
+      WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events),
+      l AS (SELECT *, row_number() OVER w AS rn, lag(us) OVER w AS p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+      s AS (SELECT *, sum(CASE WHEN rn = 1 OR us - p > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS seg FROM l)
+      SELECT user_id AS session_id, min(us) AS started_at, max(us) + 3600000000 AS expires_at, count(*) AS message_count FROM s GROUP BY user_id, seg
+      HAVING max(us) + 3600000000 <= ((SELECT max(us) FROM e) // 1000 - 3600000) * 1000"""
+
     q.update(oracle_text.text_sql())
     return q
