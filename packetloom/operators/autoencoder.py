@@ -142,7 +142,8 @@ def _errors(features: DataFrame, model: Autoencoder) -> DataFrame:
         weights, sizes = shared.value
         return pd.Series(errors_of(columns.to_numpy(dtype=np.float64), weights, sizes))
 
-    return features.withColumn("_e", error(F.struct(*FEATURES)))
+    # Marked nondeterministic so that no filter on the error is pushed below it and computed twice.
+    return features.withColumn("_e", error.asNondeterministic()(F.struct(*FEATURES)))
 
 
 def score_autoencoder(features: DataFrame, model: Autoencoder | None, scope: list[str] | None = None) -> DataFrame:

@@ -135,7 +135,8 @@ def _scores(features: DataFrame, forest: Forest) -> DataFrame:
             total += depth + rest[at]
         return pd.Series(np.exp2(-total / max(1, len(trees)) / scale) if scale > 0 else np.full(len(x), 0.5))
 
-    return features.withColumn("_s", score(F.struct(*FEATURES)))
+    # Marked nondeterministic so that no filter on the score is pushed below it and scored twice.
+    return features.withColumn("_s", score.asNondeterministic()(F.struct(*FEATURES)))
 
 
 def score_forest(features: DataFrame, forest: Forest | None) -> DataFrame:
