@@ -22,11 +22,11 @@ QUERY_BLOCK_VALUES = 8_000_000  # floats of one query block, 64 MB
 
 def normalise(vectors: DataFrame, column: str) -> DataFrame:
     """Unit-length vectors; a zero vector stays as it is."""
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    scale = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return vectors.withColumn("_scale", scale).withColumn(
-        column, F.transform(F.col(column), lambda x: x.cast("double") / F.col("_scale"))).drop("_scale")
+    norm = F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # Bound as a lambda variable, the norm is computed once per row and not once per element.
+    scaled = F.transform(F.array(F.when(norm == 0, F.lit(1.0)).otherwise(norm)),
+                         lambda n: F.transform(F.col(column), lambda x: x.cast("double") / n))
+    return vectors.withColumn(column, F.element_at(scaled, 1))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

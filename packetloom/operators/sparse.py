@@ -26,8 +26,7 @@ def english_stop_words() -> list[str]:
 def terms(content: Column, stop_words: list[str]) -> Column:
     """Lower-cased words of two or more word characters without stop words, then adjacent pairs."""
     words = F.regexp_extract_all(F.lower(content), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(words, lambda w: ~F.array_contains(stops, w)) if stop_words else words
+    return F.filter(words, lambda w: ~w.isin(stop_words)) if stop_words else words
 
 
 def _with_terms(docs: DataFrame, text_col: str, stop_words: list[str]) -> DataFrame:
@@ -45,7 +44,9 @@ def term_counts(docs: DataFrame, doc_id: str, text_col: str, stop_words: list[st
     placed = docs.select(*scope, doc_id, text_col).repartition(*scope, doc_id)
     return (
         _with_terms(placed, text_col, stop_words)
-        .select(*scope, doc_id, F.explode("_terms").alias("term"))
+        # The outer form keeps Spark from testing for empty lists, and so cutting the tokens, below the exchange.
+        .select(*scope, doc_id, F.explode_outer("_terms").alias("term"))
+        .where("term is not null")
         .groupBy(*scope, doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 

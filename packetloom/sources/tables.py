@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.packet import flow_key
+from packetloom.runtime import spread
 from packetloom.schemas import PACKET_COLUMNS
 
 EPOCH_2024_US = 1_704_067_200_000_000
@@ -114,4 +115,4 @@ def http_request_text() -> Column:
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
-    return packets_from_events(read_table(spark, folder, "events"))
+    return packets_from_events(spread(read_table(spark, folder, "events")))
