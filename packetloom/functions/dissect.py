@@ -116,7 +116,7 @@ def dissect(frames: DataFrame) -> DataFrame:
                     .when(twice, 23).when(tagged, 19).otherwise(15))
         .withColumn("_ethertype", F.when(link.isin(LINK_RAW_IP), F.lit(IPV4)).otherwise(_uint(F.col("_l3") - 2, 2)))
         .withColumn("_arp", (F.col("_ethertype") == ARP) & (F.col("caplen") >= F.col("_l3") + 27))
-        .where((F.col("_arp")) | ((F.col("_ethertype") == IPV4) & (F.col("caplen") >= F.col("_l3") + 19)))
+        .withColumn("_keep", F.col("_arp") | ((F.col("_ethertype") == IPV4) & (F.col("caplen") >= F.col("_l3") + 19)))
     )
     l3 = F.col("_l3")
     is_arp, is_ip = F.col("_arp"), ~F.col("_arp")
@@ -142,7 +142,10 @@ def dissect(frames: DataFrame) -> DataFrame:
                      F.substring(F.col("raw"), l4 + 8, F.col("caplen")))
     text = F.when(tcp & either(HTTP_PORTS), F.make_valid_utf8(F.col("_payload").cast("string")))
     parsed = (
-        ports.withColumns({"_dns": dns_fields(message), "_text": text})
+        # Nondeterministic for the planner: the filter below must not be moved to the scan, where the
+        # header fields would all be cut out a second time to evaluate it.
+        ports.withColumns({"_dns": dns_fields.asNondeterministic()(message), "_text": text})
+        .where("_keep")
         .withColumn("_request", F.coalesce(F.col("_text").rlike(_REQUEST), F.lit(False)))
     )
     request = F.col("_request")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,8 @@ from packetloom.runtime import materialize, scratch_path
 from packetloom.session import prepare
 from packetloom.sources import capture_files as CF
 from packetloom.sources.frame_fixture import frames_from_packets, write_captures
-from packetloom.sources.tables import EPOCH_2024_US, packets, packets_from_events, read_table
+from packetloom.sources.tables import EPOCH_2024_US, packets_from_events, read_table
+from packetloom.sources.tables import packets as build_packets
 from packetloom.streaming import feeds as FD
 from packetloom.streaming import flows as SF
 
@@ -49,6 +50,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Query:
     return run
 
 
+# Plans, not data: the same lazy DataFrame serves every use within and across queries.
+
+@lru_cache(maxsize=16)
+def packets(spark, folder):
+    return build_packets(spark, folder)
+
+
+@lru_cache(maxsize=16)
 def capture_flows(spark, folder):
     return FL.capture_flows(packets(spark, folder))
 
@@ -60,10 +69,12 @@ def live_flows(spark, folder):
     return FL.close_at(FL.live_flows(p), now)
 
 
+@lru_cache(maxsize=16)
 def scored(spark, folder):
     return X.scored_flows(capture_flows(spark, folder))
 
 
+@lru_cache(maxsize=16)
 def anomaly_table(spark, folder):
     return X.anomaly_table(scored(spark, folder))
 
@@ -90,7 +101,8 @@ QUERIES["packets"] = QUERIES.pop("all_packets")
 
 @query
 def dissect_frames(spark, folder):
-    return dissect(frames_from_packets(packets(spark, folder)))
+    # Written first: real frames come from a scan, not from an expression to be repeated per field.
+    return dissect(materialize(frames_from_packets(packets(spark, folder)), "frames"))
 
 
 QUERIES["dissect"] = QUERIES.pop("dissect_frames")
