@@ -3,6 +3,8 @@
 Packets wait in the state of their flow until the watermark has passed them, because only then is
 their order final. What has passed is folded into one open accumulator; FIN/RST or an idle gap
 closes it. State per flow is therefore one accumulator plus the packets of the watermark delay.
+The stateful step sees five narrow columns; addresses travel as one JSON text that is only
+taken apart again, in the JVM, for closed flows.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,92 +24,72 @@ from packetloom.schemas import FLOW_COLUMNS
 WATERMARK = "30 seconds"
 
 _HEAD = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
-_FLAGS = [f"tcp_{f.lower()}_count" for f in COUNTED_FLAGS]
-_ROW = ["us", "packet_id", "length", "closes", *_FLAGS, *_HEAD]
-_OUT_DDL = (
-    "capture_id string, flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, "
-    "first_packet_id bigint, first_us bigint, last_us bigint, packet_count bigint, byte_count bigint, "
-    "min_packet_size int, max_packet_size int, tcp_syn_count bigint, tcp_fin_count bigint, tcp_rst_count bigint, "
-    "tcp_ack_count bigint, tcp_psh_count bigint, close_reason string"
-)
-_OUT = [c.split()[0] for c in _OUT_DDL.split(", ")]
-_SUMS = ["packet_count", "byte_count", *_FLAGS]
-
-
-def _summaries(rows: pd.DataFrame, gap_us: int) -> list[dict]:
-    """Segments of ordered rows, oldest first; ``closed`` tells whether a teardown ended one."""
-    us = rows["us"].to_numpy()
-    closes = rows["closes"].to_numpy(dtype=bool)
-    opens = np.flatnonzero(np.concatenate([[True], closes[:-1] | (np.diff(us) > gap_us)]))
-    last = np.concatenate([opens[1:], [len(us)]]) - 1
-    size = rows["length"].to_numpy(dtype=np.int64)
-    columns = {
-        "first_us": us[opens], "last_us": us[last], "packet_count": last - opens + 1,
-        "byte_count": np.add.reduceat(size, opens), "min_packet_size": np.minimum.reduceat(size, opens),
-        "max_packet_size": np.maximum.reduceat(size, opens), "first_packet_id": rows["packet_id"].to_numpy()[opens],
-        **{f: np.add.reduceat(rows[f].to_numpy(dtype=np.int64), opens) for f in _FLAGS},
-    }
-    heads = rows[_HEAD].iloc[opens].astype(object)
-    heads = heads.where(heads.notna(), None).to_dict("records")
-    return [
-        {**{n: int(v[i]) for n, v in columns.items()}, **heads[i], "closed": bool(closes[last[i]])}
-        for i in range(len(opens))
-    ]
-
-
-def _extend(open_flow: dict, more: dict) -> dict:
-    joined = {**open_flow, **{n: open_flow[n] + more[n] for n in _SUMS}}
-    joined["min_packet_size"] = min(open_flow["min_packet_size"], more["min_packet_size"])
-    joined["max_packet_size"] = max(open_flow["max_packet_size"], more["max_packet_size"])
-    joined["last_us"], joined["closed"] = more["last_us"], more["closed"]
-    return joined
+_HEAD_DDL = "src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
+_CLOSES = 1 << len(COUNTED_FLAGS)
+_ROW = ["us", "packet_id", "length", "marks", "head"]
+_NUMBERS = ["first_us", "last_us", "first_packet_id", "packet_count", "byte_count", "min_packet_size", "max_packet_size",
+            *[f"tcp_{f.lower()}_count" for f in COUNTED_FLAGS]]
+_OUT_DDL = ("capture_id string, flow_id string, head string, teardown boolean, "
+            + ", ".join(f"{n} bigint" for n in _NUMBERS))
+
+
+def _opened(row: tuple) -> dict:
+    us, packet_id, length, marks, head = row
+    counts = {n: marks >> i & 1 for i, n in enumerate(_NUMBERS[7:])}
+    return {"first_us": us, "last_us": us, "first_packet_id": packet_id, "packet_count": 1, "byte_count": length,
+            "min_packet_size": length, "max_packet_size": length, **counts, "teardown": marks >= _CLOSES, "head": head}
+
+
+def _extend(flow: dict, row: tuple) -> None:
+    us, _, length, marks, _ = row
+    flow["last_us"] = us
+    flow["packet_count"] += 1
+    flow["byte_count"] += length
+    flow["min_packet_size"] = min(flow["min_packet_size"], length)
+    flow["max_packet_size"] = max(flow["max_packet_size"], length)
+    for i, n in enumerate(_NUMBERS[7:]):
+        flow[n] += marks >> i & 1
+    flow["teardown"] = marks >= _CLOSES
 
 
 def _step(gap_us: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_flow, held = None, []
-        if state.exists:
-            saved = json.loads(state.get[0])
-            open_flow, held = saved["open"], saved["held"]
+        flow, rows = json.loads(state.get[0]) if state.exists else (None, [])
+        for frame in frames:
+            rows.extend(zip(*(frame[c].tolist() for c in _ROW)))
+        rows.sort(key=lambda r: (r[0], r[1]))
         now = state.getCurrentWatermarkMs() * 1000
-        parts = [f[_ROW] for f in frames if len(f)]
-        if held:
-            parts.append(pd.DataFrame(held, columns=_ROW))
         done: list[dict] = []
-        held = []
-        if parts:
-            rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-            rows = rows.sort_values(["us", "packet_id"], ignore_index=True)
-            ready = int((rows["us"] <= now).sum())
-            if ready:
-                found = _summaries(rows.iloc[:ready], gap_us)
-                if open_flow is not None and found[0]["first_us"] - open_flow["last_us"] <= gap_us:
-                    found[0] = _extend(open_flow, found[0])
-                elif open_flow is not None:
-                    found.insert(0, open_flow)
-                tail = found[-1]
-                done = [s for s in found[:-1]] + ([tail] if tail["closed"] else [])
-                open_flow = None if tail["closed"] else tail
-            later = rows.iloc[ready:].astype(object)
-            held = later.where(later.notna(), None).values.tolist()
-        if open_flow is not None and now - open_flow["last_us"] > gap_us:
-            done.append(open_flow)
-            open_flow = None
-        if open_flow is None and not held:
+        held: list = []
+        for i, row in enumerate(rows):
+            if row[0] > now:
+                held = rows[i:]
+                break
+            if flow is not None and row[0] - flow["last_us"] > gap_us:
+                done.append(flow)
+                flow = None
+            if flow is None:
+                flow = _opened(row)
+            else:
+                _extend(flow, row)
+            if flow["teardown"]:
+                done.append(flow)
+                flow = None
+        if flow is not None and now - flow["last_us"] > gap_us:
+            done.append(flow)
+            flow = None
+        if flow is None and not held:
             if state.exists:
                 state.remove()
         else:
-            state.update((json.dumps({"open": open_flow, "held": held}, default=int),))
-            due = [-(-held[0][0] // 1000) - 1] if held else []
-            due += [(open_flow["last_us"] + gap_us) // 1000] if open_flow is not None else []
+            state.update((json.dumps([flow, held]),))
+            # Earliest watermark, in ms, at which something can happen: a held packet is passed or the flow expires.
+            due = ([-(-held[0][0] // 1000) - 1] if held else []) + ([(flow["last_us"] + gap_us) // 1000] if flow else [])
             state.setTimeoutTimestamp(max(min(due), now // 1000))
         if done:
-            out = pd.DataFrame(done)
-            out["capture_id"], out["flow_id"] = key
-            out["close_reason"] = np.where(out["closed"], "teardown", "timeout")
-            for c in ("src_port", "dst_port"):
-                out[c] = out[c].astype("Int32")
-            yield out[_OUT]
+            yield pd.DataFrame({
+                "capture_id": key[0], "flow_id": key[1], "head": [d["head"] for d in done],
+                "teardown": [d["teardown"] for d in done], **{n: [d[n] for d in done] for n in _NUMBERS}})
 
     return step
 
@@ -116,12 +97,15 @@ def _step(gap_us: int):
 def live_flow_stream(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
                      watermark: str = WATERMARK) -> DataFrame:
     """Closed flows in append mode; flows still open stay in the state."""
-    counted = packets.withWatermark("timestamp", watermark).select(
-        "timestamp", "capture_id", "flow_id", "packet_id", "length", *_HEAD,
-        F.unix_micros("timestamp").alias("us"), is_teardown().alias("closes"),
-        *[has_flag(f).cast("int").alias(n) for f, n in zip(COUNTED_FLAGS, _FLAGS)])
-    closed = counted.groupBy("capture_id", "flow_id").applyInPandasWithState(
+    marks = sum((F.when(has_flag(f), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(COUNTED_FLAGS)),
+                F.when(is_teardown(), F.lit(_CLOSES)).otherwise(F.lit(0)))
+    narrow = packets.withWatermark("timestamp", watermark).select(
+        "timestamp", "capture_id", "flow_id", F.unix_micros("timestamp").alias("us"), "packet_id", "length",
+        marks.alias("marks"), F.to_json(F.struct(*_HEAD)).alias("head"))
+    closed = narrow.groupBy("capture_id", "flow_id").applyInPandasWithState(
         _step(timeout_seconds * 1_000_000), _OUT_DDL, "saved string", "append", GroupStateTimeout.EventTimeTimeout)
-    timed = closed.withColumns({
-        "start_time": F.timestamp_micros("first_us"), "end_time": F.timestamp_micros("last_us"), "is_active": F.lit(False)})
-    return finalise(timed).select(*FLOW_COLUMNS)
+    timed = closed.withColumn("_head", F.from_json("head", _HEAD_DDL)).select(
+        "*", "_head.*", F.timestamp_micros("first_us").alias("start_time"), F.timestamp_micros("last_us").alias("end_time"),
+        F.lit(False).alias("is_active"), F.when(F.col("teardown"), "teardown").otherwise("timeout").alias("close_reason"))
+    sizes = {c: F.col(c).cast("int") for c in ("min_packet_size", "max_packet_size")}
+    return finalise(timed.withColumns(sizes)).select(*FLOW_COLUMNS)
