@@ -17,6 +17,7 @@ REGISTRY_DDL = (
     "period_start timestamp, period_end timestamp, created_at timestamp"
 )
 REGISTRY_SHOWN = 50
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 FORMATS = ("json", "csv", "pdf")
 
 
@@ -84,7 +85,7 @@ def json_parts(packets: DataFrame, flows: DataFrame, anomalies: DataFrame, cap:
 def anomaly_entries(anomalies: DataFrame) -> DataFrame:
     return anomalies.where("is_anomaly").select(
         "flow_id", F.col("anomaly_type").alias("type"), "severity", F.col("ensemble_score").alias("score"), "explanation",
-        F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("detected_at"))
+        F.date_format("detected_at", ISO_TIME).alias("detected_at"))
 
 
 def json_document(parts: DataFrame, start=None, end=None, generated_at: str | None = None) -> DataFrame:
@@ -117,7 +118,8 @@ def generate_report(spark: SparkSession, name: str, fmt: str, out_dir: str, pack
     if not ignore_period:
         packets, flows, anomalies = restrict(packets, flows, anomalies, start, end)
     if fmt == "csv":
-        flow_anomaly_report(flows, anomalies).write.mode("errorifexists").option("header", True).csv(path)
+        flow_anomaly_report(flows, anomalies).write.mode("errorifexists").option("header", True).option(
+            "timestampFormat", ISO_TIME).csv(path)
     elif fmt == "json":
         json_document(json_parts(packets, flows, anomalies), start, end).write.text(f"{path}/summary")
         anomaly_entries(anomalies).write.option("ignoreNullFields", "false").json(f"{path}/anomalies")

@@ -25,6 +25,7 @@ from packetloom.operators import reports as R
 from packetloom.operators import segments as SG
 from packetloom.operators import sparse as SP
 from packetloom.operators import stats as S
+from packetloom.plans import analysis as AN
 from packetloom.plans import fixtures as X
 from packetloom.runtime import materialize, scratch_path
 from packetloom.session import prepare
@@ -452,26 +453,9 @@ def chunk_counts(spark, folder):
     return C.chunk_counts(chunk_table(spark, folder, persist=False)[2])
 
 
-def capture_facts(p: DataFrame, s: DataFrame) -> DataFrame:
-    """Inputs of the question rules, one row per capture."""
-    traffic = p.groupBy("capture_id").agg(
-        F.collect_set("protocol").alias("protocols"), F.count("http_host").alias("http_request_count"),
-        F.count("dns_query").alias("dns_query_count"))
-    found = s.groupBy("capture_id").agg(
-        F.count_if("is_anomaly").alias("total_anomalies"),
-        F.collect_set(F.when(F.col("is_anomaly"), F.col("anomaly_type"))).alias("anomaly_types"))
-    return traffic.join(found, "capture_id")
-
-
-def question_table(p: DataFrame, s: DataFrame) -> DataFrame:
-    return E.suggested_questions(capture_facts(p, s)).select(
-        "capture_id", F.posexplode("questions").alias("_pos", "question")).select(
-        "capture_id", (F.col("_pos") + 1).cast("bigint").alias("question_id"), "question")
-
-
 @query
 def suggested_questions(spark, folder):
-    return question_table(packets(spark, folder), scored(spark, folder)).withColumnRenamed("question_id", "question_no")
+    return AN.question_table(packets(spark, folder), scored(spark, folder)).withColumnRenamed("question_id", "question_no")
 
 
 @query
@@ -492,15 +476,12 @@ def tfidf_topk(spark, folder):
 def retrieval(spark, folder):
     """Suggested questions answered from their capture's chunks, summary chunk always included."""
     p, s, chunks = chunk_table(spark, folder)
-    questions = question_table(p, s)
+    questions = AN.question_table(p, s)
     postings, idf = SP.build_index(chunks, "chunk_id", "content", scope=["capture_id"])
-    vectors = SP.query_vectors(questions, idf, "question_id", "question", scope=["capture_id"])
-    hits = SP.retrieve(postings, vectors, "chunk_id", "question_id", scope=["capture_id"])
-    merged = CX.with_summary(hits, questions, chunks, "question_id")
-    return p, s, questions, merged.join(chunks, ["capture_id", "chunk_id"])
+    return p, s, questions, AN.find_sources(questions, chunks, postings, idf)
 
 
-ANSWER_KEYS = ["capture_id", "question_id"]
+ANSWER_KEYS = AN.QUESTION_KEYS
 
 
 @query
@@ -662,3 +643,51 @@ def session_windows_stream(spark, folder):
     messages = FD.stream_table(spark, folder, schema, "events.parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"))
     return run_to_table(spark, FD.session_activity(messages), "sessions")
+
+
+@query
+def idle_flows_stream(spark, folder):
+    return run_to_table(spark, FD.idle_flows(packet_stream(spark, folder)), "idle-flows")
+
+
+@query
+def fuse_detectors(spark, folder):
+    """Detector outputs as separate tables, joined to the flows; either may lack a flow."""
+    flows = capture_flows(spark, folder)
+    given = X.detector_scores(flows)
+    keys = ["capture_id", "flow_id"]
+    tables = [given.where(F.col(f"{d}_score").isNotNull()).select(
+        *keys, F.col(f"{d}_score").alias("score"), F.col(f"{d}_flag").alias("is_anomaly")) for d in ("if", "ae")]
+    return A.fuse_detectors(flows, tables, keys, X.RULES).select(
+        *keys, "ensemble_score", "is_anomaly", "anomaly_type", "severity")
+
+
+# ---- written reports, read back
+
+def written_report(spark, folder, fmt: str):
+    path = scratch_path(spark, "reports")
+    row = R.generate_report(spark, "traffic", fmt, path, packets(spark, folder), capture_flows(spark, folder),
+                            anomaly_table(spark, folder))
+    return path, row
+
+
+@query
+def csv_report(spark, folder):
+    _, row = written_report(spark, folder, "csv")
+    schema = A.flow_anomaly_report(capture_flows(spark, folder), anomaly_table(spark, folder)).schema
+    read = spark.read.schema(schema).option("header", True).option("timestampFormat", R.ISO_TIME).csv(row.first()["file_path"])
+    # CSV knows no difference between an empty text and none; the report's blanks are texts.
+    return read.fillna("", ["anomaly_type", "severity", "explanation"])
+
+
+@query
+def json_report_anomalies(spark, folder):
+    _, row = written_report(spark, folder, "json")
+    ddl = "flow_id string, type string, severity string, score double, explanation string, detected_at string"
+    return spark.read.schema(ddl).json(f"{row.first()['file_path']}/anomalies")
+
+
+@query
+def report_registry(spark, folder):
+    path, _ = written_report(spark, folder, "pdf")
+    return R.list_reports(spark, path).select("name", "format", "packet_count", "flow_count", "anomaly_count")

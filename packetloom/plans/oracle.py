@@ -399,5 +399,19 @@ emitted AS (SELECT * EXCLUDE (is_active, close_reason), false AS is_active, CASE
       SELECT user_id AS session_id, min(us) AS started_at, max(us) + 3600000000 AS expires_at, count(*) AS message_count FROM s GROUP BY user_id, seg
       HAVING max(us) + 3600000000 <= ((SELECT max(us) FROM e) // 1000 - 3600000) * 1000"""
 
+    q["idle_flows_stream"] = _with(PACKETS + """,
+idle_l AS (SELECT *, row_number() OVER w AS rn, lag(us) OVER w AS p FROM packets WINDOW w AS (PARTITION BY capture_id, flow_id ORDER BY us)),
+idle_s AS (SELECT *, sum(CASE WHEN rn = 1 OR us - p > 120000000 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, flow_id ORDER BY us) AS seg FROM idle_l)""", f"""
+      SELECT capture_id, flow_id, min(us) AS start_time, max(us) AS end_time, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count
+      FROM idle_s GROUP BY capture_id, flow_id, seg HAVING max(us) + 120000000 <= {wm}""")
+    q["fuse_detectors"] = _with(SCORED, """
+      SELECT capture_id, flow_id, round(ensemble_score, 6) AS ensemble_score, is_anomaly, anomaly_type, severity FROM scored""")
+    q["json_report_anomalies"] = _with(ANOMALIES, """
+      SELECT flow_id, anomaly_type AS type, severity, ensemble_score AS score, explanation,
+        strftime(make_timestamp(detected_at), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS detected_at FROM anomalies WHERE is_anomaly""")
+    q["report_registry"] = _with(ANOMALIES, """
+      SELECT 'traffic' AS name, 'pdf' AS format, (SELECT count(*) FROM packets) AS packet_count, (SELECT count(*) FROM flows) AS flow_count,
+        (SELECT count(*) FROM anomalies WHERE is_anomaly) AS anomaly_count""")
+
     q.update(oracle_text.text_sql())
     return q
