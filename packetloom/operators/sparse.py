@@ -79,29 +79,35 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str, stop_words: list[st
 
 def query_vectors(queries: DataFrame, idf: DataFrame, query_id: str, text_col: str,
                   stop_words: list[str] | None = None, scope: list[str] | None = None) -> DataFrame:
-    """Unit-length query vectors over the corpus vocabulary; unknown terms are ignored."""
+    """Unit-length query vectors over the corpus vocabulary; unknown terms are ignored.
+
+    The rows are counted before the vocabulary is joined, on the query texts alone; within
+    ``MAX_QUERY_TERMS`` the result carries a broadcast hint.
+    """
     scope = scope or []
     stops = english_stop_words() if stop_words is None else stop_words
     counts = term_counts(queries, query_id, text_col, stops, scope)
+    small = fits(counts, MAX_QUERY_TERMS)
+    counts = F.broadcast(counts) if small else counts
     raw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     weighted = counts.join(idf.select(*scope, "term", "idf"), [*scope, "term"]).select(
         *scope, query_id, "term", raw.alias("_raw"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*scope, query_id)))
-    return weighted.select(*scope, query_id, "term", (F.col("_raw") / norm).alias("query_weight"))
+    vectors = weighted.select(*scope, query_id, "term", (F.col("_raw") / norm).alias("query_weight"))
+    return F.broadcast(vectors) if small else vectors
 
 
 def retrieve(postings: DataFrame, vectors: DataFrame, doc_id: str, query_id: str, k: int = TOP_K,
              scope: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Best ``k`` documents per query by cosine, only with a score above 0.
 
-    With few query terms the vectors are broadcast: postings stay on their document's partition,
+    With few query terms the vectors are broadcast (see ``query_vectors``): postings stay on their document's partition,
     scores are summed there, and every task hands on at most ``k`` rows per query. More query
     terms are joined through a shuffle on the term.
     """
     scope = scope or []
-    side = F.broadcast(vectors) if fits(vectors, MAX_QUERY_TERMS) else vectors
     scores = (
-        postings.join(side, [*scope, "term"])
+        postings.join(vectors, [*scope, "term"])
         .groupBy(*scope, doc_id, query_id)
         .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), digits).alias("score"))
         .where("score > 0")

@@ -81,4 +81,5 @@ def salted_join(
         ).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_hot_pieces")).cast("int")),
     )
     salted_small = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
-    return salted_big.join(salted_small, [*keys, "_salt"]).drop("_salt", "_pieces", "_hot_pieces")
+    # Sizes after an explode are guessed far too low; without the hint the whole aggregate may be broadcast.
+    return salted_big.join(salted_small.hint("merge"), [*keys, "_salt"]).drop("_salt", "_pieces", "_hot_pieces")
