@@ -6,7 +6,6 @@ is ``-score - offset`` with the offset at the contamination quantile of the trai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 
