@@ -9,20 +9,16 @@ of all documents) and returns to its document to be normalised. Ranking keeps on
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.words import english_stop_words
 from packetloom.runtime import fits, salted_join
 
 TOP_K = 6
 MAX_QUERY_TERMS = 500_000
 
 
-def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def terms(content: Column, stop_words: list[str]) -> Column:
     """Lower-cased words of two or more word characters without stop words, then adjacent pairs."""
     words = F.regexp_extract_all(F.lower(content), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import glob
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
-
+from packetloom.operators.words import english_stop_words
 from packetloom.plans.oracle import ANOMALIES, SCORED, _with
 
 
-@lru_cache
-def stop_words() -> list[str]:
-    """The English list shipped with Spark ML, read without starting a session."""
-    jar = glob.glob(str(Path(pyspark.__path__[0]) / "jars" / "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def tfidf_ctes(docs: str, doc_id: str, body: str, queries: str, query_id: str, query_text: str, scope: str = "0") -> str:
     """CTEs up to ``ranked`` (scope, query, document, score, rank); scope restricts matches."""
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
 
     def counted(name: str, table: str, key: str, text: str) -> str:
         return f"""

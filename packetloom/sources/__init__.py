@@ -1 +1 @@
-"""Where packets come from: capture files, packet tables, generated seed rows."""
+"""Where packets come from: capture files and packet tables."""

@@ -8,7 +8,6 @@ from packetloom.operators import reports as R
 from packetloom.operators.anomalies import REPORT_FIELDS, merge_live
 from packetloom.operators.flows import capture_flows
 from packetloom.plans import fixtures as X
-from packetloom.sources import seed
 from tests.conftest import T0
 
 AT = lambda s: datetime.fromtimestamp(T0 / 1e6 + s, timezone.utc)
@@ -71,12 +70,3 @@ def test_live_rows_come_first(spark):
     stored = spark.createDataFrame([("c", "old", 1), ("b", "old", 2)], ddl)
     assert [(r["anomaly_id"], r["flow_id"], r["origin"]) for r in merge_live(live, stored).collect()] == [
         ("b", "live", "live"), ("a", "live", "live"), ("c", "old", "stored")]
-
-
-def test_seed_rows(spark):
-    p, f, a = seed.seed_packets(spark), seed.seed_flows(spark), seed.seed_anomalies(spark)
-    assert (p.count(), f.count(), a.count()) == (200, 40, 5)
-    assert p.groupBy("flow_id").count().where("count != 5").count() == 0
-    assert p.where("length < 60 or length > 1500 or ttl < 32 or ttl > 128 or src_port < 1024").count() == 0
-    assert sorted(map(tuple, p.collect())) == sorted(map(tuple, seed.seed_packets(spark).repartition(3).collect()))
-    assert a.join(f, "flow_id").count() == 5 and f.agg(F.min("tcp_ack_count")).first()[0] >= 0
