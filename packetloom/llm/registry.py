@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
-from packetloom.llm import mixing
+from packetloom.llm import mixing, quality
 
 QUERIES = {
+    "op4_quality_cascade": quality.op4_quality_cascade,
     "op8_pareto_mix": mixing.op8_pareto_mix,
 }
 
 ORACLES = {
+    "op4_quality_cascade": quality.OP4_SQL,
     "op8_pareto_mix": mixing.OP8_SQL,
 }
