@@ -27,6 +27,7 @@ WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 MAX_SYMBOLS_PERCENT = 10
 MAX_DUP_LINES_PERCENT = 30
+FEW_DUP_LINES = 2
 MAX_SHOUTS_PERCENT = 20
 MEAN_WORD_CHARS = (2, 20)
 SYMBOLS = r"[#*$%&|<>]"
@@ -107,7 +108,8 @@ BASE_RULES = [
 METHOD_RULES = [
     Rule("few_symbols", lambda t: _share(F.regexp_count(t, F.lit(SYMBOLS)), t, MAX_SYMBOLS_PERCENT)),
     Rule("few_shouts", lambda t: _share(F.regexp_count(t, F.lit("!")), t, MAX_SHOUTS_PERCENT)),
-    Rule("few_duplicate_lines", lambda t: duplicate_lines(t) * 100 <= _lines(t) * MAX_DUP_LINES_PERCENT),
+    Rule("few_duplicate_lines", lambda t: let(
+        duplicate_lines(t), lambda n: (n <= FEW_DUP_LINES) | (n * 100 <= _lines(t) * MAX_DUP_LINES_PERCENT))),
     Rule("usual_word_length", lambda t: let(words(t), lambda w: F.char_length(F.array_join(w, "")).between(
         F.size(w) * MEAN_WORD_CHARS[0], F.size(w) * MEAN_WORD_CHARS[1]))),
 ]
@@ -191,7 +193,7 @@ q_m AS (SELECT q_w.doc_id, text, len(w)::BIGINT AS n_words, length(array_to_stri
 q_all AS (SELECT *, (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}) AS base_failed,
     NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT})
     AND n_symbols * 100 <= n_words * {MAX_SYMBOLS_PERCENT} AND shouts * 100 <= n_words * {MAX_SHOUTS_PERCENT}
-    AND n_dup_lines * 100 <= n_lines * {MAX_DUP_LINES_PERCENT}
+    AND (n_dup_lines <= {FEW_DUP_LINES} OR n_dup_lines * 100 <= n_lines * {MAX_DUP_LINES_PERCENT})
     AND word_chars BETWEEN n_words * {MEAN_WORD_CHARS[0]} AND n_words * {MEAN_WORD_CHARS[1]} AS kept FROM q_m)"""
 
 
