@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from packetloom.llm import mixing, quality
+from packetloom.llm import mixing, packing, quality, rans
 
 QUERIES = {
     "op4_quality_cascade": quality.op4_quality_cascade,
+    "op5_rans_file": rans.op5_rans_file,
     "op8_pareto_mix": mixing.op8_pareto_mix,
+    "op9_kk_packing": packing.op9_kk_packing,
 }
 
 ORACLES = {
