@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetloom.llm import mixing, packing, quality, rans
+from packetloom.llm import mixing, packing, quality, rans, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op5_rans_file": rans.op5_rans_file,
     "op8_pareto_mix": mixing.op8_pareto_mix,
