@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from packetloom.llm import chat, extraction, mixing, packing, quality, rans, simhash
+from packetloom.llm import chat, extraction, mixing, packing, quality, rans, simhash, substrings
 
 QUERIES = {
     "op2_mincut_extraction": extraction.op2_mincut_extraction,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op5_rans_file": rans.op5_rans_file,
+    "op6_relative_lz": substrings.op6_relative_lz,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_kk_packing": packing.op9_kk_packing,
     "op10_prefix_tree_chat": chat.op10_prefix_tree_chat,
