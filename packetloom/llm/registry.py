@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from packetloom.llm import chat, extraction, mixing, packing, quality, rans, simhash, substrings
+import corpus_pipeline
+from packetloom.llm import chat, extraction, mixing, packing, quality, rans, runs, simhash, substrings
 
 QUERIES = {
     "op2_mincut_extraction": extraction.op2_mincut_extraction,
@@ -10,9 +11,11 @@ QUERIES = {
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op5_rans_file": rans.op5_rans_file,
     "op6_relative_lz": substrings.op6_relative_lz,
+    "op7_run_length_index": runs.op7_run_length_index,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_kk_packing": packing.op9_kk_packing,
     "op10_prefix_tree_chat": chat.op10_prefix_tree_chat,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
