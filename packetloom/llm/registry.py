@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from packetloom.llm import chat, extraction, mixing, packing, quality, rans, runs, simhash, substrings
+from packetloom.llm import chat, extraction, mixing, packing, quality, rans, runs, search, simhash, substrings
 
 QUERIES = {
+    "op1_bm25_topk": search.op1_bm25_topk,
     "op2_mincut_extraction": extraction.op2_mincut_extraction,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_cascade": quality.op4_quality_cascade,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_bm25_topk": search.OP1_SQL,
     "op4_quality_cascade": quality.OP4_SQL,
     "op8_pareto_mix": mixing.OP8_SQL,
 }
