@@ -229,5 +229,5 @@ def shared_anchors(docs: DataFrame, kind) -> DataFrame:
 
 def candidates(docs: DataFrame, kind) -> DataFrame:
     """Rows of (doc_id, text) that may share a window with another row, with their repeated anchors."""
-    return docs.join(shared_anchors(docs, kind).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select(
+    return docs.where("text IS NOT NULL").join(shared_anchors(docs, kind).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select(
         "doc_id", "text", "anchors")
