@@ -9,8 +9,9 @@ from packetloom.session import build_session, prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
+                            spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
                             spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     return prepare(session)
