@@ -127,7 +127,8 @@ def decode(blocks: list[bytes], table: Frequencies) -> np.ndarray:
         state = table.freq[s] * (state >> bits) + slot - table.start[s]
         empty = state < low
         taken = empty.cumsum(axis=1)
-        where = np.where(empty, place[:, None] + taken - 1, len(stream) - 1)
+        # A damaged block may ask for words beyond the end; its checksum then tells.
+        where = np.where(empty, np.minimum(place[:, None] + taken, len(stream)) - 1, len(stream) - 1)
         state = np.where(empty, (state << up) | stream[where], state)
         place = place + taken[:, -1]
     flat = out.transpose(1, 0, 2).reshape(len(blocks), BLOCK)

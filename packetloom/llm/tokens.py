@@ -16,7 +16,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MEMO = 300_000
+MEMO = 150_000
 # Python's split() also cuts at these four, which the tokenizer keeps.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 # Lower-case letters that neither normalise nor change case further, between plain punctuation.

@@ -41,7 +41,8 @@ def test_blocks_round_trip(n):
     assert np.array_equal(rans.decode(blocks, frequencies), ids)
     if n > 1000:
         assert sum(map(len, blocks)) < 2 * n
-        damaged = blocks[:-1] + [blocks[-1][:-1] + bytes([blocks[-1][-1] ^ 1])]
+        at = len(blocks[0]) // 2
+        damaged = [blocks[0][:at] + bytes([blocks[0][at] ^ 1]) + blocks[0][at + 1:], *blocks[1:]]
         with pytest.raises(ValueError):
             rans.decode(damaged, frequencies)
 
