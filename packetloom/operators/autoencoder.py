@@ -1,8 +1,9 @@
 """Reconstruction-error detector: a 13-64-32-64-13 network trained by model averaging.
 
-Each round every partition runs one epoch of mini-batch Adam from the shared weights; the weights are
-summed in Spark, weighted by rows, and the mean (5,933 numbers) starts the next round (McMahan et
-al. 2017). With one partition this is plain mini-batch training.
+Each round every learner (one partition of about ``LEARNER_ROWS`` rows, dealt by a random hash) runs one epoch of
+mini-batch Adam from the shared weights and moments; both are averaged in Spark, weighted by rows, and the means
+(three times 5,933 numbers) start the next round (McMahan et al. 2017). With one learner this is plain mini-batch
+training.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.anomalies import FEATURES
+from packetloom.runtime import materialize
 
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 50, 64, 1e-3, 42
+LEARNER_ROWS = 50_000
 
 
 def layer_sizes(inputs: int = len(FEATURES), hidden: int = HIDDEN) -> list[int]:
@@ -90,30 +93,30 @@ class Autoencoder:
 def fit_autoencoder(features: DataFrame, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH,
                     rate: float = RATE, seed: int = SEED, partitions: int | None = None,
                     ids: list[str] | None = None) -> Autoencoder:
-    """``partitions`` fixes the number of parallel learners; rows are placed by hash of ``ids``."""
+    """``partitions`` fixes the number of parallel learners; by default it follows from the rows."""
     spark = features.sparkSession
     sizes = layer_sizes(len(FEATURES), hidden)
-    placed = features
-    if partitions:
-        keys = ids or FEATURES
-        placed = features.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    learners = partitions or max(1, -(-features.count() // LEARNER_ROWS))
+    deal = F.xxhash64(*(ids or FEATURES), F.lit(seed))
+    placed = features.repartition(learners, deal).sortWithinPartitions(deal)
     # Executors that are lost only cost a recomputation of their cached blocks.
     placed = placed.select(*FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     flat = initial_weights(sizes, seed)
+    carried = np.concatenate([flat, np.zeros(2 * len(flat) + 1)])  # weights, both moments, steps so far
     try:
         for epoch in range(epochs):
-            shared = spark.sparkContext.broadcast(flat)
+            shared = spark.sparkContext.broadcast(carried)
 
             def learn(frames: Iterator[pd.DataFrame], epoch=epoch, shared=shared) -> Iterator[pd.DataFrame]:
-                weights, rows = shared.value, 0
-                state = [np.zeros_like(weights), np.zeros_like(weights), 0]
+                weights, *state = np.split(shared.value[:-1], 3)
+                state, rows = [*state, round(shared.value[-1])], 0
                 for frame in frames:  # Arrow batches bound the memory of a task
                     x = frame[FEATURES].to_numpy(dtype=np.float64)
                     if len(x):
                         weights = _adam_epoch(x, weights, sizes, np.random.default_rng([seed, epoch, rows]), batch, rate, state)
                         rows += len(x)
                 if rows:
-                    yield pd.DataFrame({"w": [weights.tolist()], "rows": [rows]})
+                    yield pd.DataFrame({"w": [np.concatenate([weights, *state[:2], state[2:]]).tolist()], "rows": [rows]})
 
             local = placed.mapInPandas(learn, "w array<double>, rows bigint")
             mean = (
@@ -121,9 +124,10 @@ def fit_autoencoder(features: DataFrame, hidden: int = HIDDEN, epochs: int = EPO
                 .groupBy("pos").agg((F.sum(F.col("v") * F.col("rows")) / F.sum("rows")).alias("v"))
                 .orderBy("pos").toPandas()
             )
-            if len(mean) != len(flat):
+            if len(mean) != len(carried):
                 raise ValueError("no rows to train on")
-            flat = mean["v"].to_numpy(dtype=np.float64)
+            carried = mean["v"].to_numpy(dtype=np.float64)
+            flat = carried[:len(flat)]
             shared.unpersist()
         model = Autoencoder(flat, sizes, 0.0, 1.0)
         stats = _errors(placed, model).agg(
@@ -156,6 +160,7 @@ def score_autoencoder(features: DataFrame, model: Autoencoder | None, scope: lis
         raise RuntimeError("Model not trained. Call fit_autoencoder() first.")
     scored = _errors(features, model).withColumnRenamed("_e", "reconstruction_error")
     if scope:
+        scored = materialize(scored, "errors")  # the network runs once; the peaks and the rows read its result
         top = F.max("reconstruction_error")
         peaks = scored.groupBy(*scope).agg(F.when(top == 0, F.lit(1.0)).otherwise(top).alias("_max"))
         scored = scored.join(peaks, scope)

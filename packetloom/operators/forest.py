@@ -18,7 +18,7 @@ from packetloom.functions.values import clip01
 from packetloom.operators.anomalies import FEATURES
 
 TREES, SAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
-EXACT_QUANTILE_ROWS = 1_000_000
+QUANTILE_ACCURACY = 1_000_000
 NODE_DDL = "tree int, node int, feature int, split double, left int, right int, size int"
 
 
@@ -106,10 +106,8 @@ def fit_forest(features: DataFrame, ids: list[str], trees: int = TREES, contamin
     nodes = _tree_samples(features, ids, trees, size, n, seed).groupBy("tree").applyInPandas(build, NODE_DDL).toPandas()
     forest = Forest(nodes, size, 0.0)
     scored = _scores(features, forest)
-    if n <= EXACT_QUANTILE_ROWS:
-        bar = F.percentile(-F.col("_s"), F.lit(contamination))
-    else:
-        bar = F.percentile_approx(-F.col("_s"), F.lit(contamination), F.lit(100_000))
+    # One method at every size: the score at the rank, to one part in QUANTILE_ACCURACY of the rows.
+    bar = F.percentile_approx(-F.col("_s"), F.lit(contamination), F.lit(QUANTILE_ACCURACY))
     forest.offset = float(scored.agg(bar.alias("o")).first()["o"])
     return forest
 

@@ -64,20 +64,14 @@ def top_anomalies(anomalies: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def first_packets(packets: DataFrame, cap: int | None) -> DataFrame:
-    """Optional, deterministic cut to the first ``cap`` packets; by default everything is used."""
-    return packets if cap is None else packets.orderBy("timestamp", "packet_id").limit(cap)
-
-
-def json_parts(packets: DataFrame, flows: DataFrame, anomalies: DataFrame, cap: int | None = None) -> DataFrame:
+def json_parts(packets: DataFrame, flows: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Summary counts, packets per label and top talkers as (part, key, n) rows."""
-    used = first_packets(packets, cap)
-    counts = report_counts(used, flows, anomalies)
+    counts = report_counts(packets, flows, anomalies)
     summary = counts.select(F.lit("summary").alias("part"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in counts.columns])))
-    labels = used.groupBy("protocol").agg(F.count(F.lit(1)).alias("n")).select(
+    labels = packets.groupBy("protocol").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("protocol_breakdown").alias("part"), F.col("protocol").alias("key"), "n")
-    talkers = top_talkers_by_packets(used).select(
+    talkers = top_talkers_by_packets(packets).select(
         F.lit("top_talkers").alias("part"), F.col("ip").alias("key"), F.col("packets").alias("n"))
     return summary.unionByName(labels).unionByName(talkers)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.words import english_stop_words
-from packetloom.runtime import fits, salted_join
+from packetloom.runtime import fits, materialize, salted_join
 
 TOP_K = 6
 MAX_QUERY_TERMS = 500_000
@@ -63,7 +63,8 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str, stop_words: list[st
     """Posting table (scope, document, term, weight) with unit-length documents, and the idf table."""
     scope = scope or []
     stops = english_stop_words() if stop_words is None else stop_words
-    counts = term_counts(docs, doc_id, text_col, stops, scope)
+    # Written once: the document frequencies and the postings both come from it.
+    counts = materialize(term_counts(docs, doc_id, text_col, stops, scope), "term-counts")
     idf = idf_table(counts, docs, scope)
     kept = ["tf"] if keep_tf else []
     raw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")

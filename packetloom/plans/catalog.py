@@ -562,7 +562,7 @@ def iforest_scores(spark, folder):
 def autoencoder_scores(spark, folder):
     features = A.feature_vector(materialize(capture_flows(spark, folder), "flows"))
     scaled = A.apply_scaler(features, A.fit_scaler(features))
-    model = AE.fit_autoencoder(scaled, partitions=4, ids=["capture_id", "flow_id"])
+    model = AE.fit_autoencoder(scaled, ids=["capture_id", "flow_id"])
     return AE.score_autoencoder(scaled, model, ["capture_id"]).select(
         "capture_id", "flow_id", "reconstruction_error", "score", "is_anomaly")
 
@@ -571,7 +571,7 @@ def autoencoder_scores(spark, folder):
 def detector_pipeline(spark, folder):
     """Train on all flows, store the models, load them again and score."""
     flows = materialize(capture_flows(spark, folder), "flows")
-    models = D.train(flows, trees=50, epochs=10, partitions=4)
+    models = D.train(flows)
     path = scratch_path(spark, "models")
     D.save_models(spark, models, path)
     return D.analyse(flows, D.load_models(spark, path)).select(
@@ -632,7 +632,7 @@ def packet_feed_stream(spark, folder):
 def anomaly_feed_stream(spark, folder):
     """Closed flows of the stream, scored with models trained on the finished captures."""
     flows = materialize(capture_flows(spark, folder), "flows")
-    models = D.train(flows, trees=50, epochs=10, partitions=4)
+    models = D.train(flows)
     closed = SF.live_flow_stream(packet_stream(spark, folder))
     return run_to_table(spark, FD.anomaly_feed(FD.score_stream(closed, models)), "alerts")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,9 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.gettempdir()
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or where it is unset the warehouse."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -62,19 +55,16 @@ def salted_join(
     size_col: str,
     spread_by: str,
     hot_rows: int = 1_000_000,
-    max_salts: int = 256,
 ) -> DataFrame:
     """Inner join of ``big`` with its own per-key aggregate ``small`` without hot reducers.
 
     ``small[size_col]`` holds the number of ``big`` rows behind a key. Keys with more than
-    ``hot_rows`` rows are cut into up to ``max_salts`` pieces by a hash of ``spread_by``; their
-    aggregate row is repeated once per piece. The list of hot keys has at most
-    ``rows(big) / hot_rows`` entries, so broadcasting it is bounded by construction.
+    ``hot_rows`` rows are cut into pieces of about that many by a hash of ``spread_by``; their
+    aggregate row is repeated once per piece. The list of hot keys is broadcast only after its rows were counted.
     """
-    pieces = F.least(F.lit(max_salts), F.ceil(F.col(size_col) / F.lit(hot_rows)).cast("int"))
-    sized = small.withColumn("_pieces", F.greatest(F.lit(1), pieces))
+    sized = small.withColumn("_pieces", F.greatest(F.lit(1), F.ceil(F.col(size_col) / F.lit(hot_rows)).cast("int")))
     hot = sized.where(F.col("_pieces") > 1).select(*keys, F.col("_pieces").alias("_hot_pieces"))
-    salted_big = big.join(F.broadcast(hot), keys, "left").withColumn(
+    salted_big = big.join(broadcast_if_small(hot), keys, "left").withColumn(
         "_salt",
         F.when(
             F.col("_hot_pieces").isNull(), F.lit(0)

@@ -41,11 +41,6 @@ def test_json_lists_every_anomaly(spark, tables, tmp_path):
     assert spark.read.json(f"{row['file_path']}/anomalies").count() == row["anomaly_count"] > 0
 
 
-def test_packet_cap_is_optional_and_deterministic(tables):
-    capped = {(r["part"], r["key"]): r["n"] for r in R.json_parts(*tables, cap=7).collect()}
-    assert capped[("summary", "packet_count")] == 7 and capped[("top_talkers", "10.0.0.0")] == 3
-
-
 def test_pdf_tables(spark, tables, tmp_path):
     row = R.generate_report(spark, "r", "pdf", str(tmp_path), *tables).first()
     summary = dict(spark.read.parquet(f"{row['file_path']}/summary").collect())

@@ -99,7 +99,7 @@ def test_salted_join_is_a_join(spark):
     big = spark.range(1000).select(F.col("id"), (F.col("id") % 7 * (F.col("id") % 3)).alias("k"))
     small = big.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
     plain = big.join(small, "k").select("id", "m").collect()
-    salted = salted_join(big, small, ["k"], "n", "id", hot_rows=10, max_salts=5).select("id", "m").collect()
+    salted = salted_join(big, small, ["k"], "n", "id", hot_rows=10).select("id", "m").collect()
     assert sorted(plain) == sorted(salted) and len(salted) == 1000
 
 
