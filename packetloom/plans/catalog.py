@@ -312,6 +312,36 @@ def port_scan(spark, folder):
         "capture_id", "src_ip", "port_count", F.array_join("ports", ",").alias("ports"))
 
 
+@query
+def chunk_hosts(spark, folder):
+    """Every host behind the HTTP chunk; its sentence names the first twenty."""
+    return S.http_hosts(packets(spark, folder)).withColumn("category", F.lit("http"))
+
+
+@query
+def chunk_scanners(spark, folder):
+    """Every scanner with every port behind the port-scan chunk."""
+    return FL.port_scanners(capture_flows(spark, folder), min_ports=2).select(
+        "capture_id", F.lit("port_scan").alias("category"), "src_ip", "port_count", F.explode("ports").alias("dst_port"))
+
+
+@query
+def port_scan_default(spark, folder):
+    """Scanners by the default of ten ports."""
+    return FL.port_scanners(capture_flows(spark, folder)).select("capture_id", "src_ip", "port_count")
+
+
+@query
+def session_table(spark, folder):
+    """Sessions of the event users with their last activity; live are those within an hour of the last event."""
+    events = read_table(spark, folder, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rollup = S.session_rollup(events)
+    now = rollup.agg(F.max("last_active_at").alias("now"))
+    live = S.live_sessions(rollup, now.scalar()).select(F.col("session_id"), F.lit(True).alias("live"))
+    return rollup.join(live, "session_id", "left").select(
+        "session_id", "message_count", "last_active_at", F.coalesce("live", F.lit(False)).alias("live"))
+
+
 # ---- features and detectors
 
 @query

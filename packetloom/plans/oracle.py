@@ -295,6 +295,18 @@ def oracle_sql() -> dict[str, str]:
         array_to_string(list_sort(list(DISTINCT dst_port)), ',') AS ports
       FROM flows WHERE protocol IN ('TCP', 'HTTP', 'HTTPS') AND tcp_syn_count > 0 GROUP BY 1, 2 HAVING count(DISTINCT dst_port) >= 2""")
 
+    q["chunk_hosts"] = _with(PACKETS, """
+      SELECT capture_id, http_host AS host, count(*) AS requests, 'http' AS category FROM packets WHERE http_host IS NOT NULL GROUP BY 1, 2""")
+    scanners = """
+      SELECT capture_id, src_ip, count(DISTINCT dst_port) AS port_count, list(DISTINCT dst_port) AS ports
+      FROM flows WHERE protocol IN ('TCP', 'HTTP', 'HTTPS') AND tcp_syn_count > 0 GROUP BY 1, 2"""
+    q["chunk_scanners"] = _with(CAPTURE_FLOWS, f"""
+      SELECT capture_id, 'port_scan' AS category, src_ip, port_count, unnest(ports) AS dst_port FROM ({scanners}) WHERE port_count >= 2""")
+    q["port_scan_default"] = _with(CAPTURE_FLOWS, f"SELECT capture_id, src_ip, port_count FROM ({scanners}) WHERE port_count >= 10")
+    q["session_table"] = """
+      WITH r AS (SELECT user_id AS session_id, count(*) AS message_count, epoch_us(max(ts)) AS last_active_at FROM events GROUP BY 1)
+      SELECT *, (SELECT max(last_active_at) FROM r) - last_active_at <= 3600000000 AS live FROM r"""
+
     # ---- features and detectors
     feats = ["packet_count", "byte_count", "avg_packet_size", "duration_seconds", "packets_per_second", "bytes_per_second",
              "tcp_syn_count", "tcp_fin_count", "tcp_rst_count", "tcp_ack_count", "tcp_psh_count", "src_port", "dst_port"]
