@@ -30,6 +30,8 @@ from packetloom.llm.common import table
 
 CAPACITY = 2048
 GROUP_WINDOWS = 256
+#: Packing moves nothing, so its tasks can afford larger word tables.
+MEMO = 300_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -97,7 +99,7 @@ def fill(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, group_windows: int) -> Iterator[pa.RecordBatch]:
-    encode = tokens.encoder(path)
+    encode = tokens.encoder(path, MEMO)
     task = TaskContext.get()
     sequence = (task.partitionId() if task else 0) << 32
     rests: list[tuple[int | None, np.ndarray, int]] = []

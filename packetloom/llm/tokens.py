@@ -34,15 +34,15 @@ def _byte_letters() -> dict[int, str]:
 class _Memo(dict):
     """key -> value by ``make``; frequent keys survive when a generation is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[key] = value
@@ -52,12 +52,12 @@ class _Memo(dict):
 class _Words:
     """word -> its ids as little-endian uint16 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.as_bytes = _byte_letters()
-        self.letters, self.words = _Memo(self._letters), _Memo(self._word)
+        self.letters, self.words = _Memo(self._letters, memo), _Memo(self._word, memo)
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -76,7 +76,8 @@ class _Words:
 def _kept() -> dict:
     """What a Python worker keeps from task to task; functions travel by value, so module globals do not stay."""
     name = "packetloom_worker_tables"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    module = sys.modules.setdefault(name, types.ModuleType(name))
+    return module.__dict__.setdefault("tables", {})
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,12 +86,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str):
+def encoder(path: str, memo: int = MEMO):
     """text -> uint16 ids without the end id; one word table per worker and path."""
     kept = _kept()
-    if path not in kept:
-        kept[path] = _Words(path)
-    table = kept[path]
+    if (path, memo) not in kept:
+        kept.clear()
+        kept[path, memo] = _Words(path, memo)
+    table = kept[path, memo]
 
     def ids(text: str | None) -> np.ndarray:
         if not text:

@@ -183,7 +183,7 @@ def test_pruning_skips_blocks_and_stays_exact():
     shard = search.Shard({k: v.tobytes() for k, v in row.items()}, 30.0)
     for q in (3, 77, 1500):
         weights = np.linspace(1, 5, len(docs[q][1]))
-        ids, scores = shard.search(docs[q][1], weights, 5)
+        ids, scores = shard.search([(docs[q][1], weights)], 5)[0]
         full = np.zeros(2000)
         for t, w in zip(docs[q][1], weights):
             at = np.searchsorted(shard.terms, t)
