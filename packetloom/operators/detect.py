@@ -77,27 +77,32 @@ def train(flows: DataFrame, keys: tuple[str, ...] = ("capture_id", "flow_id"), t
 
 
 def analyse(flows: DataFrame, models: Models | None, keys: tuple[str, ...] = ("capture_id", "flow_id"),
-            scope: tuple[str, ...] = ("capture_id",), thresholds: RuleThresholds = RuleThresholds()) -> DataFrame:
+            scope: tuple[str, ...] = ("capture_id",), thresholds: RuleThresholds = RuleThresholds(),
+            more: tuple[Detector, ...] = ()) -> DataFrame:
     """Flow rows with if_score, ae_score, ensemble_score, is_anomaly, anomaly_type and severity.
 
-    Both models score the same feature projection, one after the other; no join by flow is needed.
-    Without models every score is 0 and nothing is anomalous.
+    All detectors score the same feature projection, one after the other; no join by flow is needed. ``more`` adds
+    detectors to the two models; each brings a column ``<name>_score`` and takes part in the ensemble. Without any
+    every score is 0 and nothing is anomalous.
     """
     scored = flows.withColumns({f"_raw_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in FEATURES})
     rest = [c for c in flows.columns]
     scored = scored.select(F.struct(*rest).alias("_flow"), *scope, *[F.col(f"_raw_{f}").alias(f) for f in FEATURES])
     if models is not None:
         scored = apply_scaler(scored, models.scaler)
-    scores = {"isolation_forest": "if", "autoencoder": "ae"}
-    for prefix in scores.values():
+    found = [*(models.detectors(scope) if models else []), *more]
+    known = {"isolation_forest": "if", "autoencoder": "ae"}
+    prefixes = [*known.values(), *[d.name for d in more]]
+    for prefix in prefixes:
         scored = scored.withColumns({f"{prefix}_score": F.lit(None).cast("double"), f"{prefix}_flag": F.lit(None).cast("boolean")})
-    for detector in models.detectors(scope) if models else []:
-        prefix = scores[detector.name]
+    for detector in found:
+        prefix = known.get(detector.name, detector.name)
         scored = detector.score_flows(scored).withColumns(
             {f"{prefix}_score": F.col("score"), f"{prefix}_flag": F.col("is_anomaly")}).drop(
             "score", "is_anomaly", "raw_score", "reconstruction_error")
-    kept = scored.select("_flow.*", "if_score", "ae_score", "if_flag", "ae_flag")
-    return ensemble(kept, ["if_score", "ae_score"], ["if_flag", "ae_flag"], thresholds).drop("if_flag", "ae_flag")
+    flags = [f"{p}_flag" for p in prefixes]
+    scores = [f"{p}_score" for p in prefixes]
+    return ensemble(scored.select("_flow.*", *scores, *flags), scores, flags, thresholds).drop(*flags)
 
 
 def save_models(spark: SparkSession, models: Models, path: str) -> None:

@@ -80,13 +80,17 @@ def explain_flows(flows: DataFrame, complete: Complete | None = None) -> DataFra
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for prompt in frame["prompt"]:
-                try:
-                    out.append(complete([prompt])[0])
-                except Exception:
-                    out.append(None)
-            frame["explanation"] = out
+            prompts = frame["prompt"].tolist()
+            try:
+                frame["explanation"] = complete(prompts)
+            except Exception:  # one bad prompt must not take its neighbours along
+                out = []
+                for prompt in prompts:
+                    try:
+                        out.append(complete([prompt])[0])
+                    except Exception:
+                        out.append(None)
+                frame["explanation"] = out
             yield frame
 
     asked = flow_prompts(flows).withColumn("_template", template())

@@ -66,7 +66,7 @@ def capture_flows(spark, folder):
 def live_flows(spark, folder):
     """All segments, with activity as of the last packet."""
     p = packets(spark, folder)
-    now = p.agg(F.unix_micros(F.max("timestamp"))).first()[0]
+    now = p.agg(F.unix_micros(F.max("timestamp"))).scalar()
     return FL.close_at(FL.live_flows(p), now)
 
 
@@ -496,13 +496,17 @@ def tfidf_terms(spark, folder):
         F.max("weight").alias("top_weight")), 4)
 
 
-@query
-def tfidf_topk(spark, folder):
+def keyword_hits(spark, folder):
     postings, idf = SP.build_index(read_table(spark, folder, "documents"), "doc_id", "text")
     vectors = SP.query_vectors(read_table(spark, folder, "benchmark"), idf, "item_id", "text")
     return SP.retrieve(postings, vectors, "doc_id", "item_id")
 
 
+@query
+def tfidf_topk(spark, folder):
+    return keyword_hits(spark, folder)
+
+
 def retrieval(spark, folder):
     """Suggested questions answered from their capture's chunks, summary chunk always included."""
     p, s, chunks = chunk_table(spark, folder)
@@ -540,6 +544,26 @@ def answers_batch(spark, folder):
     return CX.answer(prompts, ranked, ANSWER_KEYS, E.provider("mock"))
 
 
+@query
+def answer_failures(spark, folder):
+    """Answers while the model cannot be reached: an apology and the three best texts."""
+    def unreachable(prompts):
+        raise ConnectionError("model not reachable")
+
+    p, s, questions, ranked = retrieval(spark, folder)
+    captures = S.capture_summary(p, s, s).withColumn("filename", F.col("capture_id"))
+    prompts = CX.build_prompts(questions, CX.pack_context(ranked, ANSWER_KEYS), captures, "question_id")
+    return CX.answer(prompts, ranked, ANSWER_KEYS, unreachable).select(*ANSWER_KEYS, "answer")
+
+
+@query
+def retrieval_choice(spark, folder):
+    """Vector hits for the items that have some (those numbered like a label), keyword hits for the others."""
+    dense = dense_hits(spark, folder).select(F.col("label").alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
+    sparse = keyword_hits(spark, folder).select("item_id", "doc_id", "score", "rank")
+    return CX.choose_results(dense, sparse, ["item_id"])
+
+
 @query
 def dense_normalise(spark, folder):
     u = DN.normalise(read_table(spark, folder, "embeddings"), "embedding")
@@ -548,9 +572,7 @@ def dense_normalise(spark, folder):
                     F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"))
 
 
-@query
-def dense_topk(spark, folder):
-    """Nearest vectors to the centre of every label."""
+def dense_hits(spark, folder):
     unit = DN.normalise(read_table(spark, folder, "embeddings"), "embedding")
     parts = unit.select(F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("label", "pos").agg(F.avg("x").alias("m"))
@@ -559,6 +581,12 @@ def dense_topk(spark, folder):
     return DN.retrieve(unit, DN.normalise(centres, "embedding"), "vec_id", "label", "embedding")
 
 
+@query
+def dense_topk(spark, folder):
+    """Nearest vectors to the centre of every label."""
+    return dense_hits(spark, folder)
+
+
 # ---- explanations
 
 @query
@@ -643,14 +671,23 @@ def run_to_table(spark, stream: DataFrame, label: str) -> DataFrame:
     return FD.read_batches(spark, f"{path}/rows", stream.schema)
 
 
+def with_open_tail(emitted: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream wrote, and what it still held when the input ended, from the batch twin."""
+    # Not an anti join: Spark pushes that below a session window's merge, where the keys are not final yet.
+    known = emitted.select(*keys, F.lit(True).alias("_known"))
+    return emitted.unionByName(batch.join(known, keys, "left").where("_known IS NULL").drop("_known"))
+
+
 @query
 def live_flows_stream(spark, folder):
-    return run_to_table(spark, SF.live_flow_stream(packet_stream(spark, folder)), "live-flows")
+    emitted = run_to_table(spark, SF.live_flow_stream(packet_stream(spark, folder)), "live-flows")
+    return with_open_tail(emitted, live_flows(spark, folder), ["capture_id", "flow_id", "first_packet_id"])
 
 
 @query
 def protocol_minutes_stream(spark, folder):
-    return run_to_table(spark, FD.protocol_minutes(packet_stream(spark, folder)), "minutes")
+    emitted = run_to_table(spark, FD.protocol_minutes(packet_stream(spark, folder)), "minutes")
+    return with_open_tail(emitted, FD.protocol_minutes(packets(spark, folder)), ["minute", "protocol"])
 
 
 @query
@@ -669,15 +706,16 @@ def anomaly_feed_stream(spark, folder):
 
 @query
 def session_windows_stream(spark, folder):
-    schema = read_table(spark, folder, "events").schema
-    messages = FD.stream_table(spark, folder, schema, "events.parquet").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"))
-    return run_to_table(spark, FD.session_activity(messages), "sessions")
+    events = read_table(spark, folder, "events")
+    messages = lambda df: df.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"))
+    emitted = run_to_table(spark, FD.session_activity(messages(FD.stream_table(spark, folder, events.schema, "events.parquet"))), "sessions")
+    return with_open_tail(emitted, FD.session_activity(messages(events)), ["session_id", "started_at"])
 
 
 @query
 def idle_flows_stream(spark, folder):
-    return run_to_table(spark, FD.idle_flows(packet_stream(spark, folder)), "idle-flows")
+    emitted = run_to_table(spark, FD.idle_flows(packet_stream(spark, folder)), "idle-flows")
+    return with_open_tail(emitted, FD.idle_flows(packets(spark, folder)), ["capture_id", "flow_id", "start_time"])
 
 
 @query

@@ -155,6 +155,11 @@ def text_sql() -> dict[str, str]:
       SELECT capture_id, question_id, string_agg(category || '|' || substring(content, 1, 300) || '|' || printf('%.4f', round(score, 4)), chr(10) ORDER BY rank) AS sources
       FROM full_rows WHERE rank <= 4 GROUP BY 1, 2""")
 
+    q["answer_failures"] = _with(_retrieval(), """
+      SELECT capture_id, question_id, trim('I was unable to generate an answer because the LLM provider returned an error: model not reachable'
+        || '. Here is the most relevant context I found:' || chr(10) || chr(10) || coalesce(string_agg(content, chr(10) || chr(10) ORDER BY rank)
+        FILTER (rank <= 3), '')) AS answer FROM full_rows GROUP BY 1, 2""")
+
     unit = """
 unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS u FROM (
   SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
@@ -162,12 +167,16 @@ unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / CASE WHEN n = 0 T
     q["dense_normalise"] = _with(unit, """
       SELECT vec_id, CAST(len(u) AS BIGINT) AS dims, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS length_sq,
         round(u[1], 6) AS first, round(u[len(u)], 6) AS last FROM unit""")
-    q["dense_topk"] = _with(unit + """,
+    nearest = unit + """,
 parts AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM unit),
 centre0 AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM parts GROUP BY 1, 2) GROUP BY 1),
-centre AS (SELECT label, list_transform(c, lambda x: x / n) AS c FROM (SELECT label, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM centre0))""", """
-      SELECT CAST(label AS BIGINT) AS label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
-        SELECT c.label, u.vec_id, round(list_sum(list_transform(list_zip(u.u, c.c), lambda z: z[1] * z[2])), 6) AS score FROM unit u, centre c)) WHERE rank <= 6""")
+centre AS (SELECT label, list_transform(c, lambda x: x / n) AS c FROM (SELECT label, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM centre0)),
+nearest AS (SELECT CAST(label AS BIGINT) AS label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT c.label, u.vec_id, round(list_sum(list_transform(list_zip(u.u, c.c), lambda z: z[1] * z[2])), 6) AS score FROM unit u, centre c)) WHERE rank <= 6)"""
+    q["dense_topk"] = _with(nearest, "SELECT label, vec_id, score, rank FROM nearest")
+    q["retrieval_choice"] = _with(nearest + "," + docs, """
+      SELECT label AS item_id, vec_id AS doc_id, score, rank FROM nearest
+      UNION ALL SELECT query, document, score, rank FROM ranked WHERE query NOT IN (SELECT label FROM nearest)""")
 
     q["explanation_template"] = _with(SCORED, """
       SELECT capture_id, flow_id, CASE WHEN is_anomaly THEN 'Anomalous ' || protocol || ' flow detected (type: ' || anomaly_type || ', score: '
