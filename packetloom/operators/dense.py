@@ -1,14 +1,14 @@
 """Vector retrieval: exact cosine top-k for a table of query vectors.
 
-Queries are handed to the tasks in blocks of bounded size. A task multiplies its Arrow batches with
+Queries are handed to the tasks in blocks of bounded size, one after another. A task multiplies its Arrow batches with
 the block and keeps the best ``k`` rows per query, so no (query, chunk) pairs are emitted beyond
-``k`` per query and task; a window picks the global best from those.
+``k`` per query and task; each block's rows are added to a table in the
+shared folder, and a window picks the global best from those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.sparse import TOP_K
+from packetloom.runtime import materialize, scratch_path
 
 QUERY_BLOCK_VALUES = 8_000_000  # floats of one query block, 64 MB
 
@@ -39,10 +40,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
 
 
-def _block_top(vectors: DataFrame, doc_id: str, column: str, query_id: str, ids: list, matrix: np.ndarray,
-               k: int, digits: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
+def _block_top(vectors: DataFrame, doc_id: str, column: str, query_id: str, shared, k: int, digits: int) -> DataFrame:
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
         best_ids = [np.empty(0, np.int64) for _ in names]
@@ -72,17 +70,22 @@ def retrieve(vectors: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
 
     Both ids are bigint. ``vectors`` and ``queries`` hold normalised double arrays of one length.
     """
+    spark = vectors.sparkSession
+    found = f"{query_id} bigint, {doc_id} bigint, score double"
+    path = scratch_path(spark, "dense-hits")
+    spark.range(0).selectExpr(f"id AS {query_id}", f"id AS {doc_id}", "0D AS score").write.parquet(path)
     first = queries.select(F.size(column).alias("d")).first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], f"{query_id} bigint, {doc_id} bigint, score double, rank int")
-    per_block = max(1, QUERY_BLOCK_VALUES // max(1, first["d"]))
-    blocks = -(-queries.count() // per_block)
-    placed = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    parts = []
+    per_block = max(1, QUERY_BLOCK_VALUES // max(1, first["d"])) if first else 1
+    blocks = -(-queries.count() // per_block) if first else 0
+    if blocks > 1:
+        vectors, queries = materialize(vectors, "vectors"), materialize(queries, "query-vectors")
+    placed = F.pmod(F.xxhash64(query_id), F.lit(max(1, blocks)))
     for b in range(blocks):
+        # One block of queries at a time is on the driver and the executors; its hits are a table before the next comes.
         rows = queries.where(placed == b).select(query_id, column).orderBy(query_id).collect()
         if rows:
-            matrix = np.array([r[1] for r in rows], dtype=np.float64)
-            parts.append(_block_top(vectors, doc_id, column, query_id, [r[0] for r in rows], matrix, k, digits))
+            shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
+            _block_top(vectors, doc_id, column, query_id, shared, k, digits).write.mode("append").parquet(path)
+            shared.unpersist()
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(doc_id).asc())
-    return reduce(lambda a, c: a.unionByName(c), parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return spark.read.schema(found).parquet(path).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
