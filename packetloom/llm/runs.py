@@ -1,20 +1,22 @@
 """Removing repeated byte passages by a run-length index.
 
-The windows of 50 bytes that may repeat are cut out as strings, one per stretch of windows with the same anchor, so that
-equal windows always meet under one anchor. Per batch of anchors the different strings are indexed: their suffixes, in
-the order of their first 50 bytes and then of document and place, give a Burrows-Wheeler transform that is kept as runs;
-a run also ends where the 50 bytes change, and run ends carry a sample (document of the row). As rows of equal
-context are in document order, the sample at the head of a context names the first document with it. Matching
-statistics, capped at 50, are then streamed: each window of each string is put to the index, and where its match of 50
-bytes has a sample of a smaller document it is a long match. Long matches of all strings, merged, are the removed spans.
-
-Strings that many documents share are indexed once per task that sends them, and their statistics go back to the
-documents by a join, so no anchor, passage or group of copies is gathered with all its documents in one task. The order
-needs no more than the first 50 bytes, so ranks are doubled (8, 16, 32, 50 bytes) and the index is never sorted further.
+The windows of 50 bytes that may repeat are cut out as strings, one per stretch of windows with the same smallest gram, so
+that equal windows always meet in the same range of gram hashes. Per range the different strings are indexed: their
+windows, in order of their first eight bytes, then of the hash of all fifty, then of document and place, give a
+Burrows-Wheeler transform of bounded context that is kept as runs; a run also ends where the fifty bytes change, and run
+heads carry a sample (document of the row). As rows of equal context are in document order, the sample at the head of a
+context names the first document with it. Matching statistics, capped at 50, are then streamed: each window of each string
+is put to the index, and where its match of 50 bytes has a sample of a smaller document it is a long match. Long matches
+of all strings, merged, are the removed spans.
+
+Where a task meets one string in several documents, all but the first are long matches at once, and the string is sent on
+for its first document alone: a passage in a third of all rows reaches its range once per task. Strings travel packed by
+range. A string's windows need no more than their 50 bytes, and neighbours of equal hash are compared byte by byte.
 
 Nulls and odd rows: a null or empty text has no bytes; a null doc_id counts as larger than all others; rows with the
-same doc_id do not remove each other's bytes; an empty table gives an empty result. Only ``doc_id`` and ``text`` are
-read. Bytes that are kept may begin or end inside a character, as windows are of bytes.
+same doc_id do not remove each other's bytes (different texts under one doc_id are told apart by 16 bits of their hash); an
+empty table gives an empty result. Only ``doc_id`` and ``text`` are read. Bytes that are kept may begin or end inside a
+character, as windows are of bytes.
 """
 
 from __future__ import annotations
@@ -27,178 +29,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import table, written
-from packetloom.llm.shared_windows import NO_ID, WINDOW, Bytes, candidates, eights, minima
+from packetloom.llm.common import table
+from packetloom.llm.shared_windows import HASH_BITS, NO_ID, WINDOW, Bytes, candidates, eights, minima, mixed
 from packetloom.llm.substrings import keyed
 
 BATCH_BYTES = 2_000_000
+GROUP_BYTES = 24_000_000
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<int>, stops array<int>, whole string"
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                   ("kept", pa.binary()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("whole", pa.string())])
 
 
+class Grouping(Bytes):
+    """Shorter grams give longer stretches; they only have to group windows, not to tell them apart."""
+
+    gram = 16
+
+    @classmethod
+    def grams(cls, units: np.ndarray) -> np.ndarray:
+        eight = eights(units)
+        n = len(units) - cls.gram + 1
+        return mixed(mixed(eight[:n] * np.uint64(0xC2B2AE3D27D4EB4F)) + eight[8:n + 8] * np.uint64(0x165667B19E3779F9))
+
+
 def stretches(units: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor) of each stretch of windows with one repeated anchor."""
-    at = minima(units, Bytes)
-    wanted = np.flatnonzero(np.isin(at, anchors))
+    """(first window, last window, group) of each stretch of repeatable windows with one smallest gram."""
+    wanted = np.flatnonzero(np.isin(minima(units, Bytes), anchors))
     if not len(wanted):
-        return wanted, wanted, at[:0]
+        return wanted, wanted, np.empty(0, np.uint64)
+    group = minima(units, Grouping)[wanted]
     new = np.ones(len(wanted), bool)
-    new[1:] = (np.diff(wanted) != 1) | (at[wanted[1:]] != at[wanted[:-1]])
+    new[1:] = (np.diff(wanted) != 1) | (group[1:] != group[:-1])
     heads = np.flatnonzero(new)
-    return wanted[heads], wanted[np.append(heads[1:], len(wanted)) - 1], at[wanted[heads]]
+    return wanted[heads], wanted[np.append(heads[1:], len(wanted)) - 1], group[heads]
 
 
-def _strings(batches: Iterator[pa.RecordBatch]):
-    """(doc_id, hash of the text, first window, anchor, bytes) of each candidate stretch, by documents."""
-    from xxhash import xxh64_intdigest
+_SENT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.int64())), ("blob", pa.binary())])
+SENT = "bucket long, doc_id long, tag int, spans array<long>, blob binary"
 
-    for batch in batches:
-        for doc_id, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            raw = text.as_py().encode()
-            units, tag = np.frombuffer(raw, np.uint8), xxh64_intdigest(raw, 42)  # as Spark's xxhash64
-            tag -= (tag >> 63) << 64
-            first, last, anchor = stretches(units, np.asarray(anchors.values).view(np.uint64))
-            for a, b, h in zip(first.tolist(), last.tolist(), anchor.view(np.int64).tolist()):
-                yield doc_id, tag, a, h, raw[a:b + WINDOW]
+
+def _pack(strings: list[bytes], parts: np.ndarray, docs: np.ndarray, tags: np.ndarray, places: np.ndarray) -> bytes:
+    """One entry per string and place: which part of the range it belongs to, its document, text and place."""
+    import zstandard
+
+    lengths = np.array([len(x) for x in strings], np.int32)
+    raw = np.int64(len(strings)).tobytes() + b"".join(x.tobytes() for x in (lengths, parts, docs, tags, places)) + b"".join(strings)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def _name(string: bytes) -> bytes:
-    return hashlib.blake2b(string, digest_size=12).digest()
+def _unpack(blob: bytes):
+    import zstandard
 
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, found = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in (np.int32, np.uint8, np.int64, np.int32, np.int32):
+        found.append(np.frombuffer(raw, kind, n, at))
+        at += found[-1].nbytes
+    ends = (at + np.cumsum(found[0])).tolist()
+    return [raw[a:b] for a, b in zip([at, *ends], ends)], *found[1:]
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "name", "doc_id", "tag", "at"]
-    out = []
-    for doc_id, tag, first, anchor, string in _strings(batches):
-        out.append((anchor, _name(string), doc_id, tag, first))
-        if len(out) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
 
+def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Candidate documents -> long matches seen in the task, and the different strings by ranges of their group."""
+    from xxhash import xxh64_intdigest
 
-def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different strings of some rows with the first document of each; combines before the shuffle."""
-    first: dict[tuple[int, bytes], int] = {}
+    first: dict[bytes, list] = {}  # string -> [document, group, (tag, place), ...]
+    matched: dict[tuple[int, int], list[int]] = {}
     size = 0
 
+    def match(string: bytes, doc_id: int, places) -> None:
+        for tag, at in places:
+            matched.setdefault((doc_id, tag), []).append(at << 32 | at + len(string))
+
     def flush():
-        nonlocal size
-        keys = list(first)
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(first.values()), pa.int64())],
-            names=["anchor", "string", "doc_id"])
+        rows = [(-1 - doc_id % 65536, doc_id, tag, spans, None) for (doc_id, tag), spans in matched.items()]
+        if first:
+            strings = [s for s, entry in first.items() for _ in entry[2:]]
+            docs, groups, tags, places = (np.array(x, t) for x, t in zip(
+                zip(*[(e[0], e[1], tag, at) for e in first.values() for tag, at in e[2:]]), (np.int64, np.uint64, np.int32, np.int32)))
+            at = (groups >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
+            parts = (groups & np.uint64(255)).astype(np.uint8)
+            for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if j > i:
+                    own = order[i:j]
+                    rows.append((b, None, None, None, _pack([strings[x] for x in own.tolist()], parts[own], docs[own], tags[own], places[own])))
         first.clear()
-        size = 0
-        return batch
+        matched.clear()
+        for i in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 5000]), _SENT)], schema=_SENT)
 
-    for doc_id, _, _, anchor, string in _strings(batches):
-        key = (anchor, string)
-        before = first.get(key)
-        if before is None:
-            first[key] = doc_id
-            size += len(string)
-            if size >= 32_000_000:
-                yield flush()
-        elif doc_id < before:
-            first[key] = doc_id
-    yield flush()
+    for batch in batches:
+        for doc_id, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            raw = text.as_py().encode()
+            tag = xxh64_intdigest(raw, 42) & 0xFFFF  # 16 bits of Spark's xxhash64
+            starts, last, group = stretches(np.frombuffer(raw, np.uint8), np.asarray(anchors.values).view(np.uint64))
+            for a, b, g in zip(starts.tolist(), (last + WINDOW).tolist(), group.tolist()):
+                string = raw[a:b]
+                entry = first.get(string)
+                if entry is None:
+                    first[string] = [doc_id, g, (tag, a)]
+                    size += b - a
+                elif doc_id == entry[0]:
+                    entry.append((tag, a))
+                elif doc_id > entry[0]:
+                    match(string, doc_id, [(tag, a)])
+                else:
+                    match(string, entry[0], entry[2:])
+                    first[string] = [doc_id, g, (tag, a)]
+            if size >= GROUP_BYTES:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 class RunLengthIndex:
     """Runs of the transform over ``strings`` (bytes, first document), with a sample at each run's head."""
 
     def __init__(self, strings: list[bytes], docs: np.ndarray):
-        self.lengths = np.array([len(s) for s in strings])
-        text = np.frombuffer(b"".join(strings) + bytes(WINDOW), np.uint8)
-        n = len(text) - WINDOW
-        rank = np.unique(eights(text)[:n + WINDOW - 8].byteswap(), return_inverse=True)[1].astype(np.uint64)
-        for width, shift in ((8, 8), (16, 16), (32, WINDOW - 32)):
-            have = len(rank) - shift
-            pair = (rank[:have] << np.uint64(32)) | rank[shift:shift + have]
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        ends = np.cumsum(self.lengths)
-        begins = ends - self.lengths
-        inside = np.arange(n) <= np.repeat(ends, self.lengths) - WINDOW
-        self.begins, self.places = begins, np.flatnonzero(inside)
-        owner = np.repeat(docs, self.lengths)[self.places]
-        context = rank[self.places]
-        # Rows: by the next 50 bytes, then document, then place.
-        rows = np.lexsort((self.places, owner, context))
+        lengths = np.array([len(s) for s in strings])
+        text = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
+        ends = np.cumsum(lengths)
+        self.counts = lengths - WINDOW + 1
+        self.places = np.repeat(ends - lengths - np.cumsum(self.counts) + self.counts, self.counts) + np.arange(self.counts.sum())
+        eight = eights(text)
+        words = [eight[self.places + at] for at in (0, 8, 16, 24, 32, 40, WINDOW - 8)]
+        context = words[0]
+        for w in words[1:]:
+            context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + w)
+        owner = np.repeat(docs, self.counts)
+        # Rows: by the next bytes, then document, then place.
+        rows = np.lexsort((owner, context, words[0].byteswap()))
         self.row_of = np.empty(len(rows), np.int64)
         self.row_of[rows] = np.arange(len(rows))
-        before = np.where(np.isin(self.places, begins), 256, text[np.maximum(self.places - 1, 0)].astype(np.int64))
-        letters, contexts = before[rows], context[rows]
-        new = np.ones(len(rows), bool)
-        new[1:] = (letters[1:] != letters[:-1]) | (contexts[1:] != contexts[:-1])
+        changed = np.ones(len(rows), bool)
+        changed[1:] = False
+        for w in words:
+            w = w[rows]
+            changed[1:] |= w[1:] != w[:-1]
+        is_first = np.zeros(len(text), bool)
+        is_first[ends - lengths] = True
+        letters = np.where(is_first[self.places], 256, text[np.maximum(self.places - 1, 0)].astype(np.int64))[rows]
+        new = changed.copy()
+        new[1:] |= letters[1:] != letters[:-1]
         self.heads = np.flatnonzero(new)  # first row of each run
         self.letters = letters[self.heads]
         self.samples = owner[rows[self.heads]]  # document at each run's head
-        starts = np.ones(len(self.heads), bool)
-        starts[1:] = contexts[self.heads][1:] != contexts[self.heads][:-1]
-        self.context_run = np.maximum.accumulate(np.where(starts, np.arange(len(self.heads)), 0))
+        self.context_run = np.maximum.accumulate(np.where(changed[self.heads], np.arange(len(self.heads)), 0))
 
     def first_documents(self) -> list[np.ndarray]:
         """Per string, for each window the first document with its 50 bytes (streamed over all windows)."""
         run = np.searchsorted(self.heads, self.row_of, side="right") - 1
-        first = self.samples[self.context_run[run]]
-        counts = self.lengths - WINDOW + 1
-        return np.split(first, np.cumsum(counts)[:-1])
-
-
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings in order of anchor -> per string, runs of windows by their first document."""
-    first: dict[tuple[int, bytes], int] = {}
-    size, current = 0, None
+        return np.split(self.samples[self.context_run[run]], np.cumsum(self.counts)[:-1])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their range -> (doc_id, tag, spans) of the long matches."""
+    current, blobs, out = None, [], []
+
+    def batches_of(strings, parts, docs, tags, places):
+        """The range's entries, a few parts at a time: equal windows are in one part."""
+        order = np.argsort(parts, kind="stable")
+        sizes = np.array([len(strings[i]) for i in order.tolist()])
+        part, total, start = parts[order], 0, 0
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(order))
+        for end in ends.tolist():
+            total = int(sizes[start:end].sum())
+            if total >= BATCH_BYTES or end == len(order):
+                own = order[start:end]
+                yield [strings[i] for i in own.tolist()], docs[own], tags[own], places[own]
+                start = end
+
+    def finish():
+        if blobs:
+            unpacked = [_unpack(b) for b in blobs]
+            strings = [s for u in unpacked for s in u[0]]
+            for some, docs, tags, places in batches_of(strings, *(np.concatenate(x) for x in list(zip(*unpacked))[1:])):
+                different: dict[bytes, int] = {}
+                number = [different.setdefault(s, len(different)) for s in some]
+                least = np.full(len(different), NO_ID)
+                np.minimum.at(least, number, docs)
+                found = RunLengthIndex(list(different), least).first_documents()
+                for n, doc_id, tag, at in zip(number, docs.tolist(), tags.tolist(), places.tolist()):
+                    gone = found[n] < doc_id
+                    if gone.any():
+                        edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+                        out.append((doc_id, tag, [(at + a) << 32 | (at + b - 1 + WINDOW) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]))
+        blobs.clear()
 
     def flush():
-        nonlocal size
-        keys = list(first)
-        docs = np.array([first[k] for k in keys], np.int64)
-        out = []
-        if keys:
-            for (anchor, string), found in zip(keys, RunLengthIndex([k[1] for k in keys], docs).first_documents()):
-                cuts = np.flatnonzero(np.diff(found)) + 1
-                out.append((anchor, _name(string), np.insert(cuts, 0, 0), np.append(cuts, len(found)), found[np.insert(cuts, 0, 0)]))
-        first.clear()
-        size = 0
-        columns = list(zip(*out)) if out else [()] * 5
-        types = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["anchor", "name", "starts", "stops", "sources"])
+        columns = list(zip(*out)) if out else [()] * 3
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int64())))],
+                                           names=["doc_id", "tag", "spans"])
+        out.clear()
+        return batch
 
     for batch in batches:
-        for anchor, string, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if anchor != current:
-                if size >= BATCH_BYTES:
-                    yield flush()
-                current = anchor
-            key = (anchor, string)
-            before = first.get(key)
-            if before is None:
-                first[key] = doc_id
-                size += len(string)
-            elif doc_id < before:
-                first[key] = doc_id
+        for bucket, doc_id, tag, spans, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
+            if bucket < 0:
+                out.append((doc_id, tag, np.asarray(spans.values)))
+            else:
+                if bucket != current:
+                    finish()
+                    current = bucket
+                blobs.append(blob.as_py())
+            if len(out) >= 20_000:
+                yield flush()
+    finish()
     yield flush()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, text, first, last in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-            raw = text.as_py().encode()
-            marks = np.zeros(len(raw) + 1, np.int64)
-            first, last = np.asarray(first.values), np.asarray(last.values)
-            fits = last < len(raw) + 1
-            np.add.at(marks, first[fits], 1)
-            np.add.at(marks, last[fits], -1)
-            removed = np.cumsum(marks)[:-1] > 0
-            edges = np.diff(removed.astype(np.int8), prepend=0, append=0)
-            starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            raw, spans = text.as_py().encode(), np.asarray(spans.values)
+            spans = spans[spans & 0xFFFFFFFF <= len(raw)]
+            marks = np.bincount(spans >> 32, minlength=len(raw) + 1) - np.bincount(spans & 0xFFFFFFFF, minlength=len(raw) + 1)
+            removed = np.cumsum(marks[:-1]) > 0
+            edges = np.flatnonzero(np.diff(removed, prepend=False, append=False))
             kept = np.frombuffer(raw, np.uint8)[~removed].tobytes()
-            out.append((doc_id, len(raw), int(removed.sum()), len(starts), kept, starts, stops, hashlib.sha256(raw).hexdigest()))
+            out.append((doc_id, len(raw), int(removed.sum()), len(edges) // 2, kept, edges[::2], edges[1::2], hashlib.sha256(raw).hexdigest()))
             if len(out) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _CUT)], schema=_CUT)
                 out = []
@@ -208,17 +260,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def long_matches(docs: DataFrame) -> DataFrame:
     """Documents that lose bytes, once each: the removed spans, what is kept, and the sha256 of the whole text."""
-    found = written(candidates(keyed(docs), Bytes), "runs-candidates")
-    strings = found.mapInArrow(_different, "anchor long, string binary, doc_id long")
-    index = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        _indexed, "anchor long, name binary, starts array<int>, stops array<int>, sources array<long>")
-    places = found.mapInArrow(_occurrences, "anchor long, name binary, doc_id long, tag long, at long")
-    hits = places.join(index, ["anchor", "name"]).select(
-        "doc_id", "tag", "at", F.explode(F.arrays_zip("starts", "stops", "sources")).alias("w")).where(F.col("w.sources") < F.col("doc_id"))
-    spans = hits.select("doc_id", "tag", (F.col("at") + F.col("w.starts")).cast("int").alias("first"),
-                        (F.col("at") + F.col("w.stops") - 1 + WINDOW).cast("int").alias("last")).groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("first", "last")).alias("s")).select("doc_id", "tag", F.col("s.first").alias("first"), F.col("s.last").alias("last"))
-    met = found.select("doc_id", F.xxhash64("text").alias("tag"), "text").join(spans, ["doc_id", "tag"]).select("doc_id", "text", "first", "last")
+    docs = keyed(docs).where("text IS NOT NULL")
+    buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = candidates(docs, Bytes).mapInArrow(lambda b: _sent(b, buckets), SENT)
+    matched = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_matched, "doc_id long, tag int, spans array<long>")
+    spans = matched.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")
+    met = docs.withColumn("tag", tag).join(spans, ["doc_id", "tag"]).select("doc_id", "text", "spans")
     return met.mapInArrow(_cut, CUT).where("n_removed > 0").dropDuplicates(["doc_id", "whole"])
 
 

@@ -26,7 +26,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser: multiply and shift."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -56,7 +56,7 @@ def chained(x: np.ndarray, width: int) -> np.ndarray:
             cur = cur[:-size] * np.uint64(base) + cur[size:]
             base = base * base % (1 << 64)
             size *= 2
-    return _mixed(out)
+    return mixed(out)
 
 
 class Words:
@@ -98,8 +98,8 @@ class Bytes:
         n = len(units) - cls.gram + 1
         h = eight[:n] * _ODD
         h ^= eight[8:n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = _mixed(h) + eight[16:n + 16] * np.uint64(0x165667B19E3779F9)
-        return _mixed(h)
+        h = mixed(h) + eight[16:n + 16] * np.uint64(0x165667B19E3779F9)
+        return mixed(h)
 
 
 def eights(units: np.ndarray) -> np.ndarray:
