@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +51,25 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Query:
     return run
 
 
-# Plans, not data: the same lazy DataFrame serves every use within and across queries.
+def per_session(build):
+    """Plans, not data: one lazy DataFrame per folder serves every use; it lives and dies with its session."""
 
-@lru_cache(maxsize=16)
+    @wraps(build)
+    def found(spark, folder):
+        plans = spark.__dict__.setdefault("_packetloom_plans", {})
+        if (build.__name__, folder) not in plans:
+            plans[build.__name__, folder] = build(spark, folder)
+        return plans[build.__name__, folder]
+
+    return found
+
+
+@per_session
 def packets(spark, folder):
     return build_packets(spark, folder)
 
 
-@lru_cache(maxsize=16)
+@per_session
 def capture_flows(spark, folder):
     return FL.capture_flows(packets(spark, folder))
 
@@ -70,12 +81,12 @@ def live_flows(spark, folder):
     return FL.close_at(FL.live_flows(p), now)
 
 
-@lru_cache(maxsize=16)
+@per_session
 def scored(spark, folder):
     return X.scored_flows(capture_flows(spark, folder))
 
 
-@lru_cache(maxsize=16)
+@per_session
 def anomaly_table(spark, folder):
     return X.anomaly_table(scored(spark, folder))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-
-
 PACKET_COLUMNS = [
     "capture_id", "packet_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
     "length", "ttl", "tcp_flags", "payload_preview", "flow_id", "dns_query", "dns_response",
@@ -27,20 +24,4 @@ FLOW_COLUMNS = [
     "packets_per_second", "bytes_per_second", "is_active", "close_reason",
 ]
 
-FLOW_DDL = (
-    "capture_id string, flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, "
-    "protocol string, first_packet_id bigint, start_time timestamp, end_time timestamp, "
-    "duration_seconds double, packet_count bigint, byte_count bigint, avg_packet_size double, "
-    "min_packet_size int, max_packet_size int, tcp_syn_count bigint, tcp_fin_count bigint, "
-    "tcp_rst_count bigint, tcp_ack_count bigint, tcp_psh_count bigint, "
-    "packets_per_second double, bytes_per_second double, is_active boolean, close_reason string"
-)
-
-ANOMALY_COLUMNS = [
-    "anomaly_id", "capture_id", "flow_id", "start_time", "detector_name", "if_score", "ae_score",
-    "ensemble_score", "is_anomaly", "anomaly_type", "severity", "explanation", "detected_at",
-]
-
 CHUNK_COLUMNS = ["capture_id", "chunk_id", "category", "content", "metadata"]
-
-RAW_FRAME_DDL = "capture_id string, packet_id bigint, ts_us bigint, caplen int, raw binary"

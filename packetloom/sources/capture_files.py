@@ -1,8 +1,9 @@
 """Capture files (.pcap, .pcapng, .cap) to raw frames, one task per group of files.
 
 Files are listed and read by Spark's ``binaryFile`` source, so any Hadoop file system works and the
-same code serves batch and streaming reads. Uploads are limited to 200 MB per file; that bound
-is what lets one row hold one file. Only the walk over record headers is Python, on Arrow batches.
+same code serves batch and streaming reads. A file is one row, so files have a size limit (a parameter, 200 MB by
+default); a file that is not admitted, or is damaged somewhere, gives a row with its ``error`` beside the frames that could
+be read. Only the walk over record headers is Python, on Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MAX_FILE_BYTES = 200 * 1024 * 1024
 MIN_FILE_BYTES = 24
@@ -36,20 +38,20 @@ _CLASSIC_MAGIC = {  # first four bytes -> (byte order, time units per second)
 _NG_SECTION, _NG_INTERFACE, _NG_SIMPLE, _NG_ENHANCED = 0x0A0D0D0A, 1, 3, 6
 
 
-def rejection(path: Column, length: Column) -> Column:
+def rejection(path: Column, length: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
     """Why a file is not admitted; null for good ones."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
     return (
         F.when(~suffix.isin(EXTENSIONS), F.concat(F.lit("unsupported file type "), suffix))
-        .when(length > MAX_FILE_BYTES, "file exceeds 200 MB limit")
+        .when(length > max_bytes, f"file exceeds {max_bytes // 1024 ** 2} MB limit")
         .when(length < MIN_FILE_BYTES, "file is too small to be a capture")
     )
 
 
-def list_captures(spark: SparkSession, folder: str) -> DataFrame:
+def list_captures(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Path, size and rejection reason of every file; reads no file content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", rejection(F.col("path"), F.col("length")).alias("reason"))
+    return files.select("path", "length", rejection(F.col("path"), F.col("length"), max_bytes).alias("reason"))
 
 
 def _classic(data: memoryview, order: str, per_second: int) -> Iterator[tuple]:
@@ -59,10 +61,12 @@ def _classic(data: memoryview, order: str, per_second: int) -> Iterator[tuple]:
     while at + 16 <= end:
         seconds, fraction, size, _ = header.unpack_from(data, at)
         at += 16
-        if at + size > end:  # cut-off last record
-            return
+        if at + size > end:
+            raise ValueError(f"record at byte {at - 16} is cut off")
         yield seconds * 1_000_000 + fraction * 1_000_000 // per_second, link & 0xFFFF, data[at:at + size]
         at += size
+    if at < end:
+        raise ValueError(f"record at byte {at} is cut off")
 
 
 def _ng_resolution(options: memoryview, order: str) -> int:
@@ -88,7 +92,7 @@ def _ng(data: memoryview) -> Iterator[tuple]:
             interfaces = []
         (size,) = struct.unpack_from(order + "I", data, at + 4)
         if size < 12 or at + size > end:
-            return
+            raise ValueError(f"block at byte {at} is cut off")
         body = data[at + 8:at + size - 4]
         if kind == _NG_INTERFACE:
             (link,) = struct.unpack_from(order + "H", body, 0)
@@ -135,15 +139,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_FRAME_ARROW)
 
 
-def frames_of(files: DataFrame) -> DataFrame:
-    """Raw frames of the admitted files; a file that cannot be read gives one row with ``error``."""
-    admitted = files.where(rejection(F.col("path"), F.col("length")).isNull())
+def frames_of(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Raw frames of the admitted files; where a file cannot be read any further it gives a row with ``error``."""
+    admitted = files.where(rejection(F.col("path"), F.col("length"), max_bytes).isNull())
     return admitted.select(F.col("path").alias("capture_id"), "content").mapInArrow(_frames, FRAME_DDL)
 
 
-def scan_captures(spark: SparkSession, folder: str) -> DataFrame:
+def scan_captures(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Frames of all files below ``folder``, and one error row per file that is not admitted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return frames_of(files)
+    rejected = list_captures(spark, folder, max_bytes).where("reason IS NOT NULL")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in StructType.fromDDL(FRAME_DDL).fields}
+    errors = rejected.select(*[({**empty, "capture_id": F.col("path"), "error": F.col("reason")})[c].alias(c) for c in empty])
+    return frames_of(files, max_bytes).unionByName(errors)
 
 
 def stream_captures(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -164,7 +172,6 @@ def capture_status(spark: SparkSession, folder: str, frames: DataFrame, packets:
         listed.join(broken, "capture_id", "left").join(counted, "capture_id", "left")
         .select(
             "capture_id", "length", F.coalesce("packets", F.lit(0).cast("bigint")).alias("packets"),
-            F.coalesce("reason", F.when(F.col("packets").isNull(), F.coalesce(
-                "error", F.lit("no parseable IP/ARP packets found")))).alias("error"),
+            F.coalesce("reason", "error", F.when(F.col("packets").isNull(), F.lit("no parseable IP/ARP packets found"))).alias("error"),
         )
     )

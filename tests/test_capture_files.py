@@ -38,8 +38,12 @@ def test_classic(order, magic, fraction):
         (1_700_000_000_000_000 + fraction, 1, FRAME), (1_700_000_001_000_000 + fraction, 1, FRAME)]
 
 
-def test_cut_record_is_left_out():
-    assert len(list(CF.walk_records(classic(frames=3, cut=5)))) == 2
+def test_cut_record_is_reported():
+    found = []
+    with pytest.raises(ValueError, match="cut off"):
+        for record in CF.walk_records(classic(frames=3, cut=5)):
+            found.append(record)
+    assert len(found) == 2
 
 
 @pytest.mark.parametrize("resolution", [None, 9, 3])
