@@ -131,3 +131,18 @@ def generate_report(spark: SparkSession, name: str, fmt: str, out_dir: str, pack
 def list_reports(spark: SparkSession, out_dir: str, n: int = REGISTRY_SHOWN) -> DataFrame:
     registry = spark.read.schema(REGISTRY_DDL).parquet(f"{out_dir.rstrip('/')}/registry")
     return registry.orderBy(F.col("created_at").desc(), "file_path").limit(n)
+
+
+def find_report(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """The registry rows of one report, newest first; none if there is no such report."""
+    registry = spark.read.schema(REGISTRY_DDL).parquet(f"{out_dir.rstrip('/')}/registry")
+    return registry.where(F.col("name") == name).orderBy(F.col("created_at").desc(), "file_path")
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The head of a written JSON report as (part, key, n) rows."""
+    ddl = "summary map<string, bigint>, protocol_breakdown map<string, bigint>, top_talkers array<struct<ip: string, packets: bigint>>"
+    head = spark.read.schema(ddl).option("multiLine", True).json(f"{path}/summary")
+    maps = [head.select(F.lit(part).alias("part"), F.explode(part).alias("key", "n")) for part in ("summary", "protocol_breakdown")]
+    talkers = head.select(F.inline("top_talkers")).select(F.lit("top_talkers").alias("part"), F.col("ip").alias("key"), F.col("packets").alias("n"))
+    return maps[0].unionByName(maps[1]).unionByName(talkers)

@@ -770,3 +770,18 @@ def json_report_anomalies(spark, folder):
 def report_registry(spark, folder):
     path, _ = written_report(spark, folder, "pdf")
     return R.list_reports(spark, path).select("name", "format", "packet_count", "flow_count", "anomaly_count")
+
+
+@query
+def json_report_document(spark, folder):
+    """The written JSON document, taken apart again."""
+    _, row = written_report(spark, folder, "json")
+    return R.read_document(spark, row.first()["file_path"])
+
+
+@query
+def report_lookup(spark, folder):
+    """One report found by its name in a registry of two."""
+    path, _ = written_report(spark, folder, "pdf")
+    R.generate_report(spark, "other", "csv", path, packets(spark, folder), capture_flows(spark, folder), anomaly_table(spark, folder))
+    return R.find_report(spark, path, "other").select("name", "format", "packet_count", "flow_count", "anomaly_count")

@@ -370,6 +370,7 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id,
         UNION ALL SELECT 'top_talkers', src_ip, n FROM (SELECT src_ip, count(*) AS n FROM packets GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
         UNION ALL SELECT 'summary', 'packet_count', count(*) FROM packets UNION ALL SELECT 'summary', 'flow_count', count(*) FROM flows
         UNION ALL SELECT 'summary', 'anomaly_count', count(*) FROM anomalies WHERE is_anomaly)""")
+    q["json_report_document"] = q["json_report_parts"]
     q["csv_report"] = q["flow_anomaly_report"]
 
     # ---- sessions and messages
@@ -420,5 +421,7 @@ idle_s AS (SELECT *, sum(CASE WHEN rn = 1 OR us - p > 120000000 THEN 1 ELSE 0 EN
       SELECT 'traffic' AS name, 'pdf' AS format, (SELECT count(*) FROM packets) AS packet_count, (SELECT count(*) FROM flows) AS flow_count,
         (SELECT count(*) FROM anomalies WHERE is_anomaly) AS anomaly_count""")
 
+    q["report_lookup"] = q["report_registry"].replace("'traffic' AS name, 'pdf' AS format", "'other' AS name, 'csv' AS format")
+
     q.update(oracle_text.text_sql())
     return q
