@@ -169,6 +169,8 @@ def _refined(hot: DataFrame, k: int, hot_rows: int) -> DataFrame:
 
 def links(distinct: DataFrame, k: int = K, hot_rows: int = HOT) -> DataFrame:
     """(fp) of different fingerprints -> pairs (a, b) that chain all that differ in at most ``k`` bits."""
+    # 64 rows come of each fingerprint: a table of few bytes must not mean few tasks.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     low = F.lit((1 << 32) - 1)
     halves = distinct.select(F.explode(F.array(
         F.struct(F.lit(0).alias("seg"), F.col("fp").bitwiseAND(low).alias("half")),
