@@ -1,8 +1,9 @@
 """Token ids of whole texts through a public tokenizer file, fast enough for a whole corpus.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids of its white-space words
-one after another. Words are looked up in a table that each Python worker keeps (two generations of at most
-``MEMO`` words; the older one goes when the younger is full); only unknown words reach the library. Most unknown words are letters between ASCII punctuation; their
+one after another. It also never joins letters, digits and other characters. Pieces (or, in texts with unusual characters,
+words) are looked up in a table that each Python worker keeps (two generations of at most ``MEMO`` entries; the older one
+goes when the younger is full); only unknown ones reach the library. Most unknown words are letters between ASCII punctuation; their
 letters go to the library's BPE model directly, everything else through its full encoding.
 """
 
@@ -17,6 +18,9 @@ import numpy as np
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MEMO = 150_000
+# In a lower-cased text: what the fast way does not know, and the pieces that the tokenizer cuts everything else into.
+_UNKNOWN = re.compile(r"[^\t-\r\x20-\x26\x28-\x7eß-öø-ňŋ-ɏ]")
+_PIECES = re.compile(r"[a-zß-öø-ňŋ-ɏ]+|[0-9]|[^\sa-z0-9ß-öø-ňŋ-ɏ]+")
 # Python's split() also cuts at these four, which the tokenizer keeps.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 # Lower-case letters that neither normalise nor change case further, between plain punctuation.
@@ -57,11 +61,14 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.as_bytes = _byte_letters()
-        self.letters, self.words = _Memo(self._letters, memo), _Memo(self._word, memo)
+        self.pieces, self.letters, self.words = (_Memo(make, memo) for make in (self._piece, self._letters, self._word))
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return self._letters(piece) if piece[0].isalpha() else self.encode(piece)
+
     def _letters(self, letters: str) -> bytes:
         plain = letters if letters.isascii() else "".join(map(self.as_bytes.__getitem__, letters.encode()))
         return np.asarray([t.id for t in self.tokenizer.model.tokenize(plain)], "<u2").tobytes()
@@ -97,6 +104,9 @@ def encoder(path: str, memo: int = MEMO):
     def ids(text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u2")
+        lower = text.lower()
+        if "<|" not in text and not _UNKNOWN.search(lower):
+            return np.frombuffer(b"".join(map(table.pieces.__getitem__, _PIECES.findall(lower))), "<u2")
         if _SEPARATORS.search(text):
             return np.frombuffer(table.encode(text), "<u2")
         return np.frombuffer(b"".join(map(table.words.__getitem__, text.split())), "<u2")
