@@ -34,7 +34,7 @@ from packetloom.llm.shared_windows import HASH_BITS, NO_ID, WINDOW, Bytes, candi
 from packetloom.llm.substrings import keyed
 
 BATCH_BYTES = 2_000_000
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 12_000_000
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<int>, stops array<int>, whole string"
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                   ("kept", pa.binary()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("whole", pa.string())])
@@ -259,7 +259,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def long_matches(docs: DataFrame) -> DataFrame:
-    """Documents that lose bytes, once each: the removed spans, what is kept, and the sha256 of the whole text."""
+    """Rows that lose bytes: the removed spans, what is kept, and the sha256 of the whole text."""
     docs = keyed(docs).where("text IS NOT NULL")
     buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = candidates(docs, Bytes).mapInArrow(lambda b: _sent(b, buckets), SENT)
@@ -267,12 +267,13 @@ def long_matches(docs: DataFrame) -> DataFrame:
     spans = matched.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")
     met = docs.withColumn("tag", tag).join(spans, ["doc_id", "tag"]).select("doc_id", "text", "spans")
-    return met.mapInArrow(_cut, CUT).where("n_removed > 0").dropDuplicates(["doc_id", "whole"])
+    return met.mapInArrow(_cut, CUT).where("n_removed > 0")
 
 
 def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = long_matches(docs).select("doc_id", "whole", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digests = long_matches(docs).select("doc_id", "whole", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = digests.dropDuplicates(["doc_id", "whole"])
     text = F.coalesce("text", F.lit(""))
     all_docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     return all_docs.join(cut, ["doc_id", "whole"], "left").select(
