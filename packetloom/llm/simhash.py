@@ -65,13 +65,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        rest = batch.columns[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *rest], names=["doc_id", "fp", "digest"][:2 + len(rest)])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp); fp holds the 64 bits in a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda b: _fingerprints(b, shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp), and the digest if one is given; fp holds the 64 bits in a signed long."""
+    rest = [] if digest is None else [digest.alias("digest")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest).mapInArrow(
+        lambda b: _fingerprints(b, shingle), "doc_id long, fp long" + ", digest string" * len(rest))
 
 
 def _bits(mask: int) -> Column:
@@ -169,6 +171,8 @@ def _refined(hot: DataFrame, k: int, hot_rows: int) -> DataFrame:
 
 def links(distinct: DataFrame, k: int = K, hot_rows: int = HOT) -> DataFrame:
     """(fp) of different fingerprints -> pairs (a, b) that chain all that differ in at most ``k`` bits."""
+    if not 0 <= k <= K:  # two segments and four pieces find every pair of at most three differing bits, not more
+        raise ValueError(f"k must be from 0 to {K}, not {k}")
     # 64 rows come of each fingerprint: a table of few bytes must not mean few tasks.
     distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     low = F.lit((1 << 32) - 1)
@@ -187,28 +191,38 @@ def links(distinct: DataFrame, k: int = K, hot_rows: int = HOT) -> DataFrame:
     return _links_of(cold, k).union(_refined(hot, k, hot_rows))
 
 
-def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, hot_rows: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that a document reaches over links."""
-    found = written(fingerprints(docs, shingle), "simhash-fp")
+def _rooted(found: DataFrame, k: int, hot_rows: int) -> DataFrame:
+    """``found`` (doc_id, fp, ...) with the component's root fingerprint and its smallest doc_id."""
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = written(components(links(distinct.select("fp"), k, hot_rows)), "simhash-roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    return found.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, shingle: int = SHINGLE, hot_rows: int = HOT) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that a document reaches over links."""
+    found = written(fingerprints(docs, shingle), "simhash-fp")
+    return _rooted(found, k, hot_rows).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = K, shingle: int = SHINGLE, hot_rows: int = HOT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Repeated rows of that doc_id count as one document: one of them stays. Rows with a null doc_id stay only if no other
-    id is in their component.
+    A null doc_id is larger than all others, so a row with one stays only if no other id is in its component. Different
+    texts of one component under its smallest doc_id (or all null) are told apart by their sha256, of which the
+    smallest stays; under one doc_id in different components each stays. Rows that repeat both doc_id and text count as
+    one document: one of them stays.
     """
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    id_, digest = F.col("doc_id").cast("long"), F.sha2(F.col("text").cast("string"), 256)
+    found = written(fingerprints(docs, shingle, digest), "simhash-fp")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    kept = _rooted(found, k, hot_rows).groupBy("root").agg(F.min(order).alias("_least")).select(
+        F.col("_least.doc_id").alias("__id"), F.col("_least.digest").alias("__kept"))
+    rows = docs.withColumn("__digest", digest)
+    same = id_.eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,21 @@ def test_one_of_each(odd, odd_rows):
     assert len(ids) == len(set(ids)) and {20, 23, 5, 30} <= set(ids) and not {21, 24, 25, 40} & set(ids)
 
 
+def test_one_of_each_without_ids_and_under_one_id(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "green", "blue", "grey", "pink")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (3, texts[4]), (None, texts[4].upper()),
+            (9, texts[2].upper()), (None, None), (None, "")]
+    roots = brute_components([brute_fingerprint(t) for _, t in rows])
+    assert len(set(roots)) == 6
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        kept = simhash.one_of_each(df).collect()
+        want = {(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4])}
+        assert len(kept) == 6 and want < {tuple(r) for r in kept}
+    with pytest.raises(ValueError):
+        simhash.one_of_each(df, k=4)
+
+
 @pytest.mark.parametrize("hot", [4096, 12])
 def test_links_of_hot_keys(spark, hot):
     rng = np.random.default_rng(3)
