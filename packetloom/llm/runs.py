@@ -14,7 +14,7 @@ for its first document alone: a passage in a third of all rows reaches its range
 range. A string's windows need no more than their 50 bytes, and neighbours of equal hash are compared byte by byte.
 
 Nulls and odd rows: a null or empty text has no bytes; a null doc_id counts as larger than all others; rows with the
-same doc_id do not remove each other's bytes (different texts under one doc_id are told apart by 16 bits of their hash); an
+same doc_id do not remove each other's bytes (rows are told apart by doc_id and a 64-bit hash of the text); an
 empty table gives an empty result. Only ``doc_id`` and ``text`` are read. Bytes that are kept may begin or end inside a
 character, as windows are of bytes.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import table
-from packetloom.llm.shared_windows import HASH_BITS, NO_ID, WINDOW, Bytes, candidates, eights, minima, mixed
+from packetloom.llm.shared_windows import HASH_BITS, NO_ID, WINDOW, Bytes, candidates, eights, from_planes, minima, mixed, planes
 from packetloom.llm.substrings import keyed
 
 BATCH_BYTES = 2_000_000
@@ -64,16 +64,22 @@ def stretches(units: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.nd
     return wanted[heads], wanted[np.append(heads[1:], len(wanted)) - 1], group[heads]
 
 
-_SENT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.int64())), ("blob", pa.binary())])
-SENT = "bucket long, doc_id long, tag int, spans array<long>, blob binary"
+_SENT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("spans", pa.list_(pa.int64())), ("blob", pa.binary())])
+SENT = "bucket long, doc_id long, row_key long, spans array<long>, blob binary"
 
 
-def _pack(strings: list[bytes], parts: np.ndarray, docs: np.ndarray, tags: np.ndarray, places: np.ndarray) -> bytes:
-    """One entry per string and place: which part of the range it belongs to, its document, text and place."""
+_NUMBERS = (np.int32, np.uint8, np.int32, np.int32)
+
+
+def _pack(strings: list[bytes], parts: np.ndarray, docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> bytes:
+    """One entry per string and place: which part of the range it belongs to, the number of its row, its place; and the rows."""
     import zstandard
 
+    rows, number = np.unique(np.stack((docs, keys), 1), axis=0, return_inverse=True)
     lengths = np.array([len(x) for x in strings], np.int32)
-    raw = np.int64(len(strings)).tobytes() + b"".join(x.tobytes() for x in (lengths, parts, docs, tags, places)) + b"".join(strings)
+    numbers = (lengths, parts, number.reshape(-1).astype(np.int32), places)
+    raw = np.array([len(strings), len(rows)], np.int64).tobytes() + b"".join(planes(np.ascontiguousarray(x)) for x in (
+        *numbers, rows[:, 0], rows[:, 1])) + b"".join(strings)
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
@@ -81,32 +87,34 @@ def _unpack(blob: bytes):
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, at, found = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in (np.int32, np.uint8, np.int64, np.int32, np.int32):
-        found.append(np.frombuffer(raw, kind, n, at))
-        at += found[-1].nbytes
-    ends = (at + np.cumsum(found[0])).tolist()
-    return [raw[a:b] for a, b in zip([at, *ends], ends)], *found[1:]
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at, found = 16, []
+    for kind, count in (*((k, n) for k in _NUMBERS), (np.int64, m), (np.int64, m)):
+        size = np.dtype(kind).itemsize * count
+        found.append(from_planes(np.frombuffer(raw, np.uint8, size, at), kind, count))
+        at += size
+    lengths, parts, number, places, docs, keys = found
+    ends = (at + np.cumsum(lengths)).tolist()
+    return [raw[a:b] for a, b in zip([at, *ends], ends)], parts, docs[number], keys[number], places
 
 
 def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Candidate documents -> long matches seen in the task, and the different strings by ranges of their group."""
-    from xxhash import xxh64_intdigest
-
-    first: dict[bytes, list] = {}  # string -> [document, group, (tag, place), ...]
+    first: dict[bytes, list] = {}  # string -> [document, group, (row key, place), ...]
+    seen: set[tuple[int, int]] = set()  # a repeated row has the same strings
     matched: dict[tuple[int, int], list[int]] = {}
     size = 0
 
     def match(string: bytes, doc_id: int, places) -> None:
-        for tag, at in places:
-            matched.setdefault((doc_id, tag), []).append(at << 32 | at + len(string))
+        for key, at in places:
+            matched.setdefault((doc_id, key), []).append(at << 32 | at + len(string))
 
     def flush():
-        rows = [(-1 - doc_id % 65536, doc_id, tag, spans, None) for (doc_id, tag), spans in matched.items()]
+        rows = [(-1 - key % 65536, doc_id, key, spans, None) for (doc_id, key), spans in matched.items()]
         if first:
             strings = [s for s, entry in first.items() for _ in entry[2:]]
-            docs, groups, tags, places = (np.array(x, t) for x, t in zip(
-                zip(*[(e[0], e[1], tag, at) for e in first.values() for tag, at in e[2:]]), (np.int64, np.uint64, np.int32, np.int32)))
+            docs, groups, keys, places = (np.array(x, t) for x, t in zip(
+                zip(*[(e[0], e[1], key, at) for e in first.values() for key, at in e[2:]]), (np.int64, np.uint64, np.int64, np.int32)))
             at = (groups >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(at, kind="stable")
             cuts = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -114,30 +122,32 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if j > i:
                     own = order[i:j]
-                    rows.append((b, None, None, None, _pack([strings[x] for x in own.tolist()], parts[own], docs[own], tags[own], places[own])))
+                    rows.append((b, None, None, None, _pack([strings[x] for x in own.tolist()], parts[own], docs[own], keys[own], places[own])))
         first.clear()
         matched.clear()
         for i in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 5000]), _SENT)], schema=_SENT)
 
     for batch in batches:
-        for doc_id, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        for doc_id, text, anchors, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            if (doc_id, key) in seen:
+                continue
+            seen.add((doc_id, key))
             raw = text.as_py().encode()
-            tag = xxh64_intdigest(raw, 42) & 0xFFFF  # 16 bits of Spark's xxhash64
             starts, last, group = stretches(np.frombuffer(raw, np.uint8), np.asarray(anchors.values).view(np.uint64))
             for a, b, g in zip(starts.tolist(), (last + WINDOW).tolist(), group.tolist()):
                 string = raw[a:b]
                 entry = first.get(string)
                 if entry is None:
-                    first[string] = [doc_id, g, (tag, a)]
+                    first[string] = [doc_id, g, (key, a)]
                     size += b - a
                 elif doc_id == entry[0]:
-                    entry.append((tag, a))
+                    entry.append((key, a))
                 elif doc_id > entry[0]:
-                    match(string, doc_id, [(tag, a)])
+                    match(string, doc_id, [(key, a)])
                 else:
                     match(string, entry[0], entry[2:])
-                    first[string] = [doc_id, g, (tag, a)]
+                    first[string] = [doc_id, g, (key, a)]
             if size >= GROUP_BYTES:
                 yield from flush()
                 size = 0
@@ -185,10 +195,10 @@ class RunLengthIndex:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their range -> (doc_id, tag, spans) of the long matches."""
+    """Rows in order of their range -> (doc_id, row_key, spans) of the long matches."""
     current, blobs, out = None, [], []
 
-    def batches_of(strings, parts, docs, tags, places):
+    def batches_of(strings, parts, docs, keys, places):
         """The range's entries, a few parts at a time: equal windows are in one part."""
         order = np.argsort(parts, kind="stable")
         sizes = np.array([len(strings[i]) for i in order.tolist()])
@@ -198,37 +208,37 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = int(sizes[start:end].sum())
             if total >= BATCH_BYTES or end == len(order):
                 own = order[start:end]
-                yield [strings[i] for i in own.tolist()], docs[own], tags[own], places[own]
+                yield [strings[i] for i in own.tolist()], docs[own], keys[own], places[own]
                 start = end
 
     def finish():
         if blobs:
             unpacked = [_unpack(b) for b in blobs]
             strings = [s for u in unpacked for s in u[0]]
-            for some, docs, tags, places in batches_of(strings, *(np.concatenate(x) for x in list(zip(*unpacked))[1:])):
+            for some, docs, keys, places in batches_of(strings, *(np.concatenate(x) for x in list(zip(*unpacked))[1:])):
                 different: dict[bytes, int] = {}
                 number = [different.setdefault(s, len(different)) for s in some]
                 least = np.full(len(different), NO_ID)
                 np.minimum.at(least, number, docs)
                 found = RunLengthIndex(list(different), least).first_documents()
-                for n, doc_id, tag, at in zip(number, docs.tolist(), tags.tolist(), places.tolist()):
+                for n, doc_id, key, at in zip(number, docs.tolist(), keys.tolist(), places.tolist()):
                     gone = found[n] < doc_id
                     if gone.any():
                         edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                        out.append((doc_id, tag, [(at + a) << 32 | (at + b - 1 + WINDOW) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]))
+                        out.append((doc_id, key, [(at + a) << 32 | (at + b - 1 + WINDOW) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]))
         blobs.clear()
 
     def flush():
         columns = list(zip(*out)) if out else [()] * 3
-        batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int64())))],
-                                           names=["doc_id", "tag", "spans"])
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))],
+                                           names=["doc_id", "row_key", "spans"])
         out.clear()
         return batch
 
     for batch in batches:
-        for bucket, doc_id, tag, spans, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
+        for bucket, doc_id, key, spans, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
             if bucket < 0:
-                out.append((doc_id, tag, np.asarray(spans.values)))
+                out.append((doc_id, key, np.asarray(spans.values)))
             else:
                 if bucket != current:
                     finish()
@@ -245,7 +255,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             raw, spans = text.as_py().encode(), np.asarray(spans.values)
-            spans = spans[spans & 0xFFFFFFFF <= len(raw)]
+            if (spans & 0xFFFFFFFF > len(raw)).any():
+                raise RuntimeError(f"spans of another text came to doc_id {doc_id}: two row keys are equal")
             marks = np.bincount(spans >> 32, minlength=len(raw) + 1) - np.bincount(spans & 0xFFFFFFFF, minlength=len(raw) + 1)
             removed = np.cumsum(marks[:-1]) > 0
             edges = np.flatnonzero(np.diff(removed, prepend=False, append=False))
@@ -263,10 +274,9 @@ def long_matches(docs: DataFrame) -> DataFrame:
     docs = keyed(docs).where("text IS NOT NULL")
     buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = candidates(docs, Bytes).mapInArrow(lambda b: _sent(b, buckets), SENT)
-    matched = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_matched, "doc_id long, tag int, spans array<long>")
-    spans = matched.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    tag = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")
-    met = docs.withColumn("tag", tag).join(spans, ["doc_id", "tag"]).select("doc_id", "text", "spans")
+    matched = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_matched, "doc_id long, row_key long, spans array<long>")
+    spans = matched.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    met = docs.join(spans, ["doc_id", "row_key"]).select("doc_id", "text", "spans")
     return met.mapInArrow(_cut, CUT).where("n_removed > 0")
 
 

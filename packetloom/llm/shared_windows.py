@@ -5,6 +5,9 @@ the different anchors of its windows, about one for every dozen positions. Ancho
 the only ones whose windows can repeat. They are found in sorted, delta-coded lists by ranges of the hash: a task
 flags what repeats among its own rows and sends each hash on once, so a passage in a third of all rows reaches a range
 once per task. Hashes are cut to 48 bits; a clash only flags a window that is later found unique.
+
+A row is known by its ``row_key``, a 64-bit hash of doc_id and text: rows without an id, and texts that share one, keep
+their anchors apart. Lists name their rows by numbers into a table of keys; number 0 marks a hash that has been flagged.
 """
 
 from __future__ import annotations
@@ -114,50 +117,68 @@ def minima(units: np.ndarray, kind) -> np.ndarray:
     return sliding(kind.grams(units) >> np.uint64(64 - HASH_BITS), WINDOW - kind.gram + 1, np.minimum)
 
 
-def _pack(hashes: np.ndarray, ids: np.ndarray) -> bytes:
-    """Sorted hashes and their ids, small where neighbours are close."""
+def planes(numbers: np.ndarray) -> bytes:
+    """Bytes of equal rank side by side."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def from_planes(raw: np.ndarray, kind, n: int) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, n).T).reshape(-1).view(kind)
+
+
+FLAGGED = 0
+
+
+def _pack(hashes: np.ndarray, numbers: np.ndarray, keys: np.ndarray) -> bytes:
+    """Sorted hashes and the numbers of their rows, small where neighbours are close; only the keys that are named."""
     import zstandard
 
-    planes = [np.diff(hashes, prepend=np.uint64(0)), ids.view(np.uint64)]
-    raw = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8).T).tobytes() for p in planes)
+    named, own = np.unique(np.append(numbers, FLAGGED), return_inverse=True)
+    raw = np.array([len(hashes), len(named) - 1], np.int64).tobytes() + planes(np.diff(hashes, prepend=np.uint64(0))) + planes(
+        own[:-1].astype(np.uint32)) + planes(keys[named[1:] - 1])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, row keys, flagged); the key of a flagged hash is 0."""
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, 8, -1)
-    deltas, ids = (np.ascontiguousarray(p.T).reshape(-1).view(np.uint64) for p in raw)
-    return np.cumsum(deltas, dtype=np.uint64), ids.view(np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, m = raw[:16].view(np.int64).tolist()
+    deltas, numbers = from_planes(raw[16:16 + 8 * n], np.uint64, n), from_planes(raw[16 + 8 * n:16 + 12 * n], np.uint32, n)
+    keys = np.append(np.zeros(1, np.int64), from_planes(raw[16 + 12 * n:], np.int64, m))
+    return np.cumsum(deltas, dtype=np.uint64), keys[numbers], numbers == FLAGGED
+
 
+_SCHEMA = pa.schema([("bucket", pa.int64()), ("row_key", pa.int64()), ("anchors", pa.list_(pa.int64())), ("blob", pa.binary())])
 
-_SCHEMA = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("anchors", pa.list_(pa.int64())), ("blob", pa.binary())])
-FLAGGED = -1
+
+def per_row(h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its different hashes)"""
+    order = np.lexsort((h, rows))
+    h, rows = h[order], rows[order]
+    cuts = np.flatnonzero(np.diff(rows)) + 1
+    return ((int(a[0]), np.unique(b).view(np.int64)) for a, b in zip(np.split(rows, cuts), np.split(h, cuts)) if len(a))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], kind, buckets: int) -> Iterator[pa.RecordBatch]:
     hashes, owners, waiting = [], [], 0
 
-    def per_doc(h: np.ndarray, ids: np.ndarray) -> list[tuple]:
-        order = np.lexsort((h, ids))
-        h, ids = h[order], ids[order]
-        cuts = np.flatnonzero(np.diff(ids)) + 1
-        return [(-1 - int(a[0]) % 65536, int(a[0]), np.unique(b).view(np.int64), None) for a, b in zip(np.split(ids, cuts), np.split(h, cuts)) if len(a)]
-
     def flush():
         nonlocal waiting
         h = np.concatenate(hashes)
-        ids = np.repeat(np.array([d for d, _ in owners], np.int64), [n for _, n in owners])
+        keys = np.array([k for k, _ in owners], np.int64)
+        numbers = np.repeat(np.arange(1, len(owners) + 1), [n for _, n in owners])
         order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
+        h, numbers = h[order], numbers[order]
         same = h[1:] == h[:-1]
         repeats = np.append(same, False) | np.insert(same, 0, False)
-        rows = per_doc(h[repeats], ids[repeats])
+        rows = [(-1 - k % 65536, k, own, None) for k, own in per_row(h[repeats], keys[numbers[repeats] - 1])]
         first = np.insert(~same, 0, True)
-        h, ids = h[first], np.where(repeats[first], FLAGGED, ids[first])
+        h, numbers = h[first], np.where(repeats[first], FLAGGED, numbers[first])
         at = (h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
         cuts = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
-        rows += [(b, None, None, _pack(h[i:j], ids[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        rows += [(b, None, None, _pack(h[i:j], numbers[i:j], keys)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
         hashes.clear()
         owners.clear()
         waiting = 0
@@ -165,12 +186,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], kind, buckets: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 5000]), _SCHEMA)], schema=_SCHEMA)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for row_key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = minima(kind.units(text.as_py()), kind)
             if len(found):
                 found = np.unique(found)
                 hashes.append(found)
-                owners.append((doc_id, len(found)))
+                owners.append((row_key, len(found)))
                 waiting += len(found)
                 if waiting >= GROUP_ANCHORS:
                     yield from flush()
@@ -179,34 +200,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], kind, buckets: int) -> Iterator[
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their bucket -> (doc_id, anchors that repeat)."""
+    """Rows in order of their bucket -> (row_key, anchors that repeat)."""
     current, parts, out = None, [], []
 
     def finish():
         if len(parts) > 1:
-            pairs = [_unpack(p) for p in parts]
-            h, ids = (np.concatenate(x) for x in zip(*pairs))
+            h, keys, flagged = (np.concatenate(x) for x in zip(*[_unpack(p) for p in parts]))
             order = np.argsort(h, kind="stable")
-            h, ids = h[order], ids[order]
+            h, keys, flagged = h[order], keys[order], flagged[order]
             same = h[1:] == h[:-1]
-            wanted = (np.append(same, False) | np.insert(same, 0, False)) & (ids != FLAGGED)
-            h, ids = h[wanted], ids[wanted]
-            order = np.argsort(ids, kind="stable")
-            h, ids = h[order], ids[order]
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            out.extend((int(a[0]), b.view(np.int64)) for a, b in zip(np.split(ids, cuts), np.split(h, cuts)) if len(a))
+            wanted = (np.append(same, False) | np.insert(same, 0, False)) & ~flagged
+            out.extend(per_row(h[wanted], keys[wanted]))
         parts.clear()
 
     def flush():
         ids, lists = zip(*out) if out else ((), ())
-        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "anchors"])
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["row_key", "anchors"])
         out.clear()
         return batch
 
     for batch in batches:
-        for bucket, doc_id, anchors, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for bucket, row_key, anchors, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             if bucket < 0:
-                out.append((doc_id, np.asarray(anchors.values)))
+                out.append((row_key, np.asarray(anchors.values)))
             else:
                 if bucket != current:
                     finish()
@@ -219,15 +235,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_anchors(docs: DataFrame, kind) -> DataFrame:
-    """(doc_id, text) -> (doc_id, anchors): per document its anchors that another row has as well."""
+    """(row_key, text) -> (row_key, anchors): per row its anchors that another row has as well."""
     spark = docs.sparkSession
     buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.mapInArrow(lambda b: _grouped(b, kind, buckets), "bucket long, doc_id long, anchors array<long>, blob binary")
-    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "doc_id long, anchors array<long>")
-    return met.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    rows = docs.select("row_key", "text").mapInArrow(
+        lambda b: _grouped(b, kind, buckets), "bucket long, row_key long, anchors array<long>, blob binary")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "row_key long, anchors array<long>")
+    return met.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
 
 
 def candidates(docs: DataFrame, kind) -> DataFrame:
-    """Rows of (doc_id, text) that may share a window with another row, with their repeated anchors."""
-    return docs.where("text IS NOT NULL").join(shared_anchors(docs, kind).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select(
-        "doc_id", "text", "anchors")
+    """Rows of (doc_id, text, row_key) that may share a window with another row, with their repeated anchors."""
+    return docs.where("text IS NOT NULL").join(shared_anchors(docs, kind).withColumnRenamed("row_key", "_key"), F.col("row_key") == F.col("_key")).select(
+        "doc_id", "text", "anchors", "row_key")

@@ -35,23 +35,30 @@ _PARSED = pa.schema([
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text, row_key): doc_id is ``NO_ID`` for null, row_key a 64-bit hash of both."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()  # a repeated row has the same windows
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            ids, hashes = [], []
-            for doc_id, text, anchors in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+            ids, hashes, keys = [], [], []
+            for doc_id, text, anchors, key in zip(part.column(0).to_pylist(), part.column(1), part.column(2), part.column(3).to_pylist()):
+                if (doc_id, key) in seen:
+                    continue
+                seen.add((doc_id, key))
                 units = Words.units(text.as_py())
                 wanted = np.isin(minima(units, Words), np.asarray(anchors.values).view(np.uint64))
                 if wanted.any():
                     found = np.unique(chained(units, WINDOW)[wanted])
                     ids.append(np.full(len(found), doc_id, np.int64))
+                    keys.append(np.full(len(found), key, np.int64))
                     hashes.append(found.view(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, keys)], names=["h", "doc_id", "row_key"])
 
 
 def parse(words_: list[bytes], hashes: np.ndarray, sources: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
@@ -99,11 +106,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def factored(docs: DataFrame) -> DataFrame:
     """Documents that lose words, once each: their doc_id (``NO_ID`` for null), the sha256 of their words, what is kept, factors."""
     found = written(candidates(keyed(docs), Words), "lz-candidates")
-    windows = written(found.mapInArrow(_windows, "h long, doc_id long"), "lz-windows")
+    windows = written(found.mapInArrow(_windows, "h long, doc_id long, row_key long"), "lz-windows")
     index = windows.groupBy("h").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).where("source < _last")
     hits = windows.join(index, "h").where(F.col("doc_id") > F.col("source"))
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "source")).alias("_hits"))
-    met = found.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", F.col("_hits.h").alias("h"), F.col("_hits.source").alias("source"))
+    by_row = hits.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("h", "source")).alias("_hits"))
+    met = found.select("doc_id", "text", "row_key").join(by_row, ["doc_id", "row_key"]).select("doc_id", "text", F.col("_hits.h").alias("h"), F.col("_hits.source").alias("source"))
     return met.mapInArrow(_parsed, PARSED).where("n_removed > 0").dropDuplicates(["doc_id", "whole"])
 
 

@@ -145,6 +145,27 @@ def test_run_length_index(spark, short_rows):
     assert got == want
 
 
+def test_rows_without_ids_are_kept_apart(spark):
+    passage, tail = " ".join(f"word{i}" for i in range(60)), "".join(f" other{j}" for j in range(90))
+    low = xxhash.xxh64_intdigest(f"cut {passage}".encode(), 42) & 0xFFFF
+    clean = next(t for t in (f"{i}{tail}" for i in range(2_000_000)) if xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFF == low)
+    rows = [(4, passage), (None, f"cut {passage}"), (None, clean), (None, f"also {passage}"), (8, f"x {passage}"), (8, f"y {passage}"), (8, f"x {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["whole"]: r["n_removed"] for r in runs.long_matches(df).collect()}
+    flags = brute_windows(rows, lambda t: t.encode())
+    assert got == {hashlib.sha256(u).hexdigest(): sum(gone) for u, gone in flags if any(gone)} and len(got) == 4
+    own = shared_windows.shared_anchors(substrings.keyed(df), shared_windows.Words).collect()
+    assert len(own) == 5 and max(len(r["anchors"]) for r in own) < 60
+
+
+def test_document_minus_one(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(-1, f"a {passage}"), (3, f"b {passage}"), (None, f"c {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.factored(df).collect()} == {3: 60, shared_windows.NO_ID: 60}
+    assert {r["doc_id"]: r["n_removed"] for r in runs.long_matches(df).collect()} == {3: len(passage) + 1, shared_windows.NO_ID: len(passage) + 1}
+
+
 def test_index_runs_and_samples():
     strings = [b"x" * 60, b"x" * 55 + b"y" * 10, b"q" + b"x" * 52]
     found = runs.RunLengthIndex(strings, np.array([7, 3, 5])).first_documents()
