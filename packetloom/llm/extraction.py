@@ -10,7 +10,8 @@ total cost. Blocks whose own score outweighs all their edges are settled beforeh
 Pages are independent, so they are worked where they are read; a task holds one Arrow batch of them.
 
 Nulls and odd rows: a null or empty page gives an empty text; a page cut off anywhere, or with unclosed or crossed
-elements, is read as far as it goes; repeated rows give repeated results; a null page_id or url is passed on; an empty
+elements, is read as far as it goes (only script, style, textarea and title reach to the page's end where they are not
+closed, as in a browser); repeated rows give repeated results; a null page_id or url is passed on; an empty
 table gives none. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
@@ -40,7 +41,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _HINT = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-_UNREAD = frozenset("script style template noscript iframe object svg math canvas audio video head select textarea button".split())
+_UNREAD = frozenset("script style template noscript iframe object svg math canvas audio video select textarea button title".split())
+#: Read to their closing tag or to the page's end, whatever stands in them.
+_RAW = frozenset("script style textarea title".split())
+_FOREIGN = frozenset(("svg", "math"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 _VOID = frozenset("area base col embed hr img input link meta param source track".split())
 _CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "td": ("tr",), "th": ("tr",), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "p": ("",), "option": ("select",)}
@@ -100,11 +104,30 @@ def _hint(tag: str, attributes: str, kind: int) -> int:
     return CONTENT if good and kind != SOFT else kind
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Start of each opening tag of ``tag`` that is closed -> end of its closing tag; a closing tag belongs to the nearest open one."""
+    attributes = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
+    pattern = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]){attributes}>.*?</\1\s*>|<(/?){re.escape(tag)}(?=[\s/>])({attributes})>", re.S | re.I)
+    found, waiting = {}, []
+    for m in pattern.finditer(page):
+        if m[2] is None:
+            continue
+        if m[2]:
+            if waiting:
+                found[waiting.pop()] = m.end()
+        elif tag in _FOREIGN and m[3].endswith("/"):
+            found[m.start()] = m.end()
+        else:
+            waiting.append(m.start())
+    return found
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
     stack = [("", 0, NEUTRAL)]  # (tag, number, kind)
     made, linked, parts, size = 0, 0, [], [0, 0]
+    ends: dict[str, dict[int, int]] = {}
 
     def text(raw: str) -> None:
         if "&" in raw:
@@ -154,12 +177,18 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
                 close(tag)
             continue
-        if tag in _UNREAD or tag == "title":
-            closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if tag in _UNREAD:
+            flush()
+            if tag in _RAW:
+                closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = closing.end() if closing else end
+            else:
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                at = ends[tag].get(m.start(), at)
+            continue
+        if tag == "head":  # what belongs there has no text that is read; anything else stands in the body
             flush()
-            if tag == "head" and not closing:
-                closing = re.compile(r"(?=<body)", re.I).search(page, at)
-            at = closing.end() if closing else end
             continue
         attributes = m[3] or ""
         kind = stack[-1][2]

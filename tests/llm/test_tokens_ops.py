@@ -211,6 +211,30 @@ def test_extraction(spark):
     assert extraction.extract(pages.where("false")).count() == 0
 
 
+ARTICLE = "<p>The council met on Monday evening and agreed after a long debate to build the new bridge over the river.</p>"
+TEXT = ARTICLE[3:-4]
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><nav><svg class="icon"/>Menu</nav><article>{ARTICLE}</article></body>',
+    f'<body><svg class="icon" /><article>{ARTICLE}</article><footer><svg><path/><text>logo</text></svg></footer></body>',
+    f'<body><math/><article>{ARTICLE}</article></body>',
+    f'<head><title>t</title><meta charset=utf-8><article>{ARTICLE}</article>',
+    f'<html><head><title>t</title><style>p {{}}</style><div>{ARTICLE}</div>',
+    *[f'<body><{t}><article>{ARTICLE}</article></body>' for t in "button select object iframe noscript svg canvas video template".split()],
+    f'<body><button><article>{ARTICLE}</article><footer><button>Send</button></footer></body>',
+    f'<body><article>{ARTICLE}<svg><!-- <svg> --><svg><text>in</text></svg><text>out</text></svg></article></body>',
+    f'<body><article>{ARTICLE}</article><object><object>a b</object>c d</object></body>',
+])
+def test_unread_elements(page):
+    assert extraction.main_text(page) == TEXT
+
+
+def test_raw_elements_reach_to_the_end():
+    for tag in ("script", "style", "textarea", "title"):
+        assert extraction.main_text(f"<body><article>{ARTICLE}<{tag}>{ARTICLE}</article></body>") == TEXT
+
+
 def test_minimum_cut():
     rnd = random.Random(4)
     for _ in range(200):
