@@ -4,7 +4,8 @@ A page is cut into text blocks. A small linear classifier (``WEIGHTS``) scores e
 (elements and class or id words above it), its share of link text, its length and its punctuation; the score becomes
 the capacity of the block's edge to the content terminal or to the boilerplate terminal. Blocks that stand next to each
 other, and successive blocks of one parent element, are joined by smoothness edges whose capacity falls with their
-distance in the DOM. A maximum flow between the terminals gives the minimum cut, and with it the labelling of least
+distance in the DOM. Class and id words are compared whole; what they say inside content, or against each other, is a
+cost that text and edges can outweigh. A maximum flow between the terminals gives the minimum cut, and with it the labelling of least
 total cost. Blocks whose own score outweighs all their edges are settled beforehand, which leaves the cut unchanged.
 
 Pages are independent, so they are worked where they are read; a task holds one Arrow batch of them.
@@ -31,7 +32,7 @@ from packetloom.llm.common import table
 
 #: Classifier weights in hundredths; positive speaks for content.
 WEIGHTS = {
-    "inside_boilerplate": -600, "inside_content": 400, "outside_content": -250, "many_links": -300, "some_links": -80,
+    "inside_boilerplate": -600, "inside_content": 400, "hinted": -180, "outside_content": -250, "many_links": -300, "some_links": -80,
     "long": 200, "short": -120, "sentence": 80, "paragraph": 60, "heading": 80, "list_item": -20, "copyright": -300,
 }
 SMOOTHNESS = 80
@@ -51,15 +52,26 @@ _CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "td": ("tr",), "th": ("tr",), "tr
 _BOILERPLATE_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
 _CONTENT_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_BOILERPLATE_WORDS = frozenset("ad ads adv adbox adslot side rail aside tags login signup search skip form hidden legal toolbar masthead".split())
-_BOILERPLATE_STEMS = ("advert", "sponsor", "promo", "banner", "nav", "menu", "foot", "sidebar", "widget", "cookie", "consent", "gdpr",
-                      "notice", "notif", "alert", "popup", "modal", "overlay", "subscri", "newsletter", "share", "sharing", "social",
-                      "related", "recommend", "breadcrumb", "pagin", "pager", "copyright", "disclaimer")
-_COMMENT_STEMS = ("comment", "disqus", "repl", "discussion", "respond", "feedback")
-_CONTENT_STEMS = ("article", "content", "post", "entry", "story", "main", "prose", "blog")
+_BOILERPLATE_WORDS = frozenset("""
+    ad ads adv adbox adslot adsense adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos
+    promotion promotions banner banners nav navbar navigation navlinks navlist topnav mainnav subnav sidenav leftnav rightnav menu menus menubar
+    mainmenu topmenu submenu footer footers pagefooter sitefooter footerlinks side sidebar sidebars rail aside widget widgets widgetarea cookie
+    cookies cookiebar cookiebanner cookieconsent cookienotice consent gdpr notification notifications popup popups modal overlay subscribe
+    subscription newsletter newsletters sharebar sharebuttons sharing sharedaddy social socialbar sociallinks socialmedia socialicons
+    recommended recommendations breadcrumb breadcrumbs pagination pager copyright disclaimer tags login signup search skip form hidden legal
+    toolbar masthead""".split())
+#: Boilerplate only as a whole name, or with another word that says what there is more of.
+_ALONE = frozenset("foot notice alert share related promoted recommend subscriptions".split())
+_MORE = frozenset("posts post articles article stories story links content news items reading videos topics buttons button bar icons box".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist commentform disqus respond reply replies".split())
+_CONTENT_WORDS = frozenset("""article articles articlebody content contentbody maincontent post posts postbody postcontent entry entries entrycontent
+    story stories storybody main prose blog blogpost hentry""".split())
+#: First or last words of names that tell a state or a category of the element, not what it is.
+_STATE_FIRST = frozenset("has no with without category cat tag topic type status format author term".split())
+_STATE_LAST = frozenset("open closed enabled disabled allowed".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-NEUTRAL, CONTENT, SOFT, HARD = 0, 1, 2, 3
+NEUTRAL, CONTENT, SOFT, HARD, HINTED = 0, 1, 2, 3, 4
 
 
 @dataclass
@@ -72,18 +84,32 @@ class Block:
     link_share: float
 
 
+def _said(name: str) -> int:
+    """What one class or id says: HARD for comments, SOFT for other boilerplate, CONTENT, or nothing."""
+    words = _HINT.findall(_CAMEL.sub(" ", name).lower())
+    if not words or len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST):
+        return NEUTRAL
+    if any(w in _COMMENT_WORDS for w in words):
+        return HARD
+    if any(w in _BOILERPLATE_WORDS for w in words):
+        return SOFT
+    if words[0] in _ALONE and (len(words) == 1 or words[1] in _MORE):
+        return SOFT
+    return CONTENT if any(w in _CONTENT_WORDS for w in words) else NEUTRAL
+
+
 def _hint(tag: str, attributes: str, kind: int) -> int:
     """What an element says about the text inside it, given what stands above it."""
     if kind == HARD:
         return HARD
     if tag in _BOILERPLATE_TAGS:
         return HARD
-    words, role, hidden = [], "", False
+    names, role, hidden = [], "", False
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words += _HINT.findall(_CAMEL.sub(" ", value).lower())
+                names += value.split()
             elif name == "role":
                 role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
@@ -92,16 +118,17 @@ def _hint(tag: str, attributes: str, kind: int) -> int:
         return HARD
     if tag in ("html", "body"):
         return kind
-    if any(w.startswith(_COMMENT_STEMS) for w in words):
+    said = {_said(name) for name in names}
+    good = CONTENT in said
+    if HARD in said and not good:
         return HARD
     if tag in _CONTENT_TAGS or role in ("main", "article"):
         return CONTENT
-    if any(w in _BOILERPLATE_WORDS or w.startswith(_BOILERPLATE_STEMS) for w in words):
-        return SOFT
-    good = any(w.startswith(_CONTENT_STEMS) for w in words)
-    if (tag == "header" or "header" in words) and not good and kind != CONTENT:
-        return SOFT
-    return CONTENT if good and kind != SOFT else kind
+    if HARD in said or SOFT in said:
+        return HINTED if good or kind in (CONTENT, HINTED) else SOFT
+    if not good and kind != CONTENT and (tag == "header" or any("header" in _HINT.findall(_CAMEL.sub(" ", name).lower()) for name in names)):
+        return HINTED if kind == HINTED else SOFT
+    return CONTENT if good and kind not in (SOFT, HINTED) else kind
 
 
 def _ends(page: str, tag: str) -> dict[int, int]:
@@ -216,7 +243,7 @@ def score(block: Block, has_content: bool) -> int:
     w, words = WEIGHTS, block.text.count(" ") + 1
     if block.kind in (SOFT, HARD):
         return w["inside_boilerplate"]
-    s = w["inside_content"] if block.kind == CONTENT else w["outside_content"] if has_content else 0
+    s = w["inside_content"] if block.kind == CONTENT else w["hinted"] if block.kind == HINTED else w["outside_content"] if has_content else 0
     if block.link_share > 0.66:
         s += w["many_links"] if words < 30 and block.tag not in _HEADINGS else w["some_links"]
     elif block.link_share > 0.33:

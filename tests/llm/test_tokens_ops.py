@@ -230,6 +230,27 @@ def test_unread_elements(page):
     assert extraction.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    *[f'<body><{tag} class="{names}">{ARTICLE}</{tag}></body>' for tag, names in [
+        ("article", "post comments-open"), ("div", "entry has-comments"), ("article", "post category-commentary"), ("div", "post category-football"),
+        ("div", "post tag-navy"), ("div", "entry shared-memory"), ("div", "content noticeable"), ("article", "alerted"), ("div", "post promo")]],
+    *[f'<body><article>{ARTICLE}<section id="{name}">{ARTICLE}</section></article></body>' for name in (
+        "discussion", "feedback", "related-work", "alert", "football", "sharecropping", "notice")],
+])
+def test_words_of_names_do_not_hide_the_article(page):
+    assert extraction.main_text(page) == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+def test_edges_decide_on_hints_inside_content():
+    short = "<p>Only five words are here.</p>"
+    assert extraction.main_text(f'<article>{ARTICLE}<p class="notice">{short[3:]}{ARTICLE}</article>') == f"{TEXT} {short[3:-4]} {TEXT}"
+    links = "".join(f'<li><a href="{i}">Other story {i}</a></li>' for i in range(4))
+    for name in ("related-posts", "post-footer", "share-buttons", "newsletter", "comments", "comment-list", "entry-comments"):
+        assert extraction.main_text(f'<article>{ARTICLE}<div class="{name}"><ul>{links}</ul></div></article>') == TEXT
+    for name in ("navbar", "site-footer", "comments-area", "sidebar", "cookieBanner", "related"):
+        assert extraction.main_text(f'<body><div class="{name}">{ARTICLE}</div></body>') == ""
+
+
 def test_raw_elements_reach_to_the_end():
     for tag in ("script", "style", "textarea", "title"):
         assert extraction.main_text(f"<body><article>{ARTICLE}<{tag}>{ARTICLE}</article></body>") == TEXT
