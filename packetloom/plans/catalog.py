@@ -706,6 +706,19 @@ def packet_feed_stream(spark, folder):
     return run_to_table(spark, FD.packet_feed(packet_stream(spark, folder)), "feed")
 
 
+@query
+def capture_counters_stream(spark, folder):
+    """Counters of a feed that reads the packets in several micro-batches."""
+    path = scratch_path(spark, "counted")
+    events = read_table(spark, folder, "events")
+    events.repartition(8).write.parquet(f"{path}/in")
+    feed = FD.packet_feed(FD.observed(packets_from_events(FD.stream_table(spark, f"{path}/in", events.schema, files_per_trigger=1))))
+    run = FD.write_batches(feed, f"{path}/rows", f"{path}/checkpoint")
+    run.awaitTermination()
+    counters = FD.capture_counters(run)
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{c} long" for c in counters))
+
+
 @query
 def anomaly_feed_stream(spark, folder):
     """Closed flows of the stream, scored with models trained on the finished captures."""

@@ -401,6 +401,8 @@ filed AS (SELECT * REPLACE (capture_id || '-' || CAST(packet_id // 20000 AS VARC
       SELECT CAST(to_json({'type': 'packet', 'data': {'timestamp': strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00',
         'src_ip': src_ip, 'dst_ip': dst_ip, 'src_port': src_port, 'dst_port': dst_port, 'protocol': protocol, 'length': length,
         'tcp_flags': tcp_flags, 'flow_id': flow_id, 'dns_query': dns_query, 'http_host': http_host}}) AS VARCHAR) AS value FROM packets""")
+    q["capture_counters_stream"] = _with(PACKETS, """
+      SELECT count(*) AS total_captured, CAST(0 AS BIGINT) AS total_dropped, CAST(0 AS BIGINT) AS queue_size FROM packets""")
     q["session_windows_stream"] = """
       WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events),
       l AS (SELECT *, row_number() OVER w AS rn, lag(us) OVER w AS p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from packetloom.operators.anomalies import RuleThresholds
 from packetloom.operators.detect import Models, analyse
@@ -80,6 +82,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = Tr
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    watch(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -107,12 +110,59 @@ def observed(packets: DataFrame, name: str = "capture") -> DataFrame:
     return packets.observe(name, F.count(F.lit(1)).alias("captured"))
 
 
-def capture_counters(query: StreamingQuery) -> dict[str, int]:
-    """Captured rows, rows dropped as late, rows held in state."""
-    captured = dropped = held = 0
-    for p in query.recentProgress:
-        seen = p.observedMetrics.get("capture")
-        captured += seen["captured"] if seen is not None else p.numInputRows
-        dropped += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
-        held = sum(op.numRowsTotal for op in p.stateOperators)
-    return {"total_captured": captured, "total_dropped": dropped, "queue_size": held}
+class RunningCounts(StreamingQueryListener):
+    """Sums over all progress records of a run, as they come; the query itself keeps only the newest."""
+
+    def __init__(self):
+        self.runs: dict[str, dict] = {}
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event):
+        with self.changed:
+            self.runs[str(event.runId)] = {"captured": 0, "dropped": 0, "held": 0, "upto": None}
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        with self.changed:
+            run = self.runs.get(str(p.runId))
+            if run is not None:
+                seen = p.observedMetrics.get("capture")
+                run["captured"] += seen["captured"] if seen is not None else p.numInputRows
+                run["dropped"] += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+                run["held"] = sum(op.numRowsTotal for op in p.stateOperators)
+                run["upto"] = (p.batchId, p.timestamp)
+                self.changed.notify_all()
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+_watched: dict[str, RunningCounts] = {}
+
+
+def watch(spark: SparkSession) -> RunningCounts:
+    """Count the queries that start from now on; once per application and session."""
+    key = f"{spark.sparkContext.applicationId}-{spark._jsparkSession.hashCode()}"
+    if key not in _watched:
+        listener = RunningCounts()
+        spark.streams.addListener(listener)
+        _watched[key] = listener
+    return _watched[key]
+
+
+def capture_counters(query: StreamingQuery, wait_s: float = 60) -> dict[str, int]:
+    """Captured rows, rows dropped as late, rows held in state, over all micro-batches of the run.
+
+    The query must have been started after ``watch`` (``write_batches`` sees to it).
+    """
+    listener = next((w for w in _watched.values() if str(query.runId) in w.runs), None)
+    if listener is None:
+        raise RuntimeError("the query was started before watch(spark): its older batches are not known")
+    last = query.lastProgress
+    with listener.changed:
+        run = listener.runs[str(query.runId)]
+        # Records come in order, but a little later than the query knows them.
+        upto = None if last is None else (last.batchId, last.timestamp)
+        if upto and not listener.changed.wait_for(lambda: run["upto"] is not None and run["upto"] >= upto, wait_s):
+            raise TimeoutError(f"progress of batch {last.batchId} did not come in {wait_s} s")
+        return {"total_captured": run["captured"], "total_dropped": run["dropped"], "queue_size": run["held"]}
