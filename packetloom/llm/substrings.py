@@ -1,11 +1,10 @@
-"""Removing repeated passages by relative Lempel-Ziv parsing.
-
-Every window of 50 words (a reference block) that may occur in several documents is indexed with the first document
-that has it. A document is then factored greedily against that index: at a word whose window starts in an earlier
-document a factor begins, and it grows word by word as long as the next window starts in the same earlier document. At a
-factor's end, and inside the 50 words before it, the parse goes on with the next window that any earlier document has, so
-that a passage cut by a factor boundary is found as well. Factors are thus at least 50 words long, and the words under
-them are removed. Windows are judged on the input, not on what is left.
+"""Removing repeated passages by a lookup of window hashes.
+
+Every window of 50 words that may occur in several documents is looked up by its hash in a table (hash -> first document
+that has it), and the words under windows that an earlier document has are removed. The table holds no places in its
+documents and nothing is factored greedily: factors are derived afterwards, as stretches of neighbouring windows with one
+first document, and need not be one copied run of it. They are for information; what is removed does not depend on them.
+Windows are judged on the input, not on what is left.
 
 Which windows can repeat at all is found by anchors (``shared_windows``); all other windows, and documents without any,
 are never shipped. The index is a minimum per window hash, combined before the shuffle; a window's hash has 64 bits.
