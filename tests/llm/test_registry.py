@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(q.split("_")[0] for q in QUERIES) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+    assert sorted(q.split("_")[0] for q in QUERIES) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -20,7 +20,7 @@ def test_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_every_row(spark, name):
-    table, key = {"op2": ("pages", "page_id"), "op10": ("conversations", "conv_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+    table, key = {"op2": ("pages", "page_id"), "op10": ("conversations", "conv_id"), "op12": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     got = QUERIES[name](spark, FOLDER)
     have = spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).distinct().count()
     found = got.select(key).distinct().count()
