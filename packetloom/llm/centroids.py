@@ -41,7 +41,7 @@ CHUNK_ROWS = 2048
 BOUND = 1 << 27
 EXACT = 1 << 53
 
-Slices = list[np.ndarray]
+FINAL = "cluster int, centroid array<long>, total decimal(38,0), whole decimal(38,0)"
 
 
 def _bounds(dimensions: int, blocks: int) -> list[tuple[int, int]]:
@@ -189,7 +189,7 @@ def _inertia(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 def cluster(vectors: DataFrame, id_col: str, vector_col: str, k: int = K, rounds: int = ROUNDS, dimensions: int = DIMENSIONS,
             scale: float = SCALE, blocks: int = BLOCKS, seed: str = SEED, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster, distance per kept vector; cluster, centroid, total distance per cluster)."""
+    """(id, cluster, distance per kept vector; cluster, centroid, its total distance and that of all clusters)."""
     spark = vectors.sparkSession
     blocks = min(blocks, dimensions)
     bounds = _bounds(dimensions, blocks)
@@ -198,21 +198,21 @@ def cluster(vectors: DataFrame, id_col: str, vector_col: str, k: int = K, rounds
     centroids = first_centroids(chunks, k, seed, bounds)
     k = len(centroids)
     if not k:
-        return spark.createDataFrame([], "id long, cluster int, distance long"), spark.createDataFrame([], "cluster int, centroid array<long>, total decimal(38,0)")
+        return spark.createDataFrame([], "id long, cluster int, distance long"), spark.createDataFrame([], FINAL)
     for _ in range(rounds):
         centroids = moved(chunks, assigned(chunks, centroids, bounds, largest), centroids, bounds)
     labels = assigned(chunks, centroids, bounds, largest)
     totals = labels.select("clusters", "distances").mapInArrow(lambda b: _inertia(b, k), "cluster int, total string").groupBy("cluster").agg(
         F.sum(F.col("total").cast("decimal(30,0)")).cast("decimal(38,0)").alias("total")).collect()  # k rows
-    final = spark.createDataFrame([(r["cluster"], centroids[r["cluster"]].tolist(), r["total"]) for r in totals], "cluster int, centroid array<long>, total decimal(38,0)")
+    whole = sum(r["total"] for r in totals)
+    final = spark.createDataFrame([(r["cluster"], centroids[r["cluster"]].tolist(), r["total"], whole) for r in totals], FINAL)
     return chunks.select("chunk", "ids").join(labels, "chunk").select("ids", "clusters", "distances").mapInArrow(_rows, "id long, cluster int, distance long"), final
 
 
 def op12_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, final = cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    whole = final.agg(F.sum("total").alias("whole"))
     as_long = lambda c: F.least(F.col(c), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
-    per_cluster = final.crossJoin(F.broadcast(whole)).select(  # one row beside at most k
+    per_cluster = final.select(  # k rows at most
         "cluster", as_long("total").alias("cluster_inertia"), as_long("whole").alias("inertia"),
         F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256).alias("centroid_sha256"))
     return rows.join(F.broadcast(per_cluster), "cluster").select(
