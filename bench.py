@@ -15,7 +15,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from packetloom.plans.catalog import QUERIES  # noqa: E402
+from packetloom.plans.registry import QUERIES  # noqa: E402
 from packetloom.session import build_session  # noqa: E402
 
 HEADLINE = [

@@ -682,23 +682,10 @@ def run_to_table(spark, stream: DataFrame, label: str) -> DataFrame:
     return FD.read_batches(spark, f"{path}/rows", stream.schema)
 
 
-def with_open_tail(emitted: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream wrote, and what it still held when the input ended, from the batch twin."""
-    # Not an anti join: Spark pushes that below a session window's merge, where the keys are not final yet.
-    known = emitted.select(*keys, F.lit(True).alias("_known"))
-    return emitted.unionByName(batch.join(known, keys, "left").where("_known IS NULL").drop("_known"))
-
-
-@query
-def live_flows_stream(spark, folder):
-    emitted = run_to_table(spark, SF.live_flow_stream(packet_stream(spark, folder)), "live-flows")
-    return with_open_tail(emitted, live_flows(spark, folder), ["capture_id", "flow_id", "first_packet_id"])
-
-
 @query
 def protocol_minutes_stream(spark, folder):
-    emitted = run_to_table(spark, FD.protocol_minutes(packet_stream(spark, folder)), "minutes")
-    return with_open_tail(emitted, FD.protocol_minutes(packets(spark, folder)), ["minute", "protocol"])
+    """Minutes that the last watermark has closed."""
+    return run_to_table(spark, FD.protocol_minutes(packet_stream(spark, folder)), "minutes")
 
 
 @query
@@ -732,14 +719,12 @@ def anomaly_feed_stream(spark, folder):
 def session_windows_stream(spark, folder):
     events = read_table(spark, folder, "events")
     messages = lambda df: df.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"))
-    emitted = run_to_table(spark, FD.session_activity(messages(FD.stream_table(spark, folder, events.schema, "events.parquet"))), "sessions")
-    return with_open_tail(emitted, FD.session_activity(messages(events)), ["session_id", "started_at"])
+    return run_to_table(spark, FD.session_activity(messages(FD.stream_table(spark, folder, events.schema, "events.parquet"))), "sessions")
 
 
 @query
 def idle_flows_stream(spark, folder):
-    emitted = run_to_table(spark, FD.idle_flows(packet_stream(spark, folder)), "idle-flows")
-    return with_open_tail(emitted, FD.idle_flows(packets(spark, folder)), ["capture_id", "flow_id", "start_time"])
+    return run_to_table(spark, FD.idle_flows(packet_stream(spark, folder)), "idle-flows")
 
 
 @query

@@ -21,6 +21,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    """(file system, path), wherever Spark's file systems reach."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder; nothing happens if there is none."""
+    system, target = _located(spark, path)
+    system.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder, for a stream that starts before its first file lands."""
+    system, target = _located(spark, path)
+    system.mkdirs(target)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder and reading it back.
 

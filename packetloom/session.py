@@ -21,10 +21,15 @@ def build_session(app: str = "packetloom", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+#: Keeps the state of streams outside the heap; typed state needs it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every query needs, whoever built the session."""
     # Event times are UTC everywhere; the session zone must agree.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # The JVM does not compile methods beyond 8000 bytecodes; wide decodings run faster split up.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,11 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = Tr
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return run_batches(stream, save, checkpoint, once)
+
+
+def run_batches(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Give every micro-batch to ``save``; ``once``: over what is there now, then stop."""
     watch(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,111 +1,149 @@
 """Live flows: the streaming twin of ``operators.flows.live_flows``.
 
-Packets wait in the state of their flow until the watermark has passed them, because only then is
-their order final. What has passed is folded into one open accumulator; FIN/RST or an idle gap
-closes it. State per flow is therefore one accumulator plus the packets of the watermark delay.
-The stateful step sees five narrow columns; addresses travel as one JSON text that is only
-taken apart again, in the JVM, for closed flows.
+The order of packets is final only behind the watermark, so packets wait in the state of their flow, in lists by time slot. A
+slot is folded when the watermark has passed its end: its packets are read, sorted and added to the one open flow of the key;
+FIN/RST or an idle gap closes that. All state is typed (a value, lists, a map) and lives in the state store: what comes in is
+appended to lists in pieces of ``PIECE`` rows and never held as a whole, and a step reads the packets of one slot of one flow at a time.
+Event-time timers at slot ends drive the folding, so what is closed depends on the watermark alone: everything before the last
+whole slot behind it counts.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from packetloom.functions.packet import has_flag, is_teardown
 from packetloom.operators.flows import COUNTED_FLAGS, FLOW_TIMEOUT_SECONDS, finalise
 from packetloom.schemas import FLOW_COLUMNS
 
 WATERMARK = "30 seconds"
+SLOT_SECONDS = 5
+#: Lists that the slots take in turn; more slots than lists may be waiting, their packets then share one.
+LISTS = 8
+PIECE = 1000
 
+_CLOSES = 1 << len(COUNTED_FLAGS)
 _HEAD = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 _HEAD_DDL = "src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
-_CLOSES = 1 << len(COUNTED_FLAGS)
-_ROW = ["us", "packet_id", "length", "marks", "head"]
-_NUMBERS = ["first_us", "last_us", "first_packet_id", "packet_count", "byte_count", "min_packet_size", "max_packet_size",
-            *[f"tcp_{f.lower()}_count" for f in COUNTED_FLAGS]]
-_OUT_DDL = ("capture_id string, flow_id string, head string, teardown boolean, "
-            + ", ".join(f"{n} bigint" for n in _NUMBERS))
+_ROW = ["us", "packet_id", "length", "marks", *_HEAD]
+_ROW_DDL = f"us bigint, packet_id bigint, length int, marks int, {_HEAD_DDL}"
+_FLAGS = [f"tcp_{f.lower()}_count" for f in COUNTED_FLAGS]
+_NUMBERS = ["first_us", "last_us", "first_packet_id", "packet_count", "byte_count", "min_packet_size", "max_packet_size", *_FLAGS]
+_FLOW = [*_HEAD, "teardown", *_NUMBERS]
+_FLOW_DDL = f"{_HEAD_DDL}, teardown boolean, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
 
 
 def _opened(row: tuple) -> dict:
-    us, packet_id, length, marks, head = row
-    counts = {n: marks >> i & 1 for i, n in enumerate(_NUMBERS[7:])}
-    return {"first_us": us, "last_us": us, "first_packet_id": packet_id, "packet_count": 1, "byte_count": length,
-            "min_packet_size": length, "max_packet_size": length, **counts, "teardown": marks >= _CLOSES, "head": head}
+    us, packet_id, length, marks, *head = row
+    return {**dict(zip(_HEAD, head)), "teardown": marks >= _CLOSES, "first_us": us, "last_us": us, "first_packet_id": packet_id,
+            "packet_count": 1, "byte_count": length, "min_packet_size": length, "max_packet_size": length,
+            **{n: marks >> i & 1 for i, n in enumerate(_FLAGS)}}
 
 
 def _extend(flow: dict, row: tuple) -> None:
-    us, _, length, marks, _ = row
+    us, _, length, marks, *_ = row
     flow["last_us"] = us
     flow["packet_count"] += 1
     flow["byte_count"] += length
     flow["min_packet_size"] = min(flow["min_packet_size"], length)
     flow["max_packet_size"] = max(flow["max_packet_size"], length)
-    for i, n in enumerate(_NUMBERS[7:]):
+    for i, n in enumerate(_FLAGS):
         flow[n] += marks >> i & 1
     flow["teardown"] = marks >= _CLOSES
 
 
-def _step(gap_us: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flow, rows = json.loads(state.get[0]) if state.exists else (None, [])
-        for frame in frames:
-            rows.extend(zip(*(frame[c].tolist() for c in _ROW)))
-        rows.sort(key=lambda r: (r[0], r[1]))
-        now = state.getCurrentWatermarkMs() * 1000
-        done: list[dict] = []
-        held: list = []
-        for i, row in enumerate(rows):
-            if row[0] > now:
-                held = rows[i:]
-                break
-            if flow is not None and row[0] - flow["last_us"] > gap_us:
-                done.append(flow)
-                flow = None
-            if flow is None:
-                flow = _opened(row)
-            else:
-                _extend(flow, row)
-            if flow["teardown"]:
-                done.append(flow)
-                flow = None
-        if flow is not None and now - flow["last_us"] > gap_us:
+class LiveFlows(StatefulProcessor):
+    def __init__(self, gap_us: int, slot_us: int):
+        self.gap_us, self.slot_us = gap_us, slot_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _FLOW_DDL)
+        self.waiting = handle.getMapState("waiting", "slot bigint", "pieces bigint")
+        self.lists = [handle.getListState(f"slots{i}", _ROW_DDL) for i in range(LISTS)]
+
+    def _hold(self, slot: int, rows: list[tuple]) -> None:
+        self.lists[slot % LISTS].appendList(rows)
+        before = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
+        if before is None:
+            self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
+        self.waiting.updateValue((slot,), ((before[0] if before else 0) + 1,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        pieces: dict[int, list[tuple]] = {}
+        for r in rows:
+            row = tuple(r[c] for c in _ROW)
+            own = pieces.setdefault(row[0] // self.slot_us, [])
+            own.append(row)
+            if len(own) >= PIECE:
+                self._hold(row[0] // self.slot_us, pieces.pop(row[0] // self.slot_us))
+        for slot, own in pieces.items():
+            self._hold(slot, own)
+        return iter(())
+
+    def _taken(self, slot: int) -> list[tuple]:
+        """The packets of a slot in order; those of later slots go back into the list."""
+        mine, others = [], []
+        for row in self.lists[slot % LISTS].get():
+            row = tuple(row)
+            (mine if row[0] // self.slot_us == slot else others).append(row)
+        if others:
+            self.lists[slot % LISTS].put(others)
+        else:
+            self.lists[slot % LISTS].clear()
+        self.waiting.removeKey((slot,))
+        return sorted(mine, key=lambda r: r[:2])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us  # slots before this one are whole
+        now = passed * self.slot_us
+        due = sorted(s for (s,) in self.waiting.keys() if s < passed)
+        saved = self.open.get()
+        flow = None if saved is None else dict(zip(_FLOW, saved))
+        done = []
+        for slot in due:
+            for row in self._taken(slot):
+                if flow is not None and row[0] - flow["last_us"] > self.gap_us:
+                    done.append(flow)
+                    flow = None
+                if flow is None:
+                    flow = _opened(row)
+                else:
+                    _extend(flow, row)
+                if flow["teardown"]:
+                    done.append(flow)
+                    flow = None
+        if flow is not None and now - flow["last_us"] > self.gap_us:
             done.append(flow)
             flow = None
-        if flow is None and not held:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps([flow, held]),))
-            # Earliest watermark, in ms, at which something can happen: a held packet is passed or the flow expires.
-            due = ([-(-held[0][0] // 1000) - 1] if held else []) + ([(flow["last_us"] + gap_us) // 1000] if flow else [])
-            state.setTimeoutTimestamp(max(min(due), now // 1000))
-        if done:
-            yield pd.DataFrame({
-                "capture_id": key[0], "flow_id": key[1], "head": [d["head"] for d in done],
-                "teardown": [d["teardown"] for d in done], **{n: [d[n] for d in done] for n in _NUMBERS}})
+        if flow is not None:
+            if due:
+                self.open.update(tuple(flow[c] for c in _FLOW))
+                self.handle.registerTimer(((flow["last_us"] + self.gap_us) // self.slot_us + 1) * self.slot_us // 1000)
+        elif saved is not None:
+            self.open.clear()
+        for d in done:
+            yield Row(capture_id=key[0], flow_id=key[1], **d)
 
-    return step
+    def close(self) -> None:
+        pass
 
 
-def live_flow_stream(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
-                     watermark: str = WATERMARK) -> DataFrame:
+def live_flow_stream(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS, watermark: str = WATERMARK,
+                     slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Closed flows in append mode; flows still open stay in the state."""
     marks = sum((F.when(has_flag(f), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(COUNTED_FLAGS)),
                 F.when(is_teardown(), F.lit(_CLOSES)).otherwise(F.lit(0)))
     narrow = packets.withWatermark("timestamp", watermark).select(
-        "timestamp", "capture_id", "flow_id", F.unix_micros("timestamp").alias("us"), "packet_id", "length",
-        marks.alias("marks"), F.to_json(F.struct(*_HEAD)).alias("head"))
-    closed = narrow.groupBy("capture_id", "flow_id").applyInPandasWithState(
-        _step(timeout_seconds * 1_000_000), _OUT_DDL, "saved string", "append", GroupStateTimeout.EventTimeTimeout)
-    timed = closed.withColumn("_head", F.from_json("head", _HEAD_DDL)).select(
-        "*", "_head.*", F.timestamp_micros("first_us").alias("start_time"), F.timestamp_micros("last_us").alias("end_time"),
+        "timestamp", "capture_id", "flow_id", F.unix_micros("timestamp").alias("us"), "packet_id", "length", marks.alias("marks"), *_HEAD)
+    closed = narrow.groupBy("capture_id", "flow_id").transformWithState(
+        LiveFlows(timeout_seconds * 1_000_000, slot_seconds * 1_000_000), f"capture_id string, flow_id string, {_FLOW_DDL}", "Append", "EventTime")
+    timed = closed.select(
+        "*", F.timestamp_micros("first_us").alias("start_time"), F.timestamp_micros("last_us").alias("end_time"),
         F.lit(False).alias("is_active"), F.when(F.col("teardown"), "teardown").otherwise("timeout").alias("close_reason"))
     sizes = {c: F.col(c).cast("int") for c in ("min_packet_size", "max_packet_size")}
     return finalise(timed.withColumns(sizes)).select(*FLOW_COLUMNS)

@@ -22,7 +22,7 @@ def con():
 
 
 def test_every_oracle_has_a_query():
-    from packetloom.plans.oracle import oracle_sql
+    from packetloom.plans.registry import oracle_sql
 
     assert set(oracle_sql()) <= set(QUERIES) | {"csv_report"}
 
