@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators import explain as E
-from packetloom.plans.catalog import anomaly_table, query, scored
-from packetloom.runtime import make_folder, scratch_path
+from packetloom.plans.catalog import anomaly_table, at_second, capture_flows, packets, query, scored
+from packetloom.runtime import make_folder, materialize, scratch_path
+from packetloom.sources import layouts as L
 from packetloom.sources.merge_table import MergeTable, by_rules, first_text, largest_row
 from packetloom.sources.tables import EPOCH_2024_US, TIME_SQUEEZE, packets_from_events, read_table
+from packetloom.streaming import dashboard as DB
 from packetloom.streaming import feeds as FD
 from packetloom.streaming import flows as SF
+from packetloom.streaming import late as LT
 
 #: Steps in which the events of a folder arrive, and how far they are out of order (below the watermark's 30 s).
 STEPS = 5
@@ -27,7 +30,8 @@ def arriving(spark: SparkSession, folder: str, steps: int = STEPS, disorder_seco
     """The events in order of arrival, in ``steps`` parts of equal duration; an event arrives up to ``disorder_seconds`` late."""
     events = read_table(spark, folder, "events")
     us = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_2024_US) / TIME_SQUEEZE)
-    timed = events.withColumn("_at", us + F.pmod(F.xxhash64("event_id"), F.lit(disorder_seconds * 1_000_000)))
+    delay = F.col("event_id") * 7_919_033 % (disorder_seconds * 1_000_000)
+    timed = events.withColumn("_at", us + delay)
     low, high = timed.agg(F.min("_at"), F.max("_at")).first()
     step = F.floor((F.col("_at") - F.lit(low)) * steps / F.lit(high - low + 1))
     for i in range(steps):
@@ -44,16 +48,25 @@ def landed_packets(spark: SparkSession, folder: str, path: str) -> DataFrame:
     return packets_from_events(landed_events(spark, folder, path))
 
 
+def land(part: DataFrame, path: str, step: int) -> None:
+    part.write.parquet(f"{path}/in/step{step}")
+
+
+def finish(start: Callable[[], StreamingQuery]) -> None:
+    """Run to the end; a run that was interrupted on purpose is started again."""
+    try:
+        start().awaitTermination()
+    except StreamingQueryException as e:
+        if Interrupted.__name__ not in str(e):
+            raise
+        start().awaitTermination()
+
+
 def in_steps(spark: SparkSession, folder: str, path: str, start: Callable[[int], StreamingQuery], **options) -> None:
     """Land the events step by step; after each step the stream runs over what is new and stops again."""
     for i, part in enumerate(arriving(spark, folder, **options)):
-        part.write.parquet(f"{path}/in/step{i}")
-        try:
-            start(i).awaitTermination()
-        except StreamingQueryException as e:
-            if Interrupted.__name__ not in str(e):
-                raise
-            start(i).awaitTermination()
+        land(part, path, i)
+        finish(lambda: start(i))
 
 
 class Interrupted(RuntimeError):
@@ -143,3 +156,138 @@ def explanations_stored(spark, folder):
         missing = table.read().where(F.coalesce("explanation", F.lit("")) == "")
         table.upsert(missing.join(texts, ["capture_id", "flow_id"]).withColumn("explanation", F.col("_text")), merge)
     return table.read().select("anomaly_id", "explanation")
+
+
+# ---- stored layouts; minutes stand for days, since the packets of the driver tables lie within minutes
+
+UNIT = "MINUTE"
+
+
+def stored_table(spark, df: DataFrame, time: str) -> str:
+    return L.store(df, scratch_path(spark, "layout"), time, UNIT)
+
+
+@query
+def stored_period_filter(spark, folder):
+    name = stored_table(spark, packets(spark, folder), "timestamp")
+    return L.in_period(spark, name, "timestamp", at_second(60), at_second(180), UNIT).select("packet_id", "timestamp", "protocol", "length")
+
+
+@query
+def stored_flow_lookup(spark, folder):
+    name = stored_table(spark, packets(spark, folder), "timestamp")
+    wanted = F.md5(F.lit("10.0.0.9:40008|192.168.0.1:8080|HTTP").cast("binary"))
+    return L.flow(spark, name, wanted).select("capture_id", "packet_id", "timestamp", "src_ip", "dst_ip", "length", "flow_id")
+
+
+@query
+def stored_flow_report(spark, folder):
+    flows = stored_table(spark, capture_flows(spark, folder), "start_time")
+    return L.flow_report(spark, flows, stored_table(spark, anomaly_table(spark, folder), "detected_at"))
+
+
+@query
+def stored_latest_anomaly(spark, folder):
+    name = stored_table(spark, anomaly_table(spark, folder), "detected_at")
+    return L.latest_per_flow(spark, name).select("capture_id", "flow_id", "anomaly_id", "is_anomaly", "severity", "detected_at")
+
+
+@query
+def stored_busy_periods(spark, folder):
+    """Traffic by protocol in the minutes in which a flow with a critical anomaly began."""
+    name = stored_table(spark, packets(spark, folder), "timestamp")
+    critical = anomaly_table(spark, folder).where("severity = 'critical'")
+    chosen = L.in_periods_of(spark, name, critical, "start_time", UNIT)
+    return chosen.groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("length").cast("bigint")).alias("bytes"))
+
+
+# ---- numbers that refresh with every batch
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def as_of(df: DataFrame, path: str, step: int) -> DataFrame:
+    """What is served after a step, kept for comparison."""
+    df.withColumn("step", F.lit(step).cast("bigint")).write.parquet(f"{path}/served/{step}")
+    return df.sparkSession.read.parquet(f"{path}/served/{step}")
+
+
+@query
+def totals_live(spark, folder):
+    """Totals by label as served after every batch."""
+    path = scratch_path(spark, "totals")
+    stream = landed_packets(spark, folder, path)
+    table = MergeTable(spark, f"{path}/table", spark.createDataFrame([], DB.TOTALS_DDL).schema, DB.TOTALS_KEY, buckets=4)
+    save = interrupted(DB.totals_sink(table, "packets"), {1})
+    served = []
+    for i, part in enumerate(arriving(spark, folder)):
+        land(part, path, i)
+        finish(lambda: FD.run_batches(stream, save, f"{path}/checkpoint"))
+        served.append(as_of(DB.served_totals(table.read()), path, i))
+    return union_all(served)
+
+
+@query
+def severities_live(spark, folder):
+    """Flows by the severity of their newest anomaly, as served after every batch of anomalies."""
+    path = scratch_path(spark, "severities")
+    anomalies = anomaly_table(spark, folder).select("capture_id", "flow_id", "anomaly_id", "severity", "is_anomaly", "detected_at")
+    stored = materialize(anomalies, "anomalies")
+    low, high = stored.agg(F.unix_micros(F.min("detected_at")), F.unix_micros(F.max("detected_at"))).first()
+    step = F.floor((F.unix_micros("detected_at") - low) * 3 / F.lit(high - low + 1))
+    stream = spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").parquet(make_folder(spark, f"{path}/in"))
+    current = MergeTable(spark, f"{path}/current", stored.schema, ["capture_id", "flow_id"], buckets=4)
+    view = MergeTable(spark, f"{path}/view", spark.createDataFrame([], "severity string, flows bigint, flagged bigint").schema, ["severity"], buckets=2)
+    show = lambda rows: rows.select("severity", F.lit(1).cast("bigint").alias("flows"), F.col("is_anomaly").cast("bigint").alias("flagged"))
+    newest = largest_row(["capture_id", "flow_id"], stored.columns, ["detected_at", "anomaly_id"])
+    save = interrupted(DB.view_sink(current, newest, view, ["flows", "flagged"], "anomalies", show), {0, 2})
+    served = []
+    for i in range(3):
+        land(stored.where(step == i), path, i)
+        finish(lambda: FD.run_batches(stream, save, f"{path}/checkpoint"))
+        served.append(as_of(view.read().where("flows > 0"), path, i))
+    return union_all(served)
+
+
+def talker_summary(spark, folder, capacity: int) -> MergeTable:
+    path = scratch_path(spark, "talkers")
+    stream = landed_packets(spark, folder, path)
+    table = MergeTable(spark, f"{path}/table", spark.createDataFrame([], DB.TALKERS_DDL).schema, ["capture_id"], buckets=4)
+    save = interrupted(DB.talkers_sink(table, "packets", capacity), {3})
+    in_steps(spark, folder, path, lambda i: FD.run_batches(stream, save, f"{path}/checkpoint"))
+    return table
+
+
+@query
+def talkers_live(spark, folder):
+    """The exact three largest senders per capture, from a summary of twelve addresses."""
+    return DB.top_talkers(talker_summary(spark, folder, 12).read(), packets(spark, folder), 3)
+
+
+@query
+def talkers_live_bounds(spark, folder):
+    """Whether the summary's weights enclose the truth and miss nobody above its bound."""
+    bounds = DB.talker_bounds(talker_summary(spark, folder, 12).read(), packets(spark, folder))
+    return bounds.select("capture_id", "enclosed", "complete", (F.col("listed") <= 12).alias("bounded"))
+
+
+# ---- rows that come too late
+
+LATE_DISORDER_SECONDS = 75
+
+
+@query
+def late_rows_stream(spark, folder):
+    """Every packet with its batch, and how far behind the watermark it came if it did."""
+    path = scratch_path(spark, "late")
+    columns = "packet_id bigint, timestamp timestamp, protocol string"
+    stream = landed_packets(spark, folder, path).select("packet_id", "timestamp", "protocol")
+    save = interrupted(LT.split_sink(path, "timestamp", 30), {2})
+    in_steps(spark, folder, path, lambda i: FD.run_batches(stream, save, f"{path}/checkpoint"), disorder_seconds=LATE_DISORDER_SECONDS)
+    none = F.lit(None).cast("bigint").alias("delay_us")
+    return LT.accepted(spark, path, columns).select("packet_id", "protocol", "batch", none).unionByName(
+        LT.late(spark, path, columns).select("packet_id", "protocol", "batch", "delay_us"))

@@ -99,6 +99,17 @@ class MergeTable:
         folder = self.version().folders.get(bucket)
         return self._rows([folder] if folder else []).where(_all_equal(self.keys, typed))
 
+    def preview(self, batch: DataFrame, merge: Merge) -> tuple[DataFrame, DataFrame]:
+        """The rows of the batch's keys as they are and as ``merge`` would leave them."""
+        folders = self.version().folders
+        keys = batch.select(*self.keys).distinct()
+        touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # at most one row per bucket
+        old = self._rows([folders[b] for b in touched if b in folders]).alias("o")
+        same = _all_equal([f"o.{k}" for k in self.keys], [F.col(f"k.{k}") for k in self.keys])
+        before = old.join(keys.alias("k"), same, "left_semi")
+        both = before.withColumn(OLD, F.lit(True)).unionByName(batch.select(*self.schema.names).withColumn(OLD, F.lit(False)))
+        return before, merge(both).select(*self.schema.names)
+
     def upsert(self, batch: DataFrame, merge: Merge, stream: str | None = None, batch_id: int | None = None) -> bool:
         """Merge ``batch`` into the table; False if that batch of that stream is in it already."""
         now = self.version()
