@@ -1,6 +1,6 @@
 """Captures as searchable text: eight families of chunks, each a DataFrame, united at the end.
 
-Lists inside a text are short by definition (8 talkers, 60 names, ...): they are ranked first and
+All but the chunk of a single flow come from the facts of a capture (``operators.facts``). Lists inside a text are short by definition (8 talkers, 60 names, ...): they are ranked first and
 only the listed rows are collected. Complete lists stay available as row tables
 (``stats.dns_names``, ``stats.http_hosts``, ``flows.port_scanners``, the scored flows).
 """
@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.packet import endpoint
 from packetloom.functions.values import fixed, number, text
-from packetloom.operators.flows import TCP_FAMILY, port_scanners
-from packetloom.operators.flows import tcp_health as health_counts
-from packetloom.operators.stats import (byte_sum, dns_summary, http_summary, top_per,
-                                        top_talkers_by_bytes)
+from packetloom.operators.facts import Facts, collect_facts, hosts, listed, names, scanners, talkers, totals
+from packetloom.operators.flows import TCP_FAMILY
 from packetloom.schemas import CHUNK_COLUMNS
 
 KB, MB = 1024.0, 1_048_576.0
@@ -31,67 +29,44 @@ def label_id(label: Column | str) -> Column:
 
 def _chunk(df: DataFrame, label: Column | str, category: str, content: Column, metadata: Column) -> DataFrame:
     return df.select("capture_id", label_id(label).alias("chunk_id"), F.lit(category).alias("category"),
-                     content.alias("content"), F.to_json(metadata).alias("metadata"))
+                     content.alias("content"), F.to_json(metadata, {"ignoreNullFields": "false"}).alias("metadata"))
 
 
-def _listed(df: DataFrame, item: Column, n: int, order: list[Column], name: str) -> DataFrame:
-    """Per capture, the first ``n`` items in order as one array."""
-    ranked = top_per(df.withColumn("_item", item), ["capture_id"], order, n, "_rank")
-    pairs = F.sort_array(F.collect_list(F.struct("_rank", "_item")))
-    return ranked.groupBy("capture_id").agg(F.transform(pairs, lambda p: p["_item"]).alias(name))
-
-
-def summary_chunk(packets: DataFrame, flows: DataFrame) -> DataFrame:
-    per_protocol = packets.groupBy("capture_id", "protocol").agg(
-        F.count(F.lit(1)).alias("n"), byte_sum().alias("b"),
-        F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
-    base = per_protocol.groupBy("capture_id").agg(
-        F.sum("n").alias("total_packets"), F.sum("b").alias("bytes"),
-        ((F.unix_micros(F.max("t1")) - F.unix_micros(F.min("t0"))) / F.lit(1e6)).alias("duration"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "protocol", "n"))).alias("protocols"),
-    )
-    counts = flows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_flows"),
-                                             F.count_if("is_anomaly").alias("anomaly_count"))
+def summary_chunk(facts: Facts) -> DataFrame:
     share = lambda p: text(p["protocol"], " (", number(p["n"]), " packets, ",
                            fixed(p["n"] / F.col("total_packets") * 100, 1), "%)")
     content = text(
         "Capture file: ", F.col("capture_id"), ". Total packets: ", number("total_packets"),
-        ". Total data transferred: ", fixed(F.col("bytes") / KB, 1), " KB (", fixed(F.col("bytes") / MB, 2),
-        " MB). Capture duration: ", fixed(F.col("duration"), 2), " seconds. Unique network flows: ",
-        number("total_flows"), ". Anomalies detected: ", number("anomaly_count"), ". Protocol breakdown: ",
+        ". Total data transferred: ", fixed(F.col("total_bytes") / KB, 1), " KB (", fixed(F.col("total_bytes") / MB, 2),
+        " MB). Capture duration: ", fixed(F.col("duration_seconds"), 2), " seconds. Unique network flows: ",
+        number("total_flows"), ". Anomalies detected: ", number("total_anomalies"), ". Protocol breakdown: ",
         F.array_join(F.transform("protocols", share), ", "), ".",
     )
-    joined = base.join(counts, "capture_id", "left").fillna(0, ["total_flows", "anomaly_count"])
-    return _chunk(joined, "global_summary", "global_summary", content,
-                  F.struct("total_packets", "total_flows", F.col("duration").alias("duration_seconds"), "anomaly_count"))
+    return _chunk(totals(facts), "global_summary", "global_summary", content,
+                  F.struct("total_packets", "total_flows", "duration_seconds", F.col("total_anomalies").alias("anomaly_count")))
 
 
-def talker_chunk(packets: DataFrame) -> DataFrame:
-    talkers = top_talkers_by_bytes(packets, 10).groupBy("capture_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "ip", "packets", "bytes"))).alias("talkers"))
+def talker_chunk(facts: Facts) -> DataFrame:
     line = lambda t: text(t["ip"], " sent ", number(t["packets"]), " packets (",
                           fixed(t["bytes"] / KB, 1), " KB)")
     content = text("Top hosts by data volume: ",
                    F.array_join(F.transform(F.slice("talkers", 1, 8), line), "; "), ".")
-    listed = F.transform("talkers", lambda t: F.struct(t["ip"].alias("ip"), t["packets"].alias("packets"),
-                                                       t["bytes"].alias("bytes")))
-    return _chunk(talkers, "top_talkers", "talker", content, F.struct(listed.alias("talkers")))
+    return _chunk(talkers(facts, 10), "top_talkers", "talker", content, F.struct("talkers"))
 
 
-def dns_chunk(packets: DataFrame) -> DataFrame:
+def dns_chunk(facts: Facts) -> DataFrame:
     n = F.col("query_count")
     content = text("DNS queries observed (", number(n), " unique domains): ",
                    F.array_join(F.slice("queries", 1, 60), ", "), F.when(n > 60, "...").otherwise("."))
-    return _chunk(dns_summary(packets, 100), "dns_events", "dns", content, F.struct("query_count", "queries"))
+    return _chunk(names(facts, 100), "dns_events", "dns", content, F.struct("query_count", "queries"))
 
 
-def http_chunk(packets: DataFrame) -> DataFrame:
+def http_chunk(facts: Facts) -> DataFrame:
     line = lambda h: text(h["host"], " (", number(h["requests"]), " requests)")
     content = text("HTTP traffic observed: ", number("request_count"), " total requests to ", number("host_count"),
                    " distinct hosts. Top HTTP hosts: ", F.array_join(F.transform("top_hosts", line), "; "), ".")
-    hosts = F.map_from_entries(F.transform("top_hosts", lambda h: F.struct(h["host"], h["requests"])))
-    return _chunk(http_summary(packets, 20), "http_events", "http", content,
-                  F.struct("request_count", "host_count", hosts.alias("hosts")))
+    return _chunk(hosts(facts, 20), "http_events", "http", content,
+                  F.struct("request_count", "host_count", F.map_from_entries("top_hosts").alias("hosts")))
 
 
 def _port(ip: str, port: str) -> Column:
@@ -120,20 +95,14 @@ def flow_chunks(scored: DataFrame) -> DataFrame:
     return _chunk(scored, F.concat(F.lit("flow_"), F.col("flow_id")), "flow", content, meta)
 
 
-def anomaly_chunk(scored: DataFrame) -> DataFrame:
-    totals = scored.groupBy("capture_id").agg(F.count(F.lit(1)).alias("flows"), F.count_if("is_anomaly").alias("n"))
-    flagged = scored.where("is_anomaly")
-    by_type = flagged.groupBy("capture_id", F.coalesce("anomaly_type", F.lit("unknown")).alias("kind")).agg(
-        F.count(F.lit(1)).alias("c"))
-    by_severity = flagged.groupBy("capture_id", F.coalesce("severity", F.lit("unknown")).alias("kind")).agg(
-        F.count(F.lit(1)).alias("c"))
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("kind", "c"))).alias(name))
+def anomaly_chunk(facts: Facts) -> DataFrame:
+    def counted(kind: str, name: str) -> DataFrame:
+        pair = F.struct(F.col("item.name").alias("kind"), F.col("n").alias("c"))
+        return facts.of(kind).groupBy("capture_id").agg(F.sort_array(F.collect_list(pair)).alias(name))
 
-    ids = _listed(flagged, F.substring("flow_id", 1, 8), 20, [F.col("first_packet_id"), F.col("flow_id")], "ids")
-    joined = totals.where("n > 0")
-    for part in (counted(by_type, "types"), counted(by_severity, "severities"), ids):
+    ids = listed(facts.of("flagged"), F.substring("item.id", 1, 8), 20, [F.col("item.at"), F.col("item.id")], "ids")
+    joined = facts.of("all").where("flagged_n > 0").select("capture_id", F.col("n").alias("flows"), F.col("flagged_n").alias("n"))
+    for part in (counted("type", "types"), counted("severity", "severities"), ids):
         joined = joined.join(part, "capture_id")
     content = text(
         "Anomaly summary: ", number("n"), " anomalous flows detected out of ", number("flows"),
@@ -148,11 +117,9 @@ def anomaly_chunk(scored: DataFrame) -> DataFrame:
     return _chunk(joined, "anomaly_summary", "anomaly", content, meta)
 
 
-def tcp_chunk(flows: DataFrame) -> DataFrame:
-    half_open = flows.where(F.col("protocol").isin(TCP_FAMILY) & (F.col("tcp_syn_count") > 0) & (F.col("tcp_ack_count") == 0))
-    shown = _listed(half_open, text(F.col("src_ip"), "→", endpoint("dst_ip", "dst_port", "None")), 10,
-                    [F.col("first_packet_id"), F.col("flow_id")], "shown")
-    joined = health_counts(flows).join(shown, "capture_id", "left")
+def tcp_chunk(facts: Facts) -> DataFrame:
+    shown = listed(facts.of("half_open"), F.col("item.name"), 10, [F.col("item.at"), F.col("item.id")], "shown")
+    joined = facts.of("all").where("tcp_flow_count > 0").join(shown, "capture_id", "left")
     content = text(
         "TCP analysis over ", number("tcp_flow_count"), " TCP/HTTP/HTTPS flows: ", number("incomplete_handshakes"),
         " flows with SYN but no ACK (possible incomplete handshakes or filtered ports). ", number("rst_storms"),
@@ -166,26 +133,27 @@ def tcp_chunk(flows: DataFrame) -> DataFrame:
     return _chunk(joined, "tcp_analysis", "tcp_analysis", content, meta)
 
 
-def port_scan_chunk(flows: DataFrame, min_ports: int = 10) -> DataFrame:
-    scanners = port_scanners(flows, min_ports)
+def port_scan_chunk(facts: Facts, min_ports: int = 10) -> DataFrame:
+    found = scanners(facts, min_ports)
     line = text(F.col("src_ip"), " probed ", number("port_count"), " distinct ports (e.g. [",
                 F.array_join(F.slice("ports", 1, 8), ", "), "]).")
-    lines = _listed(scanners, line, 5, [F.col("first_packet_id"), F.col("src_ip")], "lines")
-    counted = scanners.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).join(lines, "capture_id")
+    lines = listed(found, line, 5, [F.col("first_packet_id"), F.col("src_ip")], "lines")
+    counted = found.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).join(lines, "capture_id")
     content = text("Potential port scan activity detected from ", number("n"), " source IP(s). ",
                    F.array_join("lines", " "))
     return _chunk(counted, "port_scan_heuristic", "port_scan", content, F.struct(F.col("n").alias("scanner_count")))
 
 
-def build_chunks(packets: DataFrame, scored: DataFrame, min_ports: int = 10) -> DataFrame:
+def build_chunks(packets: DataFrame, scored: DataFrame, min_ports: int = 10, facts: Facts | None = None) -> DataFrame:
     """All families; those without data for a capture are absent.
 
-    ``scored`` is the flow table with detector columns. Both inputs are read several times, so
-    they should be tables (see ``plans.analysis``), not long lineages.
+    ``scored`` is the flow table with detector columns. Packets are read once and flows twice, for their facts and for the
+    chunk that each of them is; every other family is cut from the facts.
     """
+    facts = facts or collect_facts(packets, scored)
     families = [
-        summary_chunk(packets, scored), talker_chunk(packets), dns_chunk(packets), http_chunk(packets),
-        flow_chunks(scored), anomaly_chunk(scored), tcp_chunk(scored), port_scan_chunk(scored, min_ports),
+        summary_chunk(facts), talker_chunk(facts), dns_chunk(facts), http_chunk(facts),
+        flow_chunks(scored), anomaly_chunk(facts), tcp_chunk(facts), port_scan_chunk(facts, min_ports),
     ]
     return reduce(lambda a, b: a.unionByName(b), families).select(*CHUNK_COLUMNS)
 

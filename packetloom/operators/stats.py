@@ -123,18 +123,6 @@ def http_hosts(packets: DataFrame) -> DataFrame:
     return http_requests(packets).groupBy("capture_id", "host").agg(F.count(F.lit(1)).alias("requests"))
 
 
-def http_summary(packets: DataFrame, listed: int = 20) -> DataFrame:
-    hosts = http_hosts(packets)
-    counts = hosts.groupBy("capture_id").agg(
-        F.sum("requests").alias("request_count"), F.count(F.lit(1)).alias("host_count"))
-    tops = (
-        top_per(hosts, ["capture_id"], [F.col("requests").desc(), F.col("host")], listed)
-        .groupBy("capture_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "host", "requests"))).alias("top_hosts"))
-    )
-    return counts.join(tops, "capture_id")
-
-
 def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     """Flagged rows by type and severity, one pass over the anomalies."""
     return (
@@ -166,25 +154,6 @@ def distinct_sizes(packets: DataFrame, approximate: bool = False) -> DataFrame:
     return union.groupBy("capture_id").agg(*zero.values())
 
 
-def capture_summary(packets: DataFrame, flows: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row per capture, joined from per-capture aggregates only."""
-    base = packets.groupBy("capture_id").agg(
-        F.count(F.lit(1)).alias("total_packets"), byte_sum().alias("total_bytes"),
-        seconds_between(F.min("timestamp"), F.max("timestamp")).alias("duration_seconds"),
-    )
-    flow_n = flows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_flows"))
-    anomaly_n = scored.groupBy("capture_id").agg(F.count_if("is_anomaly").alias("total_anomalies"))
-    names = dns_names(packets).groupBy("capture_id").agg(F.count(F.lit(1)).alias("dns_query_count"))
-    talkers = top_talkers_by_bytes(packets, 5).groupBy("capture_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "ip", "packets", "bytes"))),
-                    lambda x: F.struct(x["ip"].alias("ip"), x["packets"].alias("packets"), x["bytes"].alias("bytes"))
-                    ).alias("top_talkers"))
-    joined = base
-    for part in (flow_n, anomaly_n, names, protocol_counts(packets), talkers):
-        joined = joined.join(part, "capture_id", "left")
-    return joined.fillna(0, ["total_flows", "total_anomalies", "dns_query_count"])
-
-
 def session_rollup(messages: DataFrame, session: str = "session_id", time_col: str = "ts") -> DataFrame:
     return messages.groupBy(session).agg(
         F.count(F.lit(1)).alias("message_count"), F.max(time_col).alias("last_active_at"))

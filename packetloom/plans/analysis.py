@@ -15,9 +15,9 @@ from packetloom.functions.dissect import dissect
 from packetloom.operators import chunks as C
 from packetloom.operators import context as CX
 from packetloom.operators import sparse as SP
-from packetloom.operators import stats as S
 from packetloom.operators.detect import Models, analyse
 from packetloom.operators.explain import Complete, provider, suggested_questions
+from packetloom.operators.facts import Facts, capture_summary, collect_facts, hosts, names, totals
 from packetloom.operators.flows import capture_flows, inter_arrival
 from packetloom.sources import capture_files as CF
 
@@ -45,41 +45,41 @@ def analyse_captures(spark: SparkSession, folder: str, out: str, models: Models
     frames = CF.scan_captures(spark, folder)
     packets = run.save("packets", inter_arrival(dissect(frames)))
     flows = run.save("flows", analyse(capture_flows(packets), models))
-    chunks = run.save("chunks", C.build_chunks(packets, flows))
-    run.save("sessions", session_table(spark, folder, frames, packets, flows, chunks))
+    facts = collect_facts(packets, flows)
+    chunks = run.save("chunks", C.build_chunks(packets, flows, facts=facts))
+    run.save("sessions", session_table(spark, folder, frames, packets, facts))
     postings, idf = SP.build_index(chunks, "chunk_id", "content", scope=["capture_id"])
     run.save("postings", postings)
     run.save("idf", idf)
     return run
 
 
-def session_table(spark, folder, frames, packets, flows, chunks) -> DataFrame:
+def session_table(spark, folder, frames, packets, facts: Facts) -> DataFrame:
     """One row per file: totals, chunk count, or the reason why it could not be used."""
     status = CF.capture_status(spark, folder, frames, packets).select(
         "capture_id", F.element_at(F.split("capture_id", "/"), -1).alias("filename"),
         F.col("length").alias("file_size_bytes"), "error")
-    chunk_n = chunks.groupBy("capture_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    totals = ["total_packets", "total_bytes", "total_flows", "total_anomalies", "dns_query_count", "chunk_count"]
+    counts = ["total_packets", "total_bytes", "total_flows", "total_anomalies", "dns_query_count", "chunk_count"]
     return (
-        status.join(S.capture_summary(packets, flows, flows), "capture_id", "left").join(chunk_n, "capture_id", "left")
-        .fillna(0, totals).fillna(0.0, ["duration_seconds"]).withColumn("session_id", F.md5("capture_id"))
+        status.join(capture_summary(facts), "capture_id", "left")
+        .fillna(0, counts).fillna(0.0, ["duration_seconds"]).withColumn("session_id", F.md5("capture_id"))
     )
 
 
-def question_facts(packets: DataFrame, flows: DataFrame) -> DataFrame:
+def question_facts(facts: Facts) -> DataFrame:
     """Inputs of the question rules, one row per capture."""
-    traffic = packets.groupBy("capture_id").agg(
-        F.collect_set("protocol").alias("protocols"), F.count("http_host").alias("http_request_count"),
-        F.count("dns_query").alias("dns_query_count"))
-    found = flows.groupBy("capture_id").agg(
-        F.count_if("is_anomaly").alias("total_anomalies"),
-        F.collect_set(F.when(F.col("is_anomaly"), F.col("anomaly_type"))).alias("anomaly_types"))
-    return traffic.join(found, "capture_id")
+    kinds = facts.of("type").groupBy("capture_id").agg(F.collect_list("item.name").alias("anomaly_types"))
+    counts = {"dns_query_count": names(facts, 1).select("capture_id", F.col("packets_with_query").alias("dns_query_count")),
+              "http_request_count": hosts(facts, 1).select("capture_id", F.col("request_count").alias("http_request_count"))}
+    found = totals(facts).withColumn("protocols", F.transform("protocols", lambda p: p["protocol"])).join(kinds, "capture_id", "left")
+    for part in counts.values():
+        found = found.join(part, "capture_id", "left")
+    return found.fillna(0, list(counts)).withColumn("anomaly_types", F.coalesce("anomaly_types", F.array().cast("array<string>")))
 
 
-def question_table(packets: DataFrame, flows: DataFrame) -> DataFrame:
+def question_table(facts: Facts) -> DataFrame:
     """Suggested questions, numbered from 1 per capture."""
-    return suggested_questions(question_facts(packets, flows)).select(
+    return suggested_questions(question_facts(facts)).select(
         "capture_id", F.posexplode("questions").alias("_pos", "question")).select(
         "capture_id", (F.col("_pos") + 1).cast("bigint").alias("question_id"), "question")
 

@@ -18,6 +18,7 @@ from packetloom.operators import context as CX
 from packetloom.operators import dense as DN
 from packetloom.operators import detect as D
 from packetloom.operators import explain as E
+from packetloom.operators import facts as FA
 from packetloom.operators import filters as P
 from packetloom.operators import flows as FL
 from packetloom.operators import forest as FO
@@ -269,10 +270,10 @@ def anomaly_counts(spark, folder):
 
 @query
 def capture_summary(spark, folder):
-    p, s = packets(spark, folder), scored(spark, folder)
     talker = lambda t: F.concat_ws("/", t["ip"], t["packets"].cast("string"), t["bytes"].cast("string"))
+    facts = FA.collect_facts(packets(spark, folder), scored(spark, folder))
     return (
-        S.capture_summary(p, s, s)
+        FA.capture_summary(facts, min_ports=2)
         .withColumn("protocol_counts", map_text("protocol_counts"))
         .withColumn("top_talkers", F.array_join(F.transform("top_talkers", talker), ","))
     )
@@ -477,26 +478,27 @@ def json_report_parts(spark, folder):
 # ---- text chunks and retrieval
 
 def chunk_table(spark, folder, persist=True):
-    """Chunks of all captures; inputs that feed several families are written once."""
-    p = materialize(packets(spark, folder), "packets")
-    s = materialize(X.scored_flows(FL.capture_flows(p)), "scored")
-    chunks = C.build_chunks(p, s, min_ports=2)
-    return p, s, materialize(chunks, "chunks") if persist else chunks
+    """Facts and chunks of all captures; the scored flows are written, since they are read for both."""
+    s = materialize(scored(spark, folder), "scored")
+    facts = FA.collect_facts(packets(spark, folder), s)
+    chunks = C.build_chunks(None, s, min_ports=2, facts=facts)
+    return facts, materialize(chunks, "chunks") if persist else chunks
 
 
 @query
 def chunks_text(spark, folder):
-    return chunk_table(spark, folder, persist=False)[2].drop("metadata")
+    return chunk_table(spark, folder, persist=False)[1]
 
 
 @query
 def chunk_counts(spark, folder):
-    return C.chunk_counts(chunk_table(spark, folder, persist=False)[2])
+    return C.chunk_counts(chunk_table(spark, folder, persist=False)[1])
 
 
 @query
 def suggested_questions(spark, folder):
-    return AN.question_table(packets(spark, folder), scored(spark, folder)).withColumnRenamed("question_id", "question_no")
+    facts = FA.collect_facts(packets(spark, folder), scored(spark, folder))
+    return AN.question_table(facts).withColumnRenamed("question_id", "question_no")
 
 
 @query
@@ -520,10 +522,10 @@ def tfidf_topk(spark, folder):
 
 def retrieval(spark, folder):
     """Suggested questions answered from their capture's chunks, summary chunk always included."""
-    p, s, chunks = chunk_table(spark, folder)
-    questions = AN.question_table(p, s)
+    facts, chunks = chunk_table(spark, folder)
+    questions = AN.question_table(facts)
     postings, idf = SP.build_index(chunks, "chunk_id", "content", scope=["capture_id"])
-    return p, s, questions, AN.find_sources(questions, chunks, postings, idf)
+    return facts, questions, AN.find_sources(questions, chunks, postings, idf)
 
 
 ANSWER_KEYS = AN.QUESTION_KEYS
@@ -531,26 +533,26 @@ ANSWER_KEYS = AN.QUESTION_KEYS
 
 @query
 def chat_retrieval(spark, folder):
-    return retrieval(spark, folder)[3].select(*ANSWER_KEYS, "chunk_id", "score", "rank", "category")
+    return retrieval(spark, folder)[2].select(*ANSWER_KEYS, "chunk_id", "score", "rank", "category")
 
 
 @query
 def context_budget(spark, folder):
     # A small budget, so that the cut is reached on the driver tables.
-    return CX.pack_context(retrieval(spark, folder)[3], ANSWER_KEYS, max_chars=700)
+    return CX.pack_context(retrieval(spark, folder)[2], ANSWER_KEYS, max_chars=700)
 
 
 @query
 def source_list(spark, folder):
-    line = lambda x: F.concat_ws("|", x["category"], x["content"], fixed(x["score"], 4))
-    listed = CX.source_list(retrieval(spark, folder)[3], ANSWER_KEYS, shown=4)
+    line = lambda x: F.concat_ws("|", x["category"], x["content"], fixed(x["score"], 4), x["metadata"])
+    listed = CX.source_list(retrieval(spark, folder)[2], ANSWER_KEYS, shown=4)
     return listed.withColumn("sources", F.array_join(F.transform("sources", line), "\n"))
 
 
 @query
 def answers_batch(spark, folder):
-    p, s, questions, ranked = retrieval(spark, folder)
-    captures = S.capture_summary(p, s, s).withColumn("filename", F.col("capture_id"))
+    facts, questions, ranked = retrieval(spark, folder)
+    captures = FA.capture_summary(facts).withColumn("filename", F.col("capture_id"))
     prompts = CX.build_prompts(questions, CX.pack_context(ranked, ANSWER_KEYS), captures, "question_id")
     return CX.answer(prompts, ranked, ANSWER_KEYS, E.provider("mock"))
 
@@ -561,8 +563,8 @@ def answer_failures(spark, folder):
     def unreachable(prompts):
         raise ConnectionError("model not reachable")
 
-    p, s, questions, ranked = retrieval(spark, folder)
-    captures = S.capture_summary(p, s, s).withColumn("filename", F.col("capture_id"))
+    facts, questions, ranked = retrieval(spark, folder)
+    captures = FA.capture_summary(facts).withColumn("filename", F.col("capture_id"))
     prompts = CX.build_prompts(questions, CX.pack_context(ranked, ANSWER_KEYS), captures, "question_id")
     return CX.answer(prompts, ranked, ANSWER_KEYS, unreachable).select(*ANSWER_KEYS, "answer")
 

@@ -262,18 +262,6 @@ def oracle_sql() -> dict[str, str]:
       FROM packets GROUP BY 1""")
     q["anomaly_counts"] = _with(ANOMALIES, """
       SELECT capture_id, anomaly_type, severity, count(*) AS n FROM anomalies WHERE is_anomaly GROUP BY 1, 2, 3""")
-    q["capture_summary"] = _with(SCORED, """
-      SELECT capture_id, p.total_packets, p.total_bytes, p.duration_seconds, f.total_flows, f.total_anomalies, d.dns_query_count,
-        pc.protocol_counts, t.top_talkers
-      FROM (SELECT capture_id, count(*) AS total_packets, CAST(sum(length) AS BIGINT) AS total_bytes,
-              round((max(us) - min(us)) / 1000000.0, 6) AS duration_seconds, count(DISTINCT dns_query) AS x FROM packets GROUP BY 1) p
-      JOIN (SELECT capture_id, count(*) AS total_flows, count(*) FILTER (is_anomaly) AS total_anomalies FROM scored GROUP BY 1) f USING (capture_id)
-      JOIN (SELECT capture_id, count(DISTINCT dns_query) AS dns_query_count FROM packets GROUP BY 1) d USING (capture_id)
-      JOIN (SELECT capture_id, string_agg(protocol || '=' || CAST(n AS VARCHAR), ',' ORDER BY protocol) AS protocol_counts FROM (
-              SELECT capture_id, protocol, count(*) AS n FROM packets GROUP BY 1, 2) GROUP BY 1) pc USING (capture_id)
-      JOIN (SELECT capture_id, string_agg(ip || '/' || CAST(packets AS VARCHAR) || '/' || CAST(bytes AS VARCHAR), ',' ORDER BY r) AS top_talkers FROM (
-              SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, ip) AS r FROM (
-                SELECT capture_id, src_ip AS ip, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1) t USING (capture_id)""")
 
     # ---- flows
     q["flows_capture"] = _with(CAPTURE_FLOWS, f"SELECT {FLOW_OUT} FROM flows")

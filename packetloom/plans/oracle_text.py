@@ -51,19 +51,25 @@ chunks AS (
   SELECT c.capture_id, substring(md5('global_summary'), 1, 12) AS chunk_id, 'global_summary' AS category,
     'Capture file: ' || c.capture_id || '. Total packets: ' || c.n || '. Total data transferred: ' || printf('%.1f', c.b / 1024.0) || ' KB ('
     || printf('%.2f', c.b / 1048576.0) || ' MB). Capture duration: ' || printf('%.2f', c.d / 1000000.0) || ' seconds. Unique network flows: '
-    || f.n || '. Anomalies detected: ' || f.a || '. Protocol breakdown: ' || p.txt || '.' AS content
+    || f.n || '. Anomalies detected: ' || f.a || '. Protocol breakdown: ' || p.txt || '.' AS content,
+    CAST(to_json({{'total_packets': c.n, 'total_flows': f.n, 'duration_seconds': c.d / 1000000.0, 'anomaly_count': f.a}}) AS VARCHAR) AS metadata
   FROM (SELECT capture_id, count(*) AS n, CAST(sum(length) AS DOUBLE) AS b, max(us) - min(us) AS d FROM packets GROUP BY 1) c
   JOIN (SELECT capture_id, count(*) AS n, count(*) FILTER (is_anomaly) AS a FROM scored GROUP BY 1) f USING (capture_id)
   JOIN {_listed("proto_rows", "protocol || ' (' || n || ' packets, ' || printf('%.1f', CAST(n AS DOUBLE) / total * 100) || '%)'", "n DESC, protocol", 99, ", ")} p USING (capture_id)
   UNION ALL
-  SELECT capture_id, substring(md5('top_talkers'), 1, 12), 'talker', 'Top hosts by data volume: ' || txt || '.'
+  SELECT capture_id, substring(md5('top_talkers'), 1, 12), 'talker', 'Top hosts by data volume: ' || txt || '.', CAST(to_json({{'talkers': l}}) AS VARCHAR)
   FROM {_listed("talker_rows", "ip || ' sent ' || p || ' packets (' || printf('%.1f', b / 1024.0) || ' KB)'", "b DESC, ip", 8, "; ")}
+  JOIN (SELECT capture_id, list({{'ip': ip, 'packets': p, 'bytes': CAST(b AS BIGINT)}} ORDER BY b DESC, ip)[1:10] AS l FROM talker_rows GROUP BY 1) USING (capture_id)
   UNION ALL
-  SELECT capture_id, substring(md5('dns_events'), 1, 12), 'dns', 'DNS queries observed (' || n || ' unique domains): ' || txt || CASE WHEN n > 60 THEN '...' ELSE '.' END
-  FROM {_listed("dns_rows", "name", "first, name", 60, ", ")} JOIN (SELECT capture_id, count(*) AS n FROM dns_rows GROUP BY 1) USING (capture_id)
+  SELECT capture_id, substring(md5('dns_events'), 1, 12), 'dns', 'DNS queries observed (' || n || ' unique domains): ' || txt || CASE WHEN n > 60 THEN '...' ELSE '.' END,
+    CAST(to_json({{'query_count': n, 'queries': l}}) AS VARCHAR)
+  FROM {_listed("dns_rows", "name", "first, name", 60, ", ")}
+  JOIN (SELECT capture_id, count(*) AS n, list(name ORDER BY first, name)[1:100] AS l FROM dns_rows GROUP BY 1) USING (capture_id)
   UNION ALL
-  SELECT capture_id, substring(md5('http_events'), 1, 12), 'http', 'HTTP traffic observed: ' || s || ' total requests to ' || n || ' distinct hosts. Top HTTP hosts: ' || txt || '.'
-  FROM {_listed("host_rows", "host || ' (' || n || ' requests)'", "n DESC, host", 20, "; ")} JOIN (SELECT capture_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS s FROM host_rows GROUP BY 1) USING (capture_id)
+  SELECT capture_id, substring(md5('http_events'), 1, 12), 'http', 'HTTP traffic observed: ' || s || ' total requests to ' || m || ' distinct hosts. Top HTTP hosts: ' || txt || '.',
+    CAST(to_json({{'request_count': s, 'host_count': m, 'hosts': l}}) AS VARCHAR)
+  FROM {_listed("host_rows", "host || ' (' || n || ' requests)'", "n DESC, host", 20, "; ")} JOIN (SELECT capture_id, count(*) AS m, CAST(sum(n) AS BIGINT) AS s,
+    map_from_entries(list({{'k': host, 'v': n}} ORDER BY n DESC, host)[1:20]) AS l FROM host_rows GROUP BY 1) USING (capture_id)
   UNION ALL
   SELECT capture_id, substring(md5('flow_' || flow_id), 1, 12), 'flow',
     'Flow ' || substring(flow_id, 1, 8) || ': ' || protocol || ' ' || src_ip || ':' || coalesce(CAST(src_port AS VARCHAR), '*') || ' → ' || dst_ip || ':'
@@ -73,24 +79,31 @@ chunks AS (
     || CASE WHEN protocol IN ('TCP', 'HTTP', 'HTTPS') THEN 'TCP flags — SYN:' || tcp_syn_count || ' FIN:' || tcp_fin_count || ' RST:' || tcp_rst_count
        || ' ACK:' || tcp_ack_count || ' PSH:' || tcp_psh_count || '. ' ELSE '' END
     || CASE WHEN is_anomaly THEN 'ANOMALY DETECTED — type: ' || anomaly_type || ', severity: ' || severity || ', ensemble score: '
-       || printf('%.3f', ensemble_score) || '. ' ELSE '' END
+       || printf('%.3f', ensemble_score) || '. ' ELSE '' END,
+    CAST(to_json({{'flow_id': flow_id, 'src_ip': src_ip, 'dst_ip': dst_ip, 'protocol': protocol, 'is_anomaly': is_anomaly, 'anomaly_type': anomaly_type}}) AS VARCHAR)
   FROM scored
   UNION ALL
   SELECT capture_id, substring(md5('anomaly_summary'), 1, 12), 'anomaly', 'Anomaly summary: ' || t.a || ' anomalous flows detected out of ' || t.n
-    || ' total. Types observed: ' || k.txt || '. Severity breakdown: ' || s.txt || '. Anomalous flow IDs: ' || i.txt || CASE WHEN t.a > 20 THEN '...' ELSE '.' END
+    || ' total. Types observed: ' || k.txt || '. Severity breakdown: ' || s.txt || '. Anomalous flow IDs: ' || i.txt || CASE WHEN t.a > 20 THEN '...' ELSE '.' END,
+    CAST(to_json({{'anomaly_count': t.a, 'by_type': mk.m, 'severity_counts': ms.m}}) AS VARCHAR)
   FROM (SELECT capture_id, count(*) AS n, count(*) FILTER (is_anomaly) AS a FROM scored GROUP BY 1) t
   JOIN {_listed("(SELECT capture_id, anomaly_type, count(*) AS n FROM scored WHERE is_anomaly GROUP BY 1, 2)", "n || ' ' || anomaly_type || ' event(s)'", "anomaly_type", 99, "; ")} k USING (capture_id)
   JOIN {_listed("(SELECT capture_id, severity, count(*) AS n FROM scored WHERE is_anomaly GROUP BY 1, 2)", "severity || ': ' || n", "severity", 99, ", ")} s USING (capture_id)
   JOIN {_listed("(SELECT * FROM scored WHERE is_anomaly)", "substring(flow_id, 1, 8)", "first_packet_id, flow_id", 20, ", ")} i USING (capture_id)
+  JOIN (SELECT capture_id, map_from_entries(list({{'k': anomaly_type, 'v': n}} ORDER BY anomaly_type)) AS m FROM (
+    SELECT capture_id, anomaly_type, count(*) AS n FROM scored WHERE is_anomaly GROUP BY 1, 2) GROUP BY 1) mk USING (capture_id)
+  JOIN (SELECT capture_id, map_from_entries(list({{'k': severity, 'v': n}} ORDER BY severity)) AS m FROM (
+    SELECT capture_id, severity, count(*) AS n FROM scored WHERE is_anomaly GROUP BY 1, 2) GROUP BY 1) ms USING (capture_id)
   UNION ALL
   SELECT capture_id, substring(md5('tcp_analysis'), 1, 12), 'tcp_analysis', 'TCP analysis over ' || h.n || ' TCP/HTTP/HTTPS flows: ' || h.i
     || ' flows with SYN but no ACK (possible incomplete handshakes or filtered ports). ' || h.r || ' flows with high RST count (possible connection rejections or scanning). '
-    || h.t || ' flows show possible retransmission patterns (many small ACKs). ' || coalesce('Incomplete handshake flows involve: ' || x.txt || '. ', '')
+    || h.t || ' flows show possible retransmission patterns (many small ACKs). ' || coalesce('Incomplete handshake flows involve: ' || x.txt || '. ', ''),
+    CAST(to_json({{'tcp_flow_count': h.n, 'incomplete_handshakes': h.i, 'rst_storms': h.r, 'retransmission_hint_count': h.t}}) AS VARCHAR)
   FROM (SELECT capture_id, count(*) AS n, count(*) FILTER (tcp_syn_count > 0 AND tcp_ack_count = 0) AS i, count(*) FILTER (tcp_rst_count > 5) AS r,
           count(*) FILTER (packet_count > 10 AND avg_packet_size < 80 AND tcp_ack_count > packet_count * 0.6) AS t FROM tcp_rows GROUP BY 1) h
   LEFT JOIN {_listed("(SELECT * FROM tcp_rows WHERE tcp_syn_count > 0 AND tcp_ack_count = 0)", "src_ip || '→' || dst_ip || ':' || dst_port", "first_packet_id, flow_id", 10, ", ")} x USING (capture_id)
   UNION ALL
-  SELECT capture_id, substring(md5('port_scan_heuristic'), 1, 12), 'port_scan', 'Potential port scan activity detected from ' || n || ' source IP(s). ' || txt
+  SELECT capture_id, substring(md5('port_scan_heuristic'), 1, 12), 'port_scan', 'Potential port scan activity detected from ' || n || ' source IP(s). ' || txt, CAST(to_json({{'scanner_count': n}}) AS VARCHAR)
   FROM {_listed("scan_rows", "src_ip || ' probed ' || len(ports) || ' distinct ports (e.g. [' || array_to_string(ports[1:8], ', ') || ']).'", "first, src_ip", 5, " ")}
   JOIN (SELECT capture_id, count(*) AS n FROM scan_rows GROUP BY 1) USING (capture_id)
 )"""
@@ -130,15 +143,29 @@ merged0 AS (
   WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.sc = q.capture_id AND r.query = q.question_id AND r.document = s.chunk_id)
 ),
 merged AS (SELECT capture_id, question_id, chunk_id, score, row_number() OVER (PARTITION BY capture_id, question_id ORDER BY rank) AS rank FROM merged0),
-full_rows AS (SELECT m.*, c.category, c.content FROM merged m JOIN chunks c USING (capture_id, chunk_id))"""
+full_rows AS (SELECT m.*, c.category, c.content, c.metadata FROM merged m JOIN chunks c USING (capture_id, chunk_id))"""
 
 
 def text_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["chunks_text"] = _with(CHUNKS, "SELECT capture_id, chunk_id, category, content FROM chunks")
+    q["chunks_text"] = _with(CHUNKS, "SELECT capture_id, chunk_id, category, content, metadata FROM chunks")
     q["chunk_counts"] = _with(CHUNKS, "SELECT capture_id, category, count(*) AS chunks FROM chunks GROUP BY 1, 2")
     q["suggested_questions"] = _with(QUESTIONS, "SELECT capture_id, question_id AS question_no, question FROM questions")
 
+    q["capture_summary"] = _with(CHUNKS, """
+      SELECT capture_id, p.total_packets, p.total_bytes, p.duration_seconds, f.total_flows, f.total_anomalies, d.dns_query_count,
+        pc.protocol_counts, t.top_talkers, ch.chunk_count
+      FROM (SELECT capture_id, count(*) AS total_packets, CAST(sum(length) AS BIGINT) AS total_bytes,
+              round((max(us) - min(us)) / 1000000.0, 6) AS duration_seconds, count(DISTINCT dns_query) AS x FROM packets GROUP BY 1) p
+      JOIN (SELECT capture_id, count(*) AS total_flows, count(*) FILTER (is_anomaly) AS total_anomalies FROM scored GROUP BY 1) f USING (capture_id)
+      JOIN (SELECT capture_id, count(DISTINCT dns_query) AS dns_query_count FROM packets GROUP BY 1) d USING (capture_id)
+      JOIN (SELECT capture_id, string_agg(protocol || '=' || CAST(n AS VARCHAR), ',' ORDER BY protocol) AS protocol_counts FROM (
+              SELECT capture_id, protocol, count(*) AS n FROM packets GROUP BY 1, 2) GROUP BY 1) pc USING (capture_id)
+      JOIN (SELECT capture_id, string_agg(ip || '/' || CAST(packets AS VARCHAR) || '/' || CAST(bytes AS VARCHAR), ',' ORDER BY r) AS top_talkers FROM (
+              SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, ip) AS r FROM (
+                SELECT capture_id, src_ip AS ip, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1) t USING (capture_id)
+      JOIN (SELECT capture_id, count(*) AS chunk_count FROM chunks GROUP BY 1) ch USING (capture_id)""")
+
     docs = tfidf_ctes("documents", "doc_id", "text", "benchmark", "item_id", "text")
     q["tfidf_terms"] = _with(docs, """
       SELECT id AS doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, round(sum(weight), 4) AS weight_sum, round(max(weight), 4) AS top_weight
@@ -152,7 +179,7 @@ def text_sql() -> dict[str, str]:
         THEN substring(content, 1, CAST(700 - before AS BIGINT)) || '…' ELSE content END, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS sources_used
       FROM cum WHERE before < 700 GROUP BY 1, 2""")
     q["source_list"] = _with(_retrieval(), """
-      SELECT capture_id, question_id, string_agg(category || '|' || substring(content, 1, 300) || '|' || printf('%.4f', round(score, 4)), chr(10) ORDER BY rank) AS sources
+      SELECT capture_id, question_id, string_agg(category || '|' || substring(content, 1, 300) || '|' || printf('%.4f', round(score, 4)) || '|' || metadata, chr(10) ORDER BY rank) AS sources
       FROM full_rows WHERE rank <= 4 GROUP BY 1, 2""")
 
     q["answer_failures"] = _with(_retrieval(), """

@@ -2,6 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from packetloom.operators.facts import collect_facts
 from packetloom.plans import analysis as AN
 from packetloom.sources.frame_fixture import frames_from_packets, write_captures
 from packetloom.sources.tables import write_packets
@@ -22,7 +23,7 @@ def test_files_to_answers(spark, make_packets, tmp_path):
     assert run.table("packets").where("inter_arrival_time is null").count() == 2
     scan = sessions["scan-0.pcap"]["capture_id"]
     assert run.table("chunks").where("category = 'port_scan'").select("capture_id").collect() == [(scan,)]
-    asked = AN.question_table(run.table("packets"), run.table("flows"))
+    asked = AN.question_table(collect_facts(run.table("packets"), run.table("flows")))
     asked = asked.unionByName(spark.createDataFrame([(scan, 99, "which source probed ports")], asked.schema))
     answers = {(r["capture_id"], r["question_id"]): r for r in AN.ask(run, asked).collect()}
     assert len(answers) == asked.count()
