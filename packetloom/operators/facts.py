@@ -8,6 +8,7 @@ suggested questions are cut from them and do not touch the tables again.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,7 @@ def merged(facts: DataFrame) -> DataFrame:
         F.max("last_seen").alias("last_seen"), F.min("first_id").alias("first_id"))
 
 
-def flow_facts(scored: DataFrame) -> DataFrame:
+def flow_facts(scored: DataFrame, kinds: list[str] = FLOW_KINDS) -> DataFrame:
     """(capture_id, kind, item, n, flagged, first_id, TCP counts): flows as a whole, by type, severity and scanned port, and the listed ones."""
     flagged = F.coalesce("is_anomaly", F.lit(False))
     tcp = F.col("protocol").isin(TCP_FAMILY)
@@ -77,11 +78,11 @@ def flow_facts(scored: DataFrame) -> DataFrame:
         F.when(syn, item(F.col("src_ip"), F.col("dst_port"))).alias("scan"),
         F.when(flagged, item(at=place)).alias("flagged"),
         F.when(half_open, item(text(F.col("src_ip"), "→", endpoint("dst_ip", "dst_port", "None")), at=place)).alias("half_open"))
-    sets = [["capture_id"], *[["capture_id", k] for k in FLOW_KINDS]]
-    grouped = rows.groupingSets(sets, "capture_id", *FLOW_KINDS).agg(
-        _kind(FLOW_KINDS, "all").alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if("_flagged").alias("flagged_n"),
+    sets = [["capture_id"], *[["capture_id", k] for k in kinds]]
+    grouped = rows.groupingSets(sets, "capture_id", *kinds).agg(
+        _kind(kinds, "all").alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if("_flagged").alias("flagged_n"),
         F.min("first_packet_id").alias("first_id"), *[F.count_if(c).alias(c) for c in _TCP_COUNTS])
-    found = F.coalesce(*FLOW_KINDS)
+    found = F.coalesce(*kinds)
     return grouped.where(found.isNotNull() | (F.col("kind") == "all")).select(
         "capture_id", "kind", found.alias("item"), "n", "flagged_n", "first_id", *_TCP_COUNTS)
 
@@ -95,9 +96,11 @@ class Facts:
         return (self.packets if kind in PACKET_KINDS else self.flows).where(F.col("kind") == kind)
 
 
-def collect_facts(packets: DataFrame, scored: DataFrame) -> Facts:
-    """Both fact tables, written; each input is read once."""
-    return Facts(materialize(packet_facts(packets), "packet-facts"), materialize(flow_facts(scored), "flow-facts"))
+def collect_facts(packets: DataFrame, scored: DataFrame, flow_kinds: list[str] = FLOW_KINDS) -> Facts:
+    """Both fact tables, written side by side; each input is read once."""
+    parts = [(packet_facts(packets), "packet-facts"), (flow_facts(scored, flow_kinds), "flow-facts")]
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return Facts(*pool.map(lambda part: materialize(*part), parts))
 
 
 def listed(rows: DataFrame, item: Column, n: int, order: list[Column], name: str) -> DataFrame:
@@ -107,14 +110,29 @@ def listed(rows: DataFrame, item: Column, n: int, order: list[Column], name: str
     return ranked.groupBy("capture_id").agg(F.transform(pairs, lambda p: p["_item"]).alias(name))
 
 
-def totals(facts: Facts) -> DataFrame:
-    """Packets, bytes, duration and the labels (largest first) of every capture, and its flows."""
-    base = facts.of("protocol").groupBy("capture_id").agg(
+def packet_totals(facts: Facts) -> DataFrame:
+    """Packets, bytes, duration and the labels (largest first) of every capture."""
+    return facts.of("protocol").groupBy("capture_id").agg(
         F.sum("n").alias("total_packets"), F.sum("bytes").alias("total_bytes"),
         seconds_between(F.min("first_seen"), F.max("last_seen")).alias("duration_seconds"),
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("key").alias("protocol"), "n"))).alias("protocols"))
+
+
+def flow_totals(facts: Facts, min_ports: int = 10) -> DataFrame:
+    """Flows and anomalies of every capture, and the number of chunks that its flows make; reads the flow facts once."""
+    whole = F.col("kind") == "all"
+    per_source = facts.flows.where(F.col("kind").isin("all", "scan")).groupBy("capture_id", "kind", F.col("item.name").alias("src_ip")).agg(
+        F.count("item.port").alias("ports"), *[F.sum(c).alias(c) for c in ("n", "flagged_n", "tcp_flow_count")])
+    some = lambda c: F.max(F.when(c, 1).otherwise(0)).cast("bigint")
+    flows = F.sum(F.when(whole, F.col("n")))
+    return per_source.groupBy("capture_id").agg(
+        flows.alias("total_flows"), F.sum(F.when(whole, F.col("flagged_n"))).alias("total_anomalies"),
+        (flows + some(whole & (F.col("flagged_n") > 0)) + some(whole & (F.col("tcp_flow_count") > 0)) + some(~whole & (F.col("ports") >= min_ports))).alias("flow_chunks"))
+
+
+def totals(facts: Facts) -> DataFrame:
     flows = facts.of("all").select("capture_id", F.col("n").alias("total_flows"), F.col("flagged_n").alias("total_anomalies"))
-    return base.join(flows, "capture_id", "left").fillna(0, ["total_flows", "total_anomalies"])
+    return packet_totals(facts).join(flows, "capture_id", "left").fillna(0, ["total_flows", "total_anomalies"])
 
 
 def talkers(facts: Facts, n: int) -> DataFrame:
@@ -126,6 +144,8 @@ def talkers(facts: Facts, n: int) -> DataFrame:
 def names(facts: Facts, shown: int) -> DataFrame:
     """Number of DNS names and the first of them in order of appearance."""
     counts = facts.of("dns").groupBy("capture_id").agg(F.count(F.lit(1)).alias("query_count"), F.sum("n").alias("packets_with_query"))
+    if not shown:
+        return counts
     return counts.join(listed(facts.of("dns"), F.col("key"), shown, [F.col("first_id"), F.col("key")], "queries"), "capture_id")
 
 
@@ -143,25 +163,22 @@ def scanners(facts: Facts, min_ports: int) -> DataFrame:
         F.min("first_id").alias("first_packet_id")).where(F.col("port_count") >= min_ports)
 
 
-def chunk_number(facts: Facts, min_ports: int = 10) -> DataFrame:
-    """How many text chunks every capture has, without building them: one per flow and one per family that has something to say."""
-    one = lambda c: F.max(F.when(c, 1).otherwise(0)).cast("bigint")
-    kind = F.col("kind")
-    p = facts.packets.groupBy("capture_id").agg((F.lit(1) + one(kind == "talker") + one(kind == "dns") + one(kind == "host")).alias("a"))
-    f = facts.flows.groupBy("capture_id").agg(
-        (F.sum(F.when(kind == "all", F.col("n"))) + one(F.col("flagged_n") > 0) + one(F.col("tcp_flow_count") > 0)).alias("b"))
-    s = scanners(facts, min_ports).select("capture_id", F.lit(1).cast("bigint").alias("c")).distinct()
-    return p.join(f, "capture_id", "left").join(s, "capture_id", "left").fillna(0).select("capture_id", (F.col("a") + F.col("b") + F.col("c")).alias("chunk_count"))
+def packet_chunks(facts: Facts) -> DataFrame:
+    """Number of chunks that a capture's packets make: the summary and every family that has something to say."""
+    some = lambda k: F.max(F.when(F.col("kind") == k, 1).otherwise(0)).cast("bigint")
+    return facts.packets.groupBy("capture_id").agg((F.lit(1) + some("talker") + some("dns") + some("host")).alias("packet_chunks"))
 
 
 def capture_summary(facts: Facts, min_ports: int = 10) -> DataFrame:
-    """One row per capture."""
+    """One row per capture; ``chunk_count`` is known without building the chunks."""
     label = lambda p: F.struct(p["protocol"].alias("protocol"), p["n"].alias("n"))
     by_label = F.map_from_entries(F.sort_array(F.transform("protocols", label)))
     return (
-        totals(facts).withColumn("protocol_counts", by_label).drop("protocols")
-        .join(names(facts, 1).select("capture_id", F.col("query_count").alias("dns_query_count")), "capture_id", "left")
+        packet_totals(facts).withColumn("protocol_counts", by_label).drop("protocols")
+        .join(packet_chunks(facts), "capture_id")
+        .join(flow_totals(facts, min_ports), "capture_id", "left")
+        .join(names(facts, 0).select("capture_id", F.col("query_count").alias("dns_query_count")), "capture_id", "left")
         .join(talkers(facts, 5).withColumnRenamed("talkers", "top_talkers"), "capture_id", "left")
-        .join(chunk_number(facts, min_ports), "capture_id", "left")
-        .fillna(0, ["dns_query_count", "chunk_count"])
+        .fillna(0, ["dns_query_count", "total_flows", "total_anomalies", "flow_chunks"])
+        .withColumn("chunk_count", F.col("packet_chunks") + F.col("flow_chunks")).drop("packet_chunks", "flow_chunks")
     )

@@ -271,7 +271,8 @@ def anomaly_counts(spark, folder):
 @query
 def capture_summary(spark, folder):
     talker = lambda t: F.concat_ws("/", t["ip"], t["packets"].cast("string"), t["bytes"].cast("string"))
-    facts = FA.collect_facts(packets(spark, folder), scored(spark, folder))
+    # The flow facts are read once, so they need not be written.
+    facts = FA.Facts(materialize(FA.packet_facts(packets(spark, folder)), "packet-facts"), FA.flow_facts(scored(spark, folder), ["scan"]))
     return (
         FA.capture_summary(facts, min_ports=2)
         .withColumn("protocol_counts", map_text("protocol_counts"))
@@ -497,7 +498,7 @@ def chunk_counts(spark, folder):
 
 @query
 def suggested_questions(spark, folder):
-    facts = FA.collect_facts(packets(spark, folder), scored(spark, folder))
+    facts = FA.collect_facts(packets(spark, folder), scored(spark, folder), ["type"])
     return AN.question_table(facts).withColumnRenamed("question_id", "question_no")
 
 

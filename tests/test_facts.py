@@ -38,7 +38,7 @@ def test_chunk_number_is_that_of_the_chunks(spark, make_packets, make_flows):
     facts = FA.collect_facts(packets, flows)
     for ports in (2, 10, 20):
         want = {r["capture_id"]: r["chunks"] for r in C.chunk_counts(C.build_chunks(packets, flows, ports, facts)).groupBy("capture_id").agg(F.sum("chunks").alias("chunks")).collect()}
-        got = {r["capture_id"]: r["chunk_count"] for r in FA.chunk_number(facts, ports).collect()}
+        got = {r["capture_id"]: r["chunk_count"] for r in FA.capture_summary(facts, ports).collect()}
         assert got == want and set(got) == set("abcd")
 
 
