@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.packet import has_flag, is_teardown
 from packetloom.functions.values import seconds_between
-from packetloom.operators.segments import gap_segments
+from packetloom.operators.segments import ROWS_PER_TASK, gap_segments
 from packetloom.schemas import FLOW_COLUMNS
 
 FLOW_TIMEOUT_SECONDS = 120
@@ -108,7 +108,7 @@ def capture_flows(packets: DataFrame, slice_rows: int = 1_000_000) -> DataFrame:
 
 
 def live_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
-               slice_seconds: int = 60) -> DataFrame:
+               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Event-time flows: FIN/RST or an idle gap beyond the timeout ends one, the next packet opens another.
 
     Batch twin of the streaming job; flows that nothing has closed yet are ``is_active``.
@@ -121,7 +121,7 @@ def live_flows(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS,
     # Two local segments can share their first microsecond; the packet id then decides.
     merge = {**_merged_counts(), "_head": F.min_by("_head", F.struct("first_us", F.col("_head.first_packet_id")))}
     segments = gap_segments(rows, keys, "_us", "packet_id", timeout_seconds * 1_000_000,
-                            partial, merge, closes=is_teardown(), slice_us=slice_seconds * 1_000_000)
+                            partial, merge, closes=is_teardown(), rows_per_task=rows_per_task)
     timed = segments.select(
         "*", "_head.*", F.timestamp_micros("first_us").alias("start_time"),
         F.timestamp_micros("last_us").alias("end_time"),

@@ -306,7 +306,9 @@ def flows_page(spark, folder):
 @query
 def flow_lookup(spark, folder):
     # The flow key is a filter on the packets already, so one flow is aggregated, not all of them.
-    return live_flows(spark, folder).where(F.col("flow_id") == F.md5(F.lit("10.0.0.9:40008|192.168.0.1:8080|HTTP").cast("binary")))
+    wanted = F.col("flow_id") == F.md5(F.lit("10.0.0.9:40008|192.168.0.1:8080|HTTP").cast("binary"))
+    now = packets(spark, folder).agg(F.unix_micros(F.max("timestamp"))).scalar()
+    return FL.close_at(FL.live_flows(packets(spark, folder).where(wanted)), now)
 
 
 @query

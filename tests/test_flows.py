@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import flows as FL
 from packetloom.operators import stats as S
-from packetloom.operators.segments import session_gaps
+from packetloom.operators.segments import pieces, session_gaps
 from tests.conftest import T0
 
 SECOND = 1_000_000
@@ -79,11 +79,11 @@ def expected_segments(rows, gap=120 * SECOND):
     return sorted((s["first"], s["n"], s["bytes"], s["start"], s["last"], s["closed"]) for s in done)
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 30, 10_000_000])
-def test_segments_equal_a_plain_loop(make_packets, slice_seconds):
-    rows = random_packets(slice_seconds)
+@pytest.mark.parametrize("rows_per_task", [1, 7, 60, 10_000_000])
+def test_segments_equal_a_plain_loop(make_packets, rows_per_task):
+    rows = random_packets(rows_per_task)
     shuffled = make_packets(rows).orderBy(F.rand(7)).repartition(5)
-    got = FL.live_flows(shuffled, slice_seconds=slice_seconds).select(
+    got = FL.live_flows(shuffled, rows_per_task=rows_per_task).select(
         "first_packet_id", "packet_count", "byte_count", F.col("first_us") - T0, F.col("last_us") - T0, "closed").collect()
     assert sorted(tuple(r) for r in got) == expected_segments(rows)
 
@@ -98,12 +98,30 @@ def test_capture_flows_do_not_depend_on_slices_or_order(make_packets):
 def test_sessions(spark):
     rows = [("a", 1, 0), ("a", 2, 3600), ("a", 3, 7201), ("b", 4, 10)]
     df = spark.createDataFrame([(u, i, s * SECOND) for u, i, s in rows], "user_id string, event_id bigint, us bigint")
-    for width in (60, 3600, 10**6):
+    for rows_per_task in (1, 2, 10**6):
         got = sorted((r["user_id"], r["first_us"] // SECOND, r["last_us"] // SECOND, r["events"])
-                     for r in session_gaps(df, "user_id", "us", "event_id", slice_seconds=width).collect())
+                     for r in session_gaps(df, "user_id", "us", "event_id", rows_per_task=rows_per_task).collect())
         assert got == [("a", 0, 3600, 2), ("a", 7201, 7201, 1), ("b", 10, 10, 1)]
 
 
+def test_a_hot_key_is_cut_into_bounded_pieces(spark):
+    """One key (once a null one) with 90 % of the rows, most of them within one second."""
+    rng = random.Random(4)
+    times = [rng.randrange(SECOND) if i % 10 else rng.randrange(10**5) * SECOND for i in range(20_000)]
+    for hot in ("hot", None):
+        rows = [(hot if i % 10 < 9 else f"k{i % 90}", i, t) for i, t in enumerate(times)]
+        df = spark.createDataFrame(rows, "user_id string, event_id bigint, us bigint").repartition(6)
+        cut = pieces(df, ["user_id"], "us", 1000)
+        sizes = cut.groupBy("user_id", "_piece").count().collect()
+        assert sum(r["count"] for r in sizes) == 20_000 and max(r["count"] for r in sizes) <= 1000
+        assert sum(r["user_id"] == hot for r in sizes) >= 18
+        order = cut.where(F.col("user_id").eqNullSafe(hot)).groupBy("_piece").agg(F.min("us"), F.max("us")).orderBy("_piece").collect()
+        assert all(a[2] < b[1] for a, b in zip(order, order[1:]))
+        whole, small = (sorted(map(tuple, session_gaps(df, "user_id", "us", "event_id", 60, n).collect()), key=str) for n in (10**9, 1000))
+        assert whole == small and len(whole) > 500
+    assert pieces(df, ["user_id"], "us", 10**6) is None
+
+
 @pytest.mark.parametrize("ports,found", [(9, 0), (10, 1), (12, 1)])
 def test_port_scan_border(make_flows, ports, found):
     flows = make_flows([{"dst_port": i + 1} for i in range(ports)] + [{"dst_port": 500, "tcp_syn_count": 0}]
