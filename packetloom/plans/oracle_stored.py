@@ -59,4 +59,8 @@ def stored_sql() -> dict[str, str]:
     q["late_rows_stream"] = _with(arrived(75), """
       SELECT packet_id, protocol, step AS batch, CASE WHEN us <= mark THEN mark - us END AS delay_us FROM (
         SELECT a.*, (SELECT max(us) - 30000000 FROM arrived b WHERE b.step < a.step) AS mark FROM arrived a)""")
+    q["distinct_sketches"] = _with(PACKETS, """
+      SELECT capture_id, count(DISTINCT dns_query) AS dns_names, count(DISTINCT http_host) AS http_hosts, count(DISTINCT src_ip) AS sources,
+        count(DISTINCT flow_id) AS flows, true AS dns_names_within, true AS http_hosts_within, true AS sources_within, true AS flows_within
+      FROM packets WHERE us >= 1704067200000000 + 60000000 AND us < 1704067200000000 + 180000000 GROUP BY 1""")
     return q

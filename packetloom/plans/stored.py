@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators import explain as E
+from packetloom.operators import sketches as SK
 from packetloom.plans.catalog import anomaly_table, at_second, capture_flows, packets, query, scored
 from packetloom.runtime import make_folder, materialize, scratch_path
 from packetloom.sources import layouts as L
@@ -291,3 +292,16 @@ def late_rows_stream(spark, folder):
     none = F.lit(None).cast("bigint").alias("delay_us")
     return LT.accepted(spark, path, columns).select("packet_id", "protocol", "batch", none).unionByName(
         LT.late(spark, path, columns).select("packet_id", "protocol", "batch", "delay_us"))
+
+
+# ---- distinct counts from stored sketches
+
+@query
+def distinct_sketches(spark, folder):
+    """Exact distinct counts of two minutes, and whether the estimates from stored sketches keep their bound."""
+    p = packets(spark, folder)
+    start, end = at_second(60), at_second(180)
+    sketches = materialize(SK.period_sketches(p, UNIT), "sketches")
+    estimates = SK.distinct_between(sketches, start, end).select("capture_id", *[F.col(n).alias(f"_{n}") for n in SK.COLUMNS])
+    both = SK.exact_between(p, start, end).join(estimates, "capture_id")
+    return both.select("capture_id", *SK.COLUMNS, *[SK.within_bound(F.col(f"_{n}"), F.col(n)).alias(f"{n}_within") for n in SK.COLUMNS])
