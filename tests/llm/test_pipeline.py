@@ -42,10 +42,11 @@ def brute_mix(rows):
         target = 2 * per[s] if s in full else level * weight[s]
         whole = math.floor(target / per[s]) if per[s] else 0
         left, total = target - whole * per[s], 0
-        own = sorted((int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16), i) for i, _, source in rows if source == s)
+        u = {i: (int(hashlib.md5(f"{mixing.SEED}:{i}:{hashlib.md5(t.encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, t, _ in rows}
+        own = sorted((u[i] / (1 - u[i]) / size[i] if size[i] else math.inf, i) for i, _, source in rows if source == s)
         for _, i in own:
             total += size[i]
-            times[i] = whole + (target / per[s] > whole and total - size[i] / 2 <= left)
+            times[i] = whole + (target / per[s] > whole and size[i] > 0 and total - size[i] / 2 <= left)
     return times
 
 

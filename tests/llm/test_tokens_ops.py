@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -148,6 +149,35 @@ def test_mixing(odd, odd_rows, nothing):
     assert mixing.mixed_rows(nothing).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few"])
+def test_mixing_draws_every_row_by_itself(spark, ids):
+    """Two sources of which one is a thousand rows alike, with no id, with one, or with ids that several texts share."""
+    text = {"null": lambda i: "a b c", "one": lambda i: "a b c", "few": lambda i: f"a b w{i % 300}"}[ids]
+    rows = [({"null": None, "one": 7, "few": i % 5}[ids], text(i), s, i) for s in ("x", "y") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n long").repartition(7)
+    sizes, cuts = mixing.plan_mix(df)
+    plan = {r["source"]: r for r in cuts.collect()}
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns
+    got = mixed.groupBy("source").count().collect()
+    for r in got:
+        assert abs(3 * r["count"] - plan[r["source"]]["target"]) <= 3
+    assert {r["source"] for r in got} == {"x", "y"}
+    assert mixed.groupBy("source", "_n").count().agg(F.max("count")).first()[0] <= 2  # rows that only differ elsewhere stay apart
+    draws = lambda frame: sorted(map(tuple, mixing.plan_mix(frame)[0].select("source", "rank").collect()))
+    assert draws(df) == draws(df.repartition(3)) and sizes.select("source", "rank").distinct().count() == 2000
+
+
+def test_large_documents_have_better_odds(spark):
+    rows = [(i, "w " * (20 if i % 2 else 2), "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, cuts = mixing.plan_mix(df, share=0.5)
+    cut = cuts.first()["cut"]
+    taken = {r["size"]: r["n"] for r in sizes.where(F.col("rank") <= cut).groupBy("size").agg(F.count("*").alias("n")).collect()}
+    words = sum(n * size for size, n in taken.items())
+    assert taken[20] > 1.3 * taken[2] and abs(words - 11_000) <= 20  # half of 22,000
+
+
 def test_search(spark, odd, odd_rows, nothing):
     docs = odd.select("doc_id", "text")
     queries = docs.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text")
