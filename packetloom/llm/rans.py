@@ -5,9 +5,10 @@ in a block ``LANES`` coder states take turns over one stream of 32-bit words (in
 the states and the place in the stream are noted (checkpoints), so that a reader starts at any of them: blocks and
 segments decode in parallel, here as rows of one array operation. Each block carries the crc32 of its ids.
 
-A token file is a Parquet table in the shared folder, in ascending doc_id order by (part, chunk): a chunk holds the
-blocks of about ``CHUNK_TOKENS`` ids with the ids and lengths of its documents. Writing through Spark's own writer
-keeps half-written files of lost executors out.
+A token file is a folder: ``chunks``, a Parquet table in ascending doc_id order by (part, chunk), each row with the blocks of
+about ``CHUNK_TOKENS`` ids and the ids and lengths of its documents, and ``frequencies``, one row with the shared table, the format it
+was written in and its own crc32. The path alone is enough to read it, in any session. Writing through Spark's own writer
+keeps half-written files of lost executors out; the frequencies are written last, so a folder without them is not complete.
 
 Nulls and odd rows: a null or empty text is the end id alone; a null doc_id comes first in order; repeated rows are
 written one after another; an empty table gives an empty file. Only ``doc_id`` and ``text`` are read.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm import tokens
-from packetloom.llm.common import table, written
+from packetloom.llm.common import shared_path, table, written
 
 VOCABULARY = 49_408
 SCALE_BITS = 20
@@ -43,10 +44,21 @@ IDS = "part int, chunk int, doc_ids array<long>, lengths array<long>, ids binary
 CHUNKS = "part int, chunk int, doc_ids array<long>, lengths array<long>, n_tokens long, blocks array<binary>"
 
 
+FORMAT = [1, SCALE_BITS, LANES, STEPS, SEGMENT]
+TABLE = "format array<int>, scaled binary, crc32 long"
+
+
 class Frequencies:
-    """Counts scaled to a sum of 2^SCALE_BITS, at least 1 for every id that occurs."""
+    """Shares of 2^SCALE_BITS, at least 1 for every id that occurs."""
+
+    def __init__(self, scaled: np.ndarray):
+        self.freq = scaled.astype(np.uint64)
+        self.start = (np.cumsum(scaled) - scaled).astype(np.uint64)
+        self.symbol = np.repeat(np.arange(len(scaled), dtype=np.uint16), scaled)
 
-    def __init__(self, counts: np.ndarray):
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Frequencies:
+        """Counts scaled to the sum."""
         total, room = int(counts.sum()), 1 << SCALE_BITS
         if not total:
             counts, total = np.bincount([0], minlength=len(counts)), 1
@@ -60,9 +72,19 @@ class Frequencies:
             scaled[i] += step
             off -= step
             at += 1
-        self.freq = scaled.astype(np.uint64)
-        self.start = (np.cumsum(scaled) - scaled).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(scaled), dtype=np.uint16), scaled)
+        return cls(scaled)
+
+    def row(self) -> tuple:
+        scaled = self.freq.astype("<u4").tobytes()
+        return FORMAT, bytearray(scaled), zlib.crc32(scaled)
+
+    @classmethod
+    def from_row(cls, format_: list[int], scaled: bytes, crc32: int) -> Frequencies:
+        if list(format_) != FORMAT:
+            raise ValueError(f"written in format {list(format_)}, this reads {FORMAT}")
+        if zlib.crc32(scaled) != crc32:
+            raise ValueError("checksum of the frequency table differs")
+        return cls(np.frombuffer(scaled, "<u4").astype(np.int64))
 
 
 def encode(ids: np.ndarray, table: Frequencies) -> list[bytes]:
@@ -188,10 +210,11 @@ def _coded(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]
                 names=["part", "chunk", "doc_ids", "lengths", "n_tokens", "blocks"])
 
 
-def write_token_file(docs: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, Frequencies]:
-    """(chunks of the written file, the frequency table that goes with it)."""
+def write_token_file(docs: DataFrame, file: str | None = None, tokenizer: str | None = None) -> str:
+    """Write the token file ``file`` (by default a new one in the shared folder); returns its path."""
     spark = docs.sparkSession
     path = tokenizer or tokens.tokenizer_path()
+    file = (file or shared_path(spark, "token-file")).rstrip("/")
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(F.col("doc_id"), F.xxhash64("text"))
@@ -202,9 +225,11 @@ def write_token_file(docs: DataFrame, tokenizer: str | None = None) -> tuple[Dat
     counts = np.zeros(VOCABULARY, np.int64)
     for row in ids.select("ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
-    frequencies = Frequencies(counts)
+    frequencies = Frequencies.of(counts)
     shared = spark.sparkContext.broadcast(frequencies)
-    return written(ids.mapInArrow(lambda b: _coded(b, shared), CHUNKS), "token-file", "uncompressed"), frequencies
+    ids.mapInArrow(lambda b: _coded(b, shared), CHUNKS).write.option("compression", "uncompressed").parquet(f"{file}/chunks")
+    spark.createDataFrame([frequencies.row()], TABLE).coalesce(1).write.parquet(f"{file}/frequencies")
+    return file
 
 
 def _read(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
@@ -220,9 +245,10 @@ def _read(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "start", "n_tokens", "ids"])
 
 
-def read_token_file(chunks: DataFrame, frequencies: Frequencies) -> DataFrame:
+def read_token_file(spark: SparkSession, file: str) -> DataFrame:
     """Per document its ids (little-endian unsigned 32-bit) and how many ids stand before it in the file."""
-    shared = chunks.sparkSession.sparkContext.broadcast(frequencies)
+    chunks = spark.read.schema(CHUNKS).parquet(f"{file}/chunks")
+    shared = spark.sparkContext.broadcast(Frequencies.from_row(*spark.read.schema(TABLE).parquet(f"{file}/frequencies").first()))
     inside = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     parts = chunks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before_part = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_part_start"))
@@ -235,5 +261,5 @@ def read_token_file(chunks: DataFrame, frequencies: Frequencies) -> DataFrame:
 
 
 def op5_rans_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, frequencies = write_token_file(table(spark, sf_dir, "documents"))
-    return read_token_file(chunks, frequencies).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    file = write_token_file(table(spark, sf_dir, "documents"))
+    return read_token_file(spark, file).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

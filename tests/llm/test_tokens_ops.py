@@ -2,11 +2,15 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -36,7 +40,7 @@ def test_word_table_equals_library(plain, odd_rows):
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % 5000).astype(np.uint16)
-    frequencies = rans.Frequencies(np.bincount(ids, minlength=rans.VOCABULARY))
+    frequencies = rans.Frequencies.of(np.bincount(ids, minlength=rans.VOCABULARY))
     assert int(frequencies.freq.sum()) == 1 << rans.SCALE_BITS
     blocks = rans.encode(ids, frequencies)
     assert np.array_equal(rans.decode(blocks, frequencies), ids)
@@ -52,8 +56,8 @@ def by_doc(rows, plain):
     return sorted(((-1 if r[0] is None else r[0]), plain(r[1])) for r in rows)
 
 
-def test_token_file(odd, odd_rows, nothing, plain):
-    got = rans.read_token_file(*rans.write_token_file(odd)).collect()
+def test_token_file(spark, odd, odd_rows, nothing, plain):
+    got = rans.read_token_file(spark, rans.write_token_file(odd)).collect()
     got.sort(key=lambda r: r["start"])
     assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-1 if r[0] is None else r[0] for r in odd_rows)
     assert sorted(((-1 if r["doc_id"] is None else r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == by_doc(odd_rows, plain)
@@ -61,7 +65,36 @@ def test_token_file(odd, odd_rows, nothing, plain):
     for r in got:
         assert r["start"] == place and len(r["ids"]) == 4 * r["n_tokens"]
         place += r["n_tokens"]
-    assert rans.read_token_file(*rans.write_token_file(nothing)).count() == 0
+    assert rans.read_token_file(spark, rans.write_token_file(nothing)).count() == 0
+
+
+def test_token_file_is_read_by_another_session(spark, odd, odd_rows, plain, tmp_path):
+    """Nothing but the path goes over: a new Python process with a session of its own decodes the file."""
+    file = rans.write_token_file(odd, str(tmp_path / "file"))
+    script = """
+import sys
+from packetloom.llm import rans
+from packetloom.session import build_session
+spark = build_session("reader", "local[2]", spark__ui__enabled="false", spark__sql__warehouse__dir=sys.argv[2])
+spark.sparkContext.setLogLevel("OFF")
+for r in rans.read_token_file(spark, sys.argv[1]).collect():
+    print("row", r["doc_id"], r["n_tokens"], r["ids"].hex())
+"""
+    done = subprocess.run([sys.executable, "-c", script, file, str(tmp_path / "warehouse")], capture_output=True, text=True, check=True, timeout=300,
+                          env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])})
+    got = [x.split() for x in done.stdout.splitlines() if x.startswith("row ")]
+    assert sorted(((-1 if x[1] == "None" else int(x[1])), np.frombuffer(bytes.fromhex(x[3]), "<u4").tolist()) for x in got) == by_doc(odd_rows, plain)
+
+
+def test_damaged_frequency_table_is_noticed():
+    kept = rans.Frequencies.of(np.arange(rans.VOCABULARY))
+    format_, scaled, crc = kept.row()
+    assert np.array_equal(rans.Frequencies.from_row(format_, bytes(scaled), crc).freq, kept.freq)
+    scaled[5] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        rans.Frequencies.from_row(format_, bytes(scaled), crc)
+    with pytest.raises(ValueError, match="format"):
+        rans.Frequencies.from_row([2, *format_[1:]], bytes(scaled), crc)
 
 
 def check_packing(pieces, want):
@@ -319,13 +352,27 @@ def test_chat(spark):
     nodes = [r for r in out.collect() if r["text"] is not None]
     for r in nodes:
         spans = r["attends"]
-        assert spans[-1]["start"] == r["start"] and spans[-1]["stop"] == r["start"] + r["length"] == r["start"] + len(r["text"])
-        assert sum(s["stop"] - s["start"] for s in spans[:-1]) == r["position"] and len(spans) == r["depth"] + 1
+        assert spans[-1]["start"] <= r["start"] and spans[-1]["stop"] == r["start"] + r["length"] == r["start"] + len(r["text"])
+        assert sum(s["stop"] - s["start"] for s in spans) == r["position"] + r["length"] and len(spans) <= r["depth"] + 1
+        assert all(a["stop"] < b["start"] for a, b in zip(spans, spans[1:]))  # neighbours are merged
+    # The intervals are exactly the turns on the way from the root, replayed from the depths in stream order.
+    for shard in {r["shard"] for r in nodes}:
+        path = []
+        for r in sorted((r for r in nodes if r["shard"] == shard), key=lambda r: r["seq"]):
+            del path[r["depth"]:]
+            path.append((r["start"], r["start"] + r["length"]))
+            assert {c for s in r["attends"] for c in range(s["start"], s["stop"])} == {c for a, b in path for c in range(a, b)}
     by_shard = Counter((r["shard"], r["text"]) for r in nodes if r["depth"] == 0)
     assert max(by_shard.values()) == 1
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_a_long_conversation_has_few_intervals(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t}" if c == 1 or t < 3000 else f"other {t}") for c in (1, 2) for t in range(4000)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert sum(len(r["attends"]) for r in out) <= 2 * len(out) and max(len(r["attends"]) for r in out) <= 2 and len(out) >= 5002
+
+
 def test_pipeline(spark, odd, nothing, plain):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
