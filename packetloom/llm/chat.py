@@ -8,8 +8,8 @@ Conversations with the same first turns share them: sorted by the hashes of thei
 from the one before it in what follows their common turns, and only that is emitted. This is the depth-first order of
 the prefix tree. An emitted turn (a node row) has its place in the stream of its shard, the position id of its first
 character (as if its ancestors stood directly before it), the intervals of the stream it may attend to (its ancestors
-and itself) and the span that the loss covers (the text of assistant turns). A conversation row then follows with the
-intervals of its whole path. Units are code points.
+and itself; those that stand next to each other are one interval, so a path has as many as it has forks, not turns) and the span that the
+loss covers (the text of assistant turns). A conversation row then follows with the intervals of its whole path. Units are code points.
 
 A shard is a range of the sorted conversations, cut by Spark, so a first turn that a third of all conversations share is
 spread over many shards; each shard emits the turns that are open at its start once more. Equal turns are compared
@@ -109,7 +109,7 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     shard, seq, place = task.partitionId() if task else 0, 0, 0
     turns: list[tuple[str, str]] = []  # the open path
-    spans: list[dict[str, int]] = []
+    spans: list[list[dict[str, int]]] = []  # per open turn the intervals of its path
     position = [0]
     out: list[tuple] = []
 
@@ -129,13 +129,17 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, text in own[shared:]:
                 formatted, loss_start, loss_stop = format_turn(role, text)
                 n = len(formatted)
-                spans.append({"start": place, "stop": place + n})
-                out.append((shard, seq, None, len(turns), place, n, position[-1], list(spans), loss_start, loss_stop, formatted))
+                above = spans[-1] if spans else []
+                if above and above[-1]["stop"] == place:
+                    spans.append([*above[:-1], {"start": above[-1]["start"], "stop": place + n}])
+                else:
+                    spans.append([*above, {"start": place, "stop": place + n}])
+                out.append((shard, seq, None, len(turns), place, n, position[-1], spans[-1], loss_start, loss_stop, formatted))
                 turns.append((role, text))
                 position.append(position[-1] + n)
                 place += n
                 seq += 1
-            out.append((shard, seq, conv_id, len(turns), None, position[-1], None, list(spans), None, None, None))
+            out.append((shard, seq, conv_id, len(turns), None, position[-1], None, spans[-1] if spans else [], None, None, None))
             seq += 1
             if len(out) >= 2000:
                 yield flush()
