@@ -11,7 +11,7 @@ total cost. Blocks whose own score outweighs all their edges are settled beforeh
 Pages are independent, so they are worked where they are read; a task holds one Arrow batch of them.
 
 Nulls and odd rows: a null or empty page gives an empty text; a page cut off anywhere, or with unclosed or crossed
-elements, is read as far as it goes (only script, style, textarea and title reach to the page's end where they are not
+elements, is read as far as it goes and in time that grows with its length (only script, style, textarea and title reach to the page's end where they are not
 closed, as in a browser); repeated rows give repeated results; a null page_id or url is passed on; an empty
 table gives none. Only ``page_id``, ``url`` and ``html`` are read.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +37,8 @@ WEIGHTS = {
 }
 SMOOTHNESS = 80
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)""", re.S)
+# Possessive, so that a tag without an end is given up at once and not retried at every length.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<[!?/][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*+)[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HINT = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -133,8 +134,8 @@ def _hint(tag: str, attributes: str, kind: int) -> int:
 
 def _ends(page: str, tag: str) -> dict[int, int]:
     """Start of each opening tag of ``tag`` that is closed -> end of its closing tag; a closing tag belongs to the nearest open one."""
-    attributes = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
-    pattern = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]){attributes}>.*?</\1\s*>|<(/?){re.escape(tag)}(?=[\s/>])({attributes})>", re.S | re.I)
+    attributes = r"""(?:"[^"]*+"|'[^']*+'|[^'">])*+"""
+    pattern = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]){attributes}>.*?(?:</\1\s*>|\Z)|<(/?){re.escape(tag)}(?=[\s/>])({attributes})>", re.S | re.I)
     found, waiting = {}, []
     for m in pattern.finditer(page):
         if m[2] is None:
@@ -153,6 +154,7 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
     stack = [("", 0, NEUTRAL)]  # (tag, number, kind)
+    standing: Counter[str] = Counter()  # how often each tag is on the stack
     made, linked, parts, size = 0, 0, [], [0, 0]
     ends: dict[str, dict[int, int]] = {}
 
@@ -175,8 +177,11 @@ def blocks_of(page: str) -> list[Block]:
             size[0] = size[1] = 0
 
     def close(tag: str, within: tuple = ()) -> None:
+        if not standing[tag]:  # without this, closing tags of nothing would search a deep stack each
+            return
         for at in range(len(stack) - 1, 0, -1):
             if stack[at][0] == tag:
+                standing.subtract(s[0] for s in stack[at:])
                 del stack[at:]
                 return
             if stack[at][0] in within:
@@ -200,7 +205,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 linked = max(0, linked - 1)
-            elif tag not in _INLINE or any(s[0] == tag for s in stack):
+            elif tag not in _INLINE or standing[tag]:
                 flush()
                 close(tag)
             continue
@@ -233,7 +238,9 @@ def blocks_of(page: str) -> list[Block]:
             close(tag, _CLOSED_BY_SAME[tag])
         if stack[-1][0] == "p" and tag not in _INLINE:
             stack.pop()
+            standing["p"] -= 1
         made += 1
+        standing[tag] += 1
         stack.append((tag, made, _hint(tag, attributes, stack[-1][2])))
     flush()
     return out
