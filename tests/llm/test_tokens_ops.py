@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -367,6 +368,21 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<b", "<div>a</p>", '<a "', "<svg><script>", "<li>a", "<ul><li>", "<div>a</b>", "<!--", "<table><tr><td>x", "&amp"])
+def test_a_megabyte_of_bad_markup_takes_seconds(piece):
+    page = "<article><p>Some words that stand here before the trouble begins, quite a few of them.</p></article>" + piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    assert "Some words that stand here" in extraction.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
+def test_a_repeated_query_row_asks_once(spark):
+    docs = spark.createDataFrame([(20, "a b c"), (2, "a a b x"), (3, "c x y z"), (4, "x y")], "doc_id long, text string")
+    queries = docs.where("doc_id = 20").selectExpr("doc_id AS query_id", "text")
+    once = sorted(map(tuple, search.top_k(docs, queries).collect()))
+    assert once and once == sorted(map(tuple, search.top_k(docs, queries.unionByName(queries)).collect()))
+
+
 def test_a_long_conversation_has_few_intervals(spark):
     rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t}" if c == 1 or t < 3000 else f"other {t}") for c in (1, 2) for t in range(4000)]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
