@@ -37,6 +37,7 @@ STEPS = 1024
 SEGMENT = 256
 BLOCK = LANES * STEPS
 CHUNK_TOKENS = 32 * BLOCK
+MEMO = 300_000
 MAGIC = b"RANS"
 HEAD = "<4sIII"  # magic, ids, words, crc32 of the ids
 
@@ -163,7 +164,7 @@ def decode(blocks: list[bytes], table: Frequencies) -> np.ndarray:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode_text = tokens.encoder(path)
+    encode_text = tokens.encoder(path, MEMO)
     task = TaskContext.get()
     part, chunk = task.partitionId() if task else 0, 0
     doc_ids, lengths, ids, waiting = [], [], [], 0
