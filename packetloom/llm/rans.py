@@ -164,7 +164,7 @@ def decode(blocks: list[bytes], table: Frequencies) -> np.ndarray:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode_text = tokens.encoder(path, MEMO)
+    encode_texts = tokens.batch_encoder(path, MEMO)
     task = TaskContext.get()
     part, chunk = task.partitionId() if task else 0, 0
     doc_ids, lengths, ids, waiting = [], [], [], 0
@@ -180,8 +180,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
             ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())]))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = tokens.with_end(encode_text(text.as_py()))
+        for doc_id, found in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist())):
+            own = tokens.with_end(found)
             doc_ids.append(doc_id)
             lengths.append(len(own))
             ids.append(own)

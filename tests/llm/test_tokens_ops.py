@@ -57,6 +57,13 @@ def by_doc(rows, plain):
     return sorted(((-1 if r[0] is None else r[0]), plain(r[1])) for r in rows)
 
 
+@pytest.mark.parametrize("chars", [1, 300, 10**7])
+def test_batches_of_texts_have_the_library_s_ids(odd_rows, plain, chars):
+    texts = [r[1] for r in odd_rows] + ["a\x1cb", "<|x|> b", "\u0130stanbul", "ab  c\n", "   ", "don\u2019t stop", "x\u00a0y", "tab\tand\x0bvt"] * 2
+    got = list(tokens.batch_encoder(tokens.tokenizer_path(), 50, chars)(texts))
+    assert [g.tolist() for g in got] == [plain(t)[:-1] for t in texts]
+
+
 def test_token_file(spark, odd, odd_rows, nothing, plain):
     got = rans.read_token_file(spark, rans.write_token_file(odd)).collect()
     got.sort(key=lambda r: r["start"])
