@@ -9,11 +9,13 @@ of all documents) and returns to its document to be normalised. Ranking keeps on
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.words import english_stop_words
-from packetloom.runtime import fits, materialize, salted_join
+from packetloom.runtime import broadcast_if_small, fits, materialize, salted_join
 
 TOP_K = 6
 MAX_QUERY_TERMS = 500_000
@@ -74,8 +76,44 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str, stop_words: list[st
     return weighted.select(*scope, doc_id, "term", *kept, (F.col("_raw") / norm).alias("weight")), idf
 
 
+def _idf(df: Column, n_docs: int) -> Column:
+    return F.log((1.0 + F.lit(n_docs)) / (1.0 + df)) + 1.0
+
+
+def _raw(df: Column, n_docs: int) -> Column:
+    return (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * _idf(df, n_docs)
+
+
+def search(docs: DataFrame, queries: DataFrame, doc_id: str, text_col: str, query_id: str, query_text: str, k: int = TOP_K,
+           stop_words: list[str] | None = None, digits: int = 6, hot_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(best ``k`` documents per query, postings read per query) for queries that are asked once, without an index.
+
+    The same ranking as :func:`build_index` and :func:`retrieve`, but no posting is weighted or moved for terms that nobody asks for:
+    every document needs its length, a sum that is combined before the shuffle, and only the postings of asked terms meet the
+    queries; the length divides their sum.
+    """
+    stops = english_stop_words() if stop_words is None else stop_words
+    counts = materialize(term_counts(docs, doc_id, text_col, stops, []), "term-counts")
+    n = docs.count()
+    asked = broadcast_if_small(term_counts(queries, query_id, query_text, stops, []).select("term").distinct(), MAX_QUERY_TERMS)
+    df = F.count(F.lit(1)).alias("df")
+    # Most terms occur in one document; they need no table, since their weight is the same for all.
+    tables = [(counts.groupBy("term").agg(df).where("df > 1"), "common-terms"),
+              (counts.join(asked, "term", "left_semi").groupBy("term").agg(df), "asked-terms")]
+    with ThreadPoolExecutor(len(tables)) as pool:  # side by side: neither fills a cluster to its end
+        common, asked_df = pool.map(lambda t: materialize(*t), tables)
+    lengths = salted_join(counts, common, ["term"], "df", doc_id, hot_rows, "left").groupBy(doc_id).agg(
+        F.sqrt(F.sum(F.pow(_raw(F.coalesce("df", F.lit(1)), n), 2))).alias("_length"))
+    vectors = query_vectors(queries, asked_df.withColumn("idf", _idf(F.col("df"), n)), query_id, query_text, stops, kept=["df"])
+    sums = counts.join(vectors, "term").groupBy(doc_id, query_id).agg(F.sum(_raw(F.col("df"), n) * F.col("query_weight")).alias("_sum"))
+    scores = sums.join(lengths, doc_id).select(doc_id, query_id, F.round(F.col("_sum") / F.col("_length"), digits).alias("score")).where("score > 0")
+    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(doc_id).asc())
+    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best, vectors.groupBy(query_id).agg(F.sum("df").alias("postings_read"))
+
+
 def query_vectors(queries: DataFrame, idf: DataFrame, query_id: str, text_col: str,
-                  stop_words: list[str] | None = None, scope: list[str] | None = None) -> DataFrame:
+                  stop_words: list[str] | None = None, scope: list[str] | None = None, kept: list[str] | None = None) -> DataFrame:
     """Unit-length query vectors over the corpus vocabulary; unknown terms are ignored.
 
     The rows are counted before the vocabulary is joined, on the query texts alone; within
@@ -87,10 +125,11 @@ def query_vectors(queries: DataFrame, idf: DataFrame, query_id: str, text_col: s
     small = fits(counts, MAX_QUERY_TERMS)
     counts = F.broadcast(counts) if small else counts
     raw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    weighted = counts.join(idf.select(*scope, "term", "idf"), [*scope, "term"]).select(
-        *scope, query_id, "term", raw.alias("_raw"))
+    kept = kept or []
+    weighted = counts.join(idf.select(*scope, "term", *{"idf", *kept}), [*scope, "term"]).select(
+        *scope, query_id, "term", *kept, raw.alias("_raw"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*scope, query_id)))
-    vectors = weighted.select(*scope, query_id, "term", (F.col("_raw") / norm).alias("query_weight"))
+    vectors = weighted.select(*scope, query_id, "term", *kept, (F.col("_raw") / norm).alias("query_weight"))
     return F.broadcast(vectors) if small else vectors
 
 

@@ -512,10 +512,18 @@ def tfidf_terms(spark, folder):
         F.max("weight").alias("top_weight")), 4)
 
 
+def keyword_search(spark, folder):
+    return SP.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def keyword_hits(spark, folder):
-    postings, idf = SP.build_index(read_table(spark, folder, "documents"), "doc_id", "text")
-    vectors = SP.query_vectors(read_table(spark, folder, "benchmark"), idf, "item_id", "text")
-    return SP.retrieve(postings, vectors, "doc_id", "item_id")
+    return keyword_search(spark, folder)[0]
+
+
+@query
+def tfidf_postings_read(spark, folder):
+    """How many postings each query meets."""
+    return keyword_search(spark, folder)[1]
 
 
 @query

@@ -172,6 +172,9 @@ def text_sql() -> dict[str, str]:
       FROM d_v GROUP BY 1""")
     q["tfidf_topk"] = _with(docs, "SELECT query AS item_id, document AS doc_id, score, rank FROM ranked")
 
+    q["tfidf_postings_read"] = _with(docs, """
+      SELECT q.id AS item_id, CAST(sum(df) AS BIGINT) AS postings_read FROM q_c q JOIN idf USING (sc, term) GROUP BY 1""")
+
     q["chat_retrieval"] = _with(_retrieval(), "SELECT capture_id, question_id, chunk_id, round(score, 6) AS score, rank, category FROM full_rows")
     q["context_budget"] = _with(_retrieval() + """,
       cum AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY capture_id, question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM full_rows)""", """

@@ -74,8 +74,9 @@ def salted_join(
     size_col: str,
     spread_by: str,
     hot_rows: int = 1_000_000,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of ``big`` with its own per-key aggregate ``small`` without hot reducers.
+    """Join (inner or left) of ``big`` with its own per-key aggregate ``small`` without hot reducers.
 
     ``small[size_col]`` holds the number of ``big`` rows behind a key. Keys with more than
     ``hot_rows`` rows are cut into pieces of about that many by a hash of ``spread_by``; their
@@ -90,5 +91,7 @@ def salted_join(
         ).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_hot_pieces")).cast("int")),
     )
     salted_small = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
-    # Sizes after an explode are guessed far too low; without the hint the whole aggregate may be broadcast.
-    return salted_big.join(salted_small.hint("merge"), [*keys, "_salt"]).drop("_salt", "_pieces", "_hot_pieces")
+    if how == "inner":
+        # Sizes after an explode are guessed far too low; without the hint the whole aggregate may be broadcast.
+        salted_small = salted_small.hint("merge")
+    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt", "_pieces", "_hot_pieces")

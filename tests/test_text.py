@@ -70,6 +70,22 @@ DOCS = {1: "The port scan probed many ports. Port scan!", 2: "DNS query for exam
         3: "high volume transfer of data", 4: "a quiet capture", 5: "port 443 data transfer and the port scan", 6: "the of and"}
 
 
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_search_without_index_equals_the_index(spark, hot_rows):
+    docs = spark.createDataFrame(list(DOCS.items()), "doc_id bigint, text string")
+    asked = {1: "port scan", 2: "data transfer dns domains", 3: "nothing known zzz", 4: "capture quiet port 443", 5: ""}
+    queries = spark.createDataFrame(list(asked.items()), "q bigint, text string")
+    stops = SP.english_stop_words()
+    best, read = SP.search(docs, queries, "doc_id", "text", "q", "text", hot_rows=hot_rows)
+    got = {}
+    for r in best.orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["score"], r["doc_id"]))
+    assert got == {q: brute for q, t in asked.items() if (brute := brute_tfidf(DOCS, t, stops))}
+    postings, idf = SP.build_index(docs, "doc_id", "text")
+    reads = {r["q"]: r["postings_read"] for r in read.collect()}
+    assert set(reads) == {1, 2, 4} and max(reads.values()) < postings.count()
+
+
 @pytest.mark.parametrize("hot_rows", [1, 1_000_000])
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_sparse_retrieval_equals_brute_force(spark, monkeypatch, hot_rows, limit):
