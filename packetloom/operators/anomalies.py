@@ -16,8 +16,8 @@ FEATURES = [
     "tcp_psh_count", "src_port", "dst_port",
 ]
 
-# Lower score bound of each severity, highest first.
-SEVERITY_BOUNDS = [("critical", 0.95), ("high", 0.8), ("medium", 0.6), ("low", 0.4)]
+# Lower score bound of each severity.
+SEVERITY_BOUNDS = [("low", 0.4), ("medium", 0.6), ("high", 0.8), ("critical", 0.95)]
 
 MIN_TRAINING_FLOWS = 10
 
@@ -63,13 +63,15 @@ def enough_to_train(flows: DataFrame) -> bool:
 
 def severity(score: Column, is_anomaly: Column) -> Column:
     band = F.lit("info")
-    for name, bound in reversed(SEVERITY_BOUNDS):
+    for name, bound in SEVERITY_BOUNDS:
         band = F.when(score >= bound, name).otherwise(band)
     return F.when(is_anomaly, band).otherwise("info")
 
 
 @dataclass(frozen=True)
 class RuleThresholds:
+    """Fixed values by default."""
+
     scan_syn: int = 20
     scan_ack: int = 5
     scan_seconds: float = 5.0

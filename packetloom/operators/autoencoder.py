@@ -157,7 +157,7 @@ def score_autoencoder(features: DataFrame, model: Autoencoder | None, scope: lis
     aggregate; without a scope the training maximum stored with the model is used, as a stream must.
     """
     if model is None:
-        raise RuntimeError("Model not trained. Call fit_autoencoder() first.")
+        raise RuntimeError("score_autoencoder needs a fitted model")
     scored = _errors(features, model).withColumnRenamed("_e", "reconstruction_error")
     if scope:
         scored = materialize(scored, "errors")  # the network runs once; the peaks and the rows read its result

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.anomalies import (FEATURES, RuleThresholds, apply_scaler, enough_to_train, ensemble,
@@ -16,32 +16,63 @@ from packetloom.operators.forest import Forest, fit_forest, load_forest, save_fo
 
 
 class Detector(Protocol):
-    """Anything that adds ``score`` and ``is_anomaly`` to a scaled feature table."""
+    """Learns from a scaled feature table and adds ``score`` and ``is_anomaly`` to one."""
 
     name: str
 
+    def fit(self, features: DataFrame, ids: list[str]) -> Detector:
+        """A detector of the same kind that has learned from ``features``."""
+
     def score_flows(self, features: DataFrame) -> DataFrame: ...
 
 
-@dataclass
+@dataclass(frozen=True)
 class ForestDetector:
-    model: Forest
+    model: Forest | None = None
     name: str = "isolation_forest"
 
+    def fit(self, features: DataFrame, ids: list[str]) -> ForestDetector:
+        return replace(self, model=fit_forest(features, ids))
+
     def score_flows(self, features: DataFrame) -> DataFrame:
         return score_forest(features, self.model)
 
 
-@dataclass
+@dataclass(frozen=True)
 class AutoencoderDetector:
-    model: Autoencoder
+    model: Autoencoder | None = None
     scope: tuple[str, ...] = ("capture_id",)
     name: str = "autoencoder"
 
+    def fit(self, features: DataFrame, ids: list[str]) -> AutoencoderDetector:
+        return replace(self, model=fit_autoencoder(features, ids=ids))
+
     def score_flows(self, features: DataFrame) -> DataFrame:
         return score_autoencoder(features, self.model, list(self.scope))
 
 
+@dataclass(frozen=True)
+class DeviationDetector:
+    """The largest deviation of any feature, as a share of the largest one seen in training; flagged from ``bound`` deviations on."""
+
+    bound: float = 3.0
+    largest: float | None = None
+    name: str = "deviation"
+
+    @staticmethod
+    def _deviation() -> Column:
+        return F.greatest(*[F.abs(F.col(f)) for f in FEATURES])
+
+    def fit(self, features: DataFrame, ids: list[str]) -> DeviationDetector:
+        return replace(self, largest=features.agg(F.max(self._deviation())).first()[0] or 1.0)
+
+    def score_flows(self, features: DataFrame) -> DataFrame:
+        if self.largest is None:
+            raise RuntimeError("the detector has learned from no rows")
+        deviation = self._deviation()
+        return features.withColumn("score", F.least(F.lit(1.0), deviation / self.largest)).withColumn("is_anomaly", deviation >= self.bound)
+
+
 @dataclass
 class Models:
     """Scaler parameters travel with the models, so later runs scale in the same way."""

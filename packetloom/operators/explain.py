@@ -17,7 +17,7 @@ Complete = Callable[[list[str]], list[str]]
 
 def mock_complete(prompts: list[str]) -> list[str]:
     """Deterministic stand-in for a text model."""
-    return ["Mock LLM explanation: Normal network traffic detected."] * len(prompts)
+    return [f"(no model: {len(p)} characters of prompt were not read)" for p in prompts]
 
 
 PROVIDERS: dict[str, Complete] = {"mock": mock_complete}
@@ -29,7 +29,7 @@ def register_provider(name: str, complete: Complete) -> None:
 
 def provider(name: str = "mock") -> Complete:
     if name not in PROVIDERS:
-        raise ValueError(f"Unknown LLM provider: {name!r}")
+        raise ValueError(f"no text model is registered as {name!r}; there are {sorted(PROVIDERS)}")
     return PROVIDERS[name]
 
 
@@ -53,20 +53,37 @@ def template() -> Column:
     return F.when(F.coalesce("is_anomaly", F.lit(False)), flagged).otherwise(normal)
 
 
+def _quoted(c: Column | str) -> Column:
+    return F.coalesce(text('"', F.col(c) if isinstance(c, str) else c, '"'), F.lit("null"))
+
+
+def _decimal(c: str, digits: int) -> Column:
+    """Rounded, without exponent, with one decimal at least: 10.0, 0.25."""
+    plain = F.round(F.coalesce(c, F.lit(0.0)), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.regexp_replace(plain, r"(\.\d+?)0+$", "$1")
+
+
+def _indented(pairs: dict[str, Column], depth: int = 1) -> Column:
+    """An indented JSON object of values that are JSON texts already."""
+    pad = "  " * depth
+    lines = [text(f'{pad}"{k}": ', v) for k, v in pairs.items()]
+    return text("{\n", F.concat_ws(",\n", *lines), "\n" + "  " * (depth - 1) + "}")
+
+
 def flow_prompts(flows: DataFrame) -> DataFrame:
     """Prompt per flow: rounded statistics and the detector result as indented JSON."""
-    port = lambda ip, p: endpoint(ip, F.when(F.col(p) != 0, F.col(p)), "*")
-    rate = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), n).alias(c)
-    flags = F.struct(*[F.col(f"tcp_{f.lower()}_count").alias(f) for f in ("SYN", "FIN", "RST", "ACK", "PSH")])
-    summary = F.struct(
-        "flow_id", port("src_ip", "src_port").alias("src"), port("dst_ip", "dst_port").alias("dst"), "protocol",
-        "packet_count", "byte_count", rate("duration_seconds", 3), rate("avg_packet_size", 1),
-        rate("packets_per_second", 2), rate("bytes_per_second", 2), flags.alias("tcp_flags"))
-    result = F.when(F.col("is_anomaly").isNotNull(), F.to_json(
-        F.struct("is_anomaly", "anomaly_type", "ensemble_score", "severity"), {"pretty": "true", "ignoreNullFields": "false"})
-    ).otherwise(F.to_json(F.struct(F.lit(False).alias("is_anomaly")), {"pretty": "true"}))
-    prompt = text("Network flow statistics:\n", F.to_json(summary, {"pretty": "true"}),
-                  "\n\nAnomaly detection result:\n", result, "\n\nExplain this network flow in plain English.")
+    port = lambda ip, p: _quoted(endpoint(ip, F.when(F.col(p) != 0, F.col(p)), "*"))
+    flags = {f: number(f"tcp_{f.lower()}_count") for f in ("SYN", "FIN", "RST", "ACK", "PSH")}
+    summary = {
+        "flow_id": _quoted("flow_id"), "src": port("src_ip", "src_port"), "dst": port("dst_ip", "dst_port"), "protocol": _quoted("protocol"),
+        "packet_count": number("packet_count"), "byte_count": number("byte_count"),
+        **{c: _decimal(c, n) for c, n in (("duration_seconds", 3), ("avg_packet_size", 1), ("packets_per_second", 2), ("bytes_per_second", 2))},
+        "tcp_flags": _indented(flags, 2)}
+    found = {"is_anomaly": F.col("is_anomaly").cast("string"), "anomaly_type": _quoted("anomaly_type"),
+             "ensemble_score": F.when(F.col("ensemble_score").isNull(), "null").otherwise(_decimal("ensemble_score", 6)), "severity": _quoted("severity")}
+    result = F.when(F.col("is_anomaly").isNotNull(), _indented(found)).otherwise(_indented({"is_anomaly": F.lit("false")}))
+    prompt = text("Network flow statistics:\n", _indented(summary), "\n\nAnomaly detection result:\n", result,
+                  "\n\nExplain this network flow in plain English.")
     return flows.withColumn("prompt", prompt)
 
 

@@ -139,7 +139,7 @@ def _scores(features: DataFrame, forest: Forest) -> DataFrame:
 def score_forest(features: DataFrame, forest: Forest | None) -> DataFrame:
     """Adds raw_score, score in [0, 1] (1 is most anomalous) and is_anomaly."""
     if forest is None:
-        raise RuntimeError("Model not trained. Call fit_forest() first.")
+        raise RuntimeError("score_forest needs a fitted forest")
     return (
         _scores(features, forest)
         .withColumn("raw_score", -F.col("_s") - F.lit(forest.offset))

@@ -106,7 +106,7 @@ def generate_report(spark: SparkSession, name: str, fmt: str, out_dir: str, pack
     flow table; pdf: the two tables a page layout would show. Every part is written by the tasks.
     """
     if fmt not in FORMATS:
-        raise ValueError(f"Unsupported report format: {fmt!r}")
+        raise ValueError(f"reports are written as {', '.join(FORMATS)}, not as {fmt!r}")
     created = created_at or datetime.now(timezone.utc)
     path = f"{out_dir.rstrip('/')}/{name}_{created:%Y%m%d_%H%M%S}.{fmt}"
     if not ignore_period:

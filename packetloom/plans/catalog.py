@@ -679,6 +679,15 @@ def detector_pipeline(spark, folder):
         "capture_id", "flow_id", "if_score", "ae_score", "ensemble_score", "is_anomaly", "anomaly_type", "severity")
 
 
+@query
+def detector_contract(spark, folder):
+    """A detector of one's own: fitted, then scoring, by the contract that the two models follow as well."""
+    features = A.feature_vector(capture_flows(spark, folder))
+    scaled = A.apply_scaler(features, A.fit_scaler(features))
+    keys = ["capture_id", "flow_id"]
+    return plain(D.DeviationDetector().fit(scaled, keys).score_flows(scaled).select(*keys, "score", "is_anomaly"), 4)
+
+
 # ---- capture files
 
 @query

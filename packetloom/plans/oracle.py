@@ -307,6 +307,10 @@ def oracle_sql() -> dict[str, str]:
     q["scaled_features"] = _with(vec, "SELECT capture_id, flow_id, " + ", ".join(
         f"round(({f} - (SELECT avg({f}) FROM vec)) / (SELECT CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END FROM vec), 4) + 0.0 AS {f}"
         for f in feats) + " FROM vec")
+    deviation = "greatest(" + ", ".join(
+        f"abs(({f} - (SELECT avg({f}) FROM vec)) / (SELECT CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END FROM vec))" for f in feats) + ")"
+    q["detector_contract"] = _with(vec, f"""
+      SELECT capture_id, flow_id, round(d / (max(d) OVER ()), 4) AS score, d >= 3 AS is_anomaly FROM (SELECT capture_id, flow_id, {deviation} AS d FROM vec)""")
     q["ensemble"] = _with(SCORED, """
       SELECT capture_id, flow_id, if_score, ae_score, round(ensemble_score, 6) AS ensemble_score, is_anomaly, anomaly_type, severity FROM scored""")
     q["rule_anomalies"] = _with(SCORED, """

@@ -30,6 +30,7 @@ def stored_sql() -> dict[str, str]:
     q["session_lookup"] = q["session_table_stream"].replace("GROUP BY", "WHERE user_id = 7 GROUP BY")
     plain = oracle_sql()
     q["explanations_stored"] = plain["explanations_fill"]
+    q["latest_n_stream"] = plain["latest_n_packets"]
     q["stored_period_filter"] = plain["period_filter"]
     q["stored_flow_report"] = plain["flow_anomaly_report"]
     q["stored_flow_lookup"] = _with(PACKETS, """

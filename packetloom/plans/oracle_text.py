@@ -215,6 +215,25 @@ nearest AS (SELECT CAST(label AS BIGINT) AS label, vec_id, score, rank FROM (SEL
         ELSE 'Normal ' || protocol || ' traffic from ' || src_ip || ' to ' || dst_ip || '. ' || packet_count || ' packets, ' || byte_count
           || ' bytes over ' || printf('%.1f', duration_seconds) || 's.' END AS explanation
       FROM scored""")
+    def decimal(c: str, n: int) -> str:
+        return f"regexp_replace(CAST(CAST(round(coalesce({c}, 0), {n}) AS DECIMAL(38,{n})) AS VARCHAR), '(\\.[0-9]+?)0+$', '\\1')"
+
+    def quoted(c: str) -> str:
+        return f"""coalesce('"' || {c} || '"', 'null')"""
+
+    lines = {"flow_id": quoted("flow_id"), "src": quoted("src_ip || ':' || coalesce(CAST(src_port AS VARCHAR), '*')"),
+             "dst": quoted("dst_ip || ':' || coalesce(CAST(dst_port AS VARCHAR), '*')"), "protocol": quoted("protocol"), "packet_count": "packet_count",
+             "byte_count": "byte_count", "duration_seconds": decimal("duration_seconds", 3), "avg_packet_size": decimal("avg_packet_size", 1),
+             "packets_per_second": decimal("packets_per_second", 2), "bytes_per_second": decimal("bytes_per_second", 2)}
+    head = " || ',' || chr(10) || ".join(f"""'  "{k}": ' || {v}""" for k, v in lines.items())
+    flags = " || ',' || chr(10) || ".join(f"""'    "{f}": ' || tcp_{f.lower()}_count""" for f in ("SYN", "FIN", "RST", "ACK", "PSH"))
+    q["flow_prompts"] = _with(SCORED, f"""
+      SELECT capture_id, flow_id, 'Network flow statistics:' || chr(10) || '{{' || chr(10) || {head} || ',' || chr(10)
+        || '  "tcp_flags": {{' || chr(10) || {flags} || chr(10) || '  }}' || chr(10) || '}}' || chr(10) || chr(10)
+        || 'Anomaly detection result:' || chr(10) || '{{' || chr(10) || '  "is_anomaly": ' || is_anomaly || ',' || chr(10)
+        || '  "anomaly_type": ' || {quoted("anomaly_type")} || ',' || chr(10) || '  "ensemble_score": ' || {decimal("ensemble_score", 6)} || ',' || chr(10)
+        || '  "severity": ' || {quoted("severity")} || chr(10) || '}}' || chr(10) || chr(10) || 'Explain this network flow in plain English.' AS prompt
+      FROM scored""")
     q["explanations_fill"] = _with(ANOMALIES, """
       SELECT a.anomaly_id, coalesce(a.explanation, CASE WHEN s.is_anomaly THEN 'Anomalous ' || protocol || ' flow detected (type: ' || s.anomaly_type || ', score: '
           || printf('%.2f', s.ensemble_score) || '). ' || packet_count || ' packets, ' || byte_count || ' bytes from ' || src_ip || ' to ' || dst_ip || '.'

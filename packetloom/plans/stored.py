@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators import explain as E
+from packetloom.operators import filters as P
 from packetloom.operators import sketches as SK
 from packetloom.plans.catalog import anomaly_table, at_second, capture_flows, packets, query, scored
 from packetloom.runtime import make_folder, materialize, scratch_path
@@ -276,6 +277,15 @@ def talkers_live_bounds(spark, folder):
     return bounds.select("capture_id", "enclosed", "complete", (F.col("listed") <= 12).alias("bounded"))
 
 
+@query
+def latest_n_stream(spark, folder):
+    """The newest 500 packets, kept up to date batch by batch."""
+    path = scratch_path(spark, "latest")
+    stream = landed_packets(spark, folder, path)
+    in_steps(spark, folder, path, lambda i: FD.keep_latest(stream, f"{path}/top", f"{path}/checkpoint", "timestamp", "packet_id", 500))
+    return P.live_event(spark.read.schema(stream.schema).parquet(f"{path}/top/batch={STEPS - 1}"))
+
+
 # ---- rows that come too late
 
 LATE_DISORDER_SECONDS = 75

@@ -17,8 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
+    """A fresh, never reused path below the shared folder; :func:`release` deletes what lies there."""
+    path = f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("_packetloom_scratch", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all scratch tables of this session; results that still read them have to be used or saved before."""
+    paths = spark.__dict__.pop("_packetloom_scratch", [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
 
 
 def _located(spark: SparkSession, path: str):

@@ -114,3 +114,15 @@ def test_arrivals_hold_every_event_once(spark):
     order = [r[0] for r in events.orderBy("ts").select("event_id").collect()]
     cut = len(parts[0])
     assert set(order[:cut]) != parts[0]  # out of order across steps
+
+
+def test_scratch_tables_can_be_released(spark, monkeypatch):
+    import os
+
+    from packetloom import runtime
+
+    monkeypatch.setitem(spark.__dict__, "_packetloom_scratch", [])
+    made = runtime.materialize(spark.range(5), "released")
+    folder = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder) and runtime.release(spark) == 1 and not os.path.exists(folder)
+    assert runtime.release(spark) == 0

@@ -220,7 +220,8 @@ def test_explanations(spark, make_flows):
     rows = {r["flow_id"]: r["explanation"] for r in E.explain_flows(flows).collect()}
     assert rows["f000"] == "Normal TCP traffic from 192.168.1.1 to 8.8.8.8. 100 packets, 150000 bytes over 10.0s."
     assert rows["f001"] == "Anomalous TCP flow detected (type: rst_storm, score: 0.88). 100 packets, 150000 bytes from 192.168.1.1 to 8.8.8.8."
-    assert {r["explanation"] for r in E.explain_flows(flows, E.provider("mock")).collect()} == set(E.mock_complete(["x"]))
+    assert {r["explanation"] for r in E.explain_flows(flows, E.provider("mock")).collect()} == set(
+        E.mock_complete([r["prompt"] for r in E.flow_prompts(flows).collect()]))
 
     def broken(prompts):
         raise RuntimeError
