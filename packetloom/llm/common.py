@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.runtime import scratch_path
+
 #: A word is a run of anything but ASCII white space; the same pattern serves Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -30,14 +30,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: spark.checkpoint.dir, or where it is unset (tests) the warehouse."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/packetloom-llm-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; ``packetloom.runtime.release`` deletes what lies there."""
+    return scratch_path(spark, f"llm-{label}")
 
 
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
