@@ -1,20 +1,23 @@
 """Live flows: the streaming twin of ``operators.flows.live_flows``.
 
-The order of packets is final only behind the watermark, so packets wait in the state of their flow, in lists by time slot. A
-slot is folded when the watermark has passed its end: its packets are read, sorted and added to the one open flow of the key;
-FIN/RST or an idle gap closes that. All state is typed (a value, lists, a map) and lives in the state store: what comes in is
-appended to lists in pieces of ``PIECE`` rows and never held as a whole, and a step reads the packets of one slot of one flow at a time.
-Event-time timers at slot ends drive the folding, so what is closed depends on the watermark alone: everything before the last
-whole slot behind it counts.
+The order of packets is final only behind the watermark, so packets wait in the state until the watermark has passed the end of
+their time slot; then they are sorted and added to the open flow of their key, which FIN/RST or an idle gap closes. Flows are
+dealt to ``BUCKETS`` groups by a hash of their key, and a group is folded as arrays, many flows in one step: a call per flow costs more
+than its few packets. The state of a group is two packed tables, the packets that wait and the open flows; a group's row stays
+when both are empty. One event-time timeout per group drives the folding, so what is closed depends on the watermark alone:
+everything before the last whole slot behind it counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.functions.packet import has_flag, is_teardown
 from packetloom.operators.flows import COUNTED_FLAGS, FLOW_TIMEOUT_SECONDS, finalise
@@ -22,115 +25,128 @@ from packetloom.schemas import FLOW_COLUMNS
 
 WATERMARK = "30 seconds"
 SLOT_SECONDS = 5
-#: Lists that the slots take in turn; more slots than lists may be waiting, their packets then share one.
-LISTS = 8
-PIECE = 1000
+BUCKETS = 512
+#: Packets that are folded at once, unless one slot has more.
+FOLDED = 200_000
 
 _CLOSES = 1 << len(COUNTED_FLAGS)
+_KEY = ["capture_id", "flow_id"]
 _HEAD = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+_PORTS = ["src_port", "dst_port"]
+#: Stands for no port inside the step, where a null would turn the column into floating point numbers.
+_NO_PORT = -1
 _HEAD_DDL = "src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
-_ROW = ["us", "packet_id", "length", "marks", *_HEAD]
-_ROW_DDL = f"us bigint, packet_id bigint, length int, marks int, {_HEAD_DDL}"
+_ROW = [*_KEY, "us", "packet_id", "length", "marks", *_HEAD]
 _FLAGS = [f"tcp_{f.lower()}_count" for f in COUNTED_FLAGS]
+_SUMS = ["packet_count", "byte_count", *_FLAGS]
 _NUMBERS = ["first_us", "last_us", "first_packet_id", "packet_count", "byte_count", "min_packet_size", "max_packet_size", *_FLAGS]
-_FLOW = [*_HEAD, "teardown", *_NUMBERS]
-_FLOW_DDL = f"{_HEAD_DDL}, teardown boolean, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
-
-
-def _opened(row: tuple) -> dict:
-    us, packet_id, length, marks, *head = row
-    return {**dict(zip(_HEAD, head)), "teardown": marks >= _CLOSES, "first_us": us, "last_us": us, "first_packet_id": packet_id,
-            "packet_count": 1, "byte_count": length, "min_packet_size": length, "max_packet_size": length,
-            **{n: marks >> i & 1 for i, n in enumerate(_FLAGS)}}
-
-
-def _extend(flow: dict, row: tuple) -> None:
-    us, _, length, marks, *_ = row
-    flow["last_us"] = us
-    flow["packet_count"] += 1
-    flow["byte_count"] += length
-    flow["min_packet_size"] = min(flow["min_packet_size"], length)
-    flow["max_packet_size"] = max(flow["max_packet_size"], length)
-    for i, n in enumerate(_FLAGS):
-        flow[n] += marks >> i & 1
-    flow["teardown"] = marks >= _CLOSES
-
-
-class LiveFlows(StatefulProcessor):
-    def __init__(self, gap_us: int, slot_us: int):
-        self.gap_us, self.slot_us = gap_us, slot_us
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", _FLOW_DDL)
-        self.waiting = handle.getMapState("waiting", "slot bigint", "pieces bigint")
-        self.lists = [handle.getListState(f"slots{i}", _ROW_DDL) for i in range(LISTS)]
-
-    def _hold(self, slot: int, rows: list[tuple]) -> None:
-        self.lists[slot % LISTS].appendList(rows)
-        before = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
-        if before is None:
-            self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
-        self.waiting.updateValue((slot,), ((before[0] if before else 0) + 1,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        pieces: dict[int, list[tuple]] = {}
-        for r in rows:
-            row = tuple(r[c] for c in _ROW)
-            own = pieces.setdefault(row[0] // self.slot_us, [])
-            own.append(row)
-            if len(own) >= PIECE:
-                self._hold(row[0] // self.slot_us, pieces.pop(row[0] // self.slot_us))
-        for slot, own in pieces.items():
-            self._hold(slot, own)
-        return iter(())
-
-    def _taken(self, slot: int) -> list[tuple]:
-        """The packets of a slot in order; those of later slots go back into the list."""
-        mine, others = [], []
-        for row in self.lists[slot % LISTS].get():
-            row = tuple(row)
-            (mine if row[0] // self.slot_us == slot else others).append(row)
-        if others:
-            self.lists[slot % LISTS].put(others)
-        else:
-            self.lists[slot % LISTS].clear()
-        self.waiting.removeKey((slot,))
-        return sorted(mine, key=lambda r: r[:2])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us  # slots before this one are whole
-        now = passed * self.slot_us
-        due = sorted(s for (s,) in self.waiting.keys() if s < passed)
-        saved = self.open.get()
-        flow = None if saved is None else dict(zip(_FLOW, saved))
-        done = []
-        for slot in due:
-            for row in self._taken(slot):
-                if flow is not None and row[0] - flow["last_us"] > self.gap_us:
-                    done.append(flow)
-                    flow = None
-                if flow is None:
-                    flow = _opened(row)
-                else:
-                    _extend(flow, row)
-                if flow["teardown"]:
-                    done.append(flow)
-                    flow = None
-        if flow is not None and now - flow["last_us"] > self.gap_us:
-            done.append(flow)
-            flow = None
-        if flow is not None:
-            if due:
-                self.open.update(tuple(flow[c] for c in _FLOW))
-                self.handle.registerTimer(((flow["last_us"] + self.gap_us) // self.slot_us + 1) * self.slot_us // 1000)
-        elif saved is not None:
-            self.open.clear()
-        for d in done:
-            yield Row(capture_id=key[0], flow_id=key[1], **d)
-
-    def close(self) -> None:
-        pass
+_FLOW = [*_KEY, *_HEAD, "teardown", *_NUMBERS]
+_FLOW_DDL = f"capture_id string, flow_id string, {_HEAD_DDL}, teardown boolean, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
+
+
+def _opened(packets: pd.DataFrame) -> pd.DataFrame:
+    """Every packet as a flow of its own."""
+    marks = packets["marks"].to_numpy()
+    us, size = packets["us"], packets["length"].astype("int64")
+    return packets[[*_KEY, *_HEAD]].assign(
+        teardown=marks >= _CLOSES, first_us=us, last_us=us, first_packet_id=packets["packet_id"], packet_count=np.int64(1), byte_count=size,
+        min_packet_size=size, max_packet_size=size, **{n: (marks >> i & 1).astype(np.int64) for i, n in enumerate(_FLAGS)})[_FLOW]
+
+
+def _codes(rows: pd.DataFrame) -> np.ndarray:
+    """Numbers for the different keys; nulls are a value."""
+    (a, _), (b, known) = (pd.factorize(rows[c], use_na_sentinel=False) for c in _KEY)
+    return a.astype(np.int64) * len(known) + b
+
+
+def fold(flows: pd.DataFrame | None, packets: pd.DataFrame, gap_us: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(closed, open) after adding ``packets`` to the open ``flows``, all of which ended before."""
+    rows = _opened(packets)
+    rows = rows if flows is None or flows.empty else pd.concat([flows, rows], ignore_index=True)
+    if rows.empty:
+        return rows, rows
+    code = _codes(rows)
+    order = np.lexsort((rows["first_packet_id"].to_numpy(), rows["last_us"].to_numpy(), code))
+    code = code[order]
+    number = {c: rows[c].to_numpy()[order] for c in (*_NUMBERS, "teardown")}
+    same = code[1:] == code[:-1]
+    joined = same & (number["first_us"][1:] - number["last_us"][:-1] <= gap_us) & ~number["teardown"][:-1]
+    at = np.flatnonzero(np.concatenate([[True], ~joined]))
+    end = np.append(at[1:], len(code)) - 1
+    out = rows[[*_KEY, *_HEAD]].take(order[at]).reset_index(drop=True)
+    out = out.assign(teardown=number["teardown"][end], first_us=number["first_us"][at], last_us=number["last_us"][end],
+                     first_packet_id=number["first_packet_id"][at], **{c: np.add.reduceat(number[c], at) for c in _SUMS},
+                     min_packet_size=np.minimum.reduceat(number["min_packet_size"], at),
+                     max_packet_size=np.maximum.reduceat(number["max_packet_size"], at))[_FLOW]
+    closed = out["teardown"].to_numpy() | np.append(code[at][1:] == code[at][:-1], False)
+    return out[closed], out[~closed].reset_index(drop=True)
+
+
+def _packed(rows: pd.DataFrame) -> bytes | None:
+    if rows.empty:
+        return None
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    words = [c for c in table.column_names if pa.types.is_string(table.schema.field(c).type) or pa.types.is_large_string(table.schema.field(c).type)]
+    for c in words:  # a text is held once, not once per row
+        table = table.set_column(table.column_names.index(c), c, table[c].combine_chunks().dictionary_encode())
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    table = pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+    for i, f in enumerate(table.schema):
+        if pa.types.is_dictionary(f.type):
+            table = table.set_column(i, f.name, table[f.name].cast(f.type.value_type))
+    return table.to_pandas()
+
+
+def _steps(packets: pd.DataFrame, slot_us: int) -> Iterator[pd.DataFrame]:
+    """The packets in order of time, in parts of whole slots with about ``FOLDED`` rows."""
+    packets = packets.sort_values("us", ignore_index=True)
+    slots = packets["us"].to_numpy() // slot_us
+    at = 0
+    while at < len(packets):
+        end = int(np.searchsorted(slots, slots[min(at + FOLDED, len(slots)) - 1], "right"))
+        yield packets.iloc[at:end]
+        at = end
+
+
+def live_step(gap_us: int, slot_us: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """One step of a group: take in what came, fold the slots that are whole by now, close what is idle."""
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, opened = state.get if state.exists else (None, None)
+        came = [f[_ROW] for f in frames if len(f)]
+        if waiting is not None:
+            came.insert(0, _unpacked(bytes(waiting)))
+        packets = pd.concat(came, ignore_index=True) if came else None
+        flows = None if opened is None else _unpacked(bytes(opened))
+        passed = max(0, state.getCurrentWatermarkMs()) * 1000 // slot_us  # slots before this one are whole
+        now = passed * slot_us
+        ends = []
+        if packets is not None:
+            whole = packets["us"].to_numpy() < now
+            for part in _steps(packets[whole], slot_us):
+                closed, flows = fold(flows, part, gap_us)
+                if len(closed):
+                    yield closed
+            packets = packets[~whole]
+            if len(packets):
+                ends.append(int(packets["us"].min()))
+        if flows is not None and len(flows):
+            idle = now - flows["last_us"].to_numpy() > gap_us
+            if idle.any():
+                yield flows[idle]
+                flows = flows[~idle]
+            if len(flows):
+                ends.append(int(flows["last_us"].min()) + gap_us)
+        state.update((None if packets is None else _packed(packets), None if flows is None else _packed(flows)))
+        if ends:  # a timeout comes when the watermark is beyond it, and a slot is whole when the watermark reaches its end
+            state.setTimeoutTimestamp((min(ends) // slot_us + 1) * slot_us // 1000 - 1)
+
+    return step
 
 
 def live_flow_stream(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS, watermark: str = WATERMARK,
@@ -139,10 +155,12 @@ def live_flow_stream(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SEC
     marks = sum((F.when(has_flag(f), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(COUNTED_FLAGS)),
                 F.when(is_teardown(), F.lit(_CLOSES)).otherwise(F.lit(0)))
     narrow = packets.withWatermark("timestamp", watermark).select(
-        "timestamp", "capture_id", "flow_id", F.unix_micros("timestamp").alias("us"), "packet_id", "length", marks.alias("marks"), *_HEAD)
-    closed = narrow.groupBy("capture_id", "flow_id").transformWithState(
-        LiveFlows(timeout_seconds * 1_000_000, slot_seconds * 1_000_000), f"capture_id string, flow_id string, {_FLOW_DDL}", "Append", "EventTime")
-    timed = closed.select(
+        F.pmod(F.xxhash64(*_KEY), F.lit(BUCKETS)).cast("int").alias("bucket"), "timestamp", *_KEY, F.unix_micros("timestamp").alias("us"), "packet_id",
+        "length", marks.alias("marks"), "src_ip", "dst_ip", *[F.coalesce(c, F.lit(_NO_PORT)).alias(c) for c in _PORTS], "protocol")
+    closed = narrow.groupBy("bucket").applyInPandasWithState(
+        live_step(timeout_seconds * 1_000_000, slot_seconds * 1_000_000), _FLOW_DDL, "waiting binary, open binary", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    timed = closed.withColumns({c: F.nullif(F.col(c), F.lit(_NO_PORT)) for c in _PORTS}).select(
         "*", F.timestamp_micros("first_us").alias("start_time"), F.timestamp_micros("last_us").alias("end_time"),
         F.lit(False).alias("is_active"), F.when(F.col("teardown"), "teardown").otherwise("timeout").alias("close_reason"))
     sizes = {c: F.col(c).cast("int") for c in ("min_packet_size", "max_packet_size")}

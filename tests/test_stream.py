@@ -134,3 +134,19 @@ def test_adapter_is_the_same_in_batch_and_stream(spark):
     folder = "/root/testdata/sf0.001"
     assert packet_stream(spark, folder).schema == event_packets(spark, folder).schema
     assert event_packets(spark, folder).select(F.countDistinct("flow_id")).first()[0] > 100
+
+
+def test_groups_of_flows_are_folded_at_once(spark, make_packets):
+    """One call adds the packets of many flows, in parts of time, like a pass over all packets at once."""
+    rows = [{**r, "packet_id": i, "capture_id": f"c{i % 3}"} for i, r in enumerate(random_packets(7, 400))]
+    marked = make_packets(rows).select("capture_id", "flow_id", F.unix_micros("timestamp").alias("us"), "packet_id", "length", F.when(
+        F.col("tcp_flags").rlike("FIN|RST"), SF._CLOSES).otherwise(0).alias("marks"), "src_ip", "dst_ip", *[F.coalesce(c, F.lit(-1)).alias(c) for c in SF._PORTS], "protocol")
+    packets = marked.toPandas()
+    slots = packets["us"] // (50 * SECOND)
+    flows, found = None, []
+    for s in sorted(set(slots)):
+        closed, flows = SF.fold(flows, packets[slots == s], 120 * SECOND)
+        found.append(closed)
+    found = [r for f in [*found, flows] for r in f[["capture_id", "flow_id", "first_us", "last_us", "first_packet_id", "packet_count", "byte_count", "teardown"]].values.tolist()]
+    want = FL.live_flows(make_packets(rows)).select("capture_id", "flow_id", "first_us", "last_us", F.col("_head.first_packet_id"), "packet_count", "byte_count", "closed")
+    assert sorted(map(str, found)) == sorted(str(list(r)) for r in want.collect()) and len(found) > 20
