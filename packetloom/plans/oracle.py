@@ -385,29 +385,26 @@ filed AS (SELECT * REPLACE (capture_id || '-' || CAST(packet_id // 20000 AS VARC
     q["capture_files"] = _with(files, """
       SELECT capture_id, CAST(24 + sum(length + 16) AS BIGINT) AS length, count(*) AS packets, CAST(NULL AS VARCHAR) AS error FROM filed GROUP BY 1""")
 
-    # ---- streams: what the watermark after the last row has closed
-    mark = "(SELECT max(us) // 1000 * 1000 - {} FROM {})"
-    q["protocol_minutes_stream"] = _with(PACKETS, f"""
-      SELECT us // 60000000 * 60000000 AS minute, protocol, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets
-      GROUP BY 1, 2 HAVING us // 60000000 * 60000000 + 60000000 <= {mark.format(30000000, "packets")}""")
+    # ---- streams: everything up to the last row, run to the mark that ends the input
+    q["protocol_minutes_stream"] = _with(PACKETS, """
+      SELECT us // 60000000 * 60000000 AS minute, protocol, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY 1, 2""")
     q["packet_feed_stream"] = _with(PACKETS, """
       SELECT CAST(to_json({'type': 'packet', 'data': {'timestamp': strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00',
         'src_ip': src_ip, 'dst_ip': dst_ip, 'src_port': src_port, 'dst_port': dst_port, 'protocol': protocol, 'length': length,
         'tcp_flags': tcp_flags, 'flow_id': flow_id, 'dns_query': dns_query, 'http_host': http_host}}) AS VARCHAR) AS value FROM packets""")
     q["capture_counters_stream"] = _with(PACKETS, """
       SELECT count(*) AS total_captured, CAST(0 AS BIGINT) AS total_dropped, CAST(0 AS BIGINT) AS queue_size FROM packets""")
-    q["session_windows_stream"] = f"""
+    q["session_windows_stream"] = """
       WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events),
       l AS (SELECT *, row_number() OVER w AS rn, lag(us) OVER w AS p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
       s AS (SELECT *, sum(CASE WHEN rn = 1 OR us - p > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS seg FROM l)
-      SELECT user_id AS session_id, min(us) AS started_at, max(us) + 3600000000 AS expires_at, count(*) AS message_count FROM s
-      GROUP BY user_id, seg HAVING max(us) + 3600000000 <= {mark.format(3600000000, "e")}"""
+      SELECT user_id AS session_id, min(us) AS started_at, max(us) + 3600000000 AS expires_at, count(*) AS message_count FROM s GROUP BY user_id, seg"""
 
     q["idle_flows_stream"] = _with(PACKETS + """,
 idle_l AS (SELECT *, row_number() OVER w AS rn, lag(us) OVER w AS p FROM packets WINDOW w AS (PARTITION BY capture_id, flow_id ORDER BY us)),
 idle_s AS (SELECT *, sum(CASE WHEN rn = 1 OR us - p > 120000000 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, flow_id ORDER BY us) AS seg FROM idle_l)""", f"""
       SELECT capture_id, flow_id, min(us) AS start_time, max(us) AS end_time, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count
-      FROM idle_s GROUP BY capture_id, flow_id, seg HAVING max(us) + 120000000 <= {mark.format(30000000, "packets")}""")
+      FROM idle_s GROUP BY capture_id, flow_id, seg""")
     q["fuse_detectors"] = _with(SCORED, """
       SELECT capture_id, flow_id, round(ensemble_score, 6) AS ensemble_score, is_anomaly, anomaly_type, severity FROM scored""")
     q["json_report_anomalies"] = _with(ANOMALIES, """
