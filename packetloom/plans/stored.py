@@ -92,11 +92,15 @@ def interrupted(save: Callable[[DataFrame, int], None], after: set[int]) -> Call
 
 @query
 def live_flows_stream(spark, folder):
-    """What the stream closed by its last watermark, and nothing else."""
+    """All flows, written by the stream itself: the mark that ends the input closes the rest, which counts as open where nothing had ended it."""
     path = scratch_path(spark, "live-flows")
     stream = SF.live_flow_stream(landed_packets(spark, folder, path))
-    in_steps(spark, folder, path, lambda i: FD.write_batches(stream, f"{path}/rows/step{i}", f"{path}/checkpoint"))
-    return FD.read_batches(spark, f"{path}/rows", stream.schema)
+    run = lambda i: FD.write_batches(stream, f"{path}/rows/step{i}", f"{path}/checkpoint")
+    in_steps(spark, folder, path, run)
+    land(FD.end_mark(read_table(spark, folder, "events")), path, STEPS)
+    finish(lambda: run(STEPS))
+    written = FD.read_batches(spark, f"{path}/rows", stream.schema)
+    return SF.as_of(written, packets(spark, folder).agg(F.max("timestamp").alias("_now")))
 
 
 # ---- stored tables that streams and later jobs update

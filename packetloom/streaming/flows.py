@@ -165,3 +165,13 @@ def live_flow_stream(packets: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SEC
         F.lit(False).alias("is_active"), F.when(F.col("teardown"), "teardown").otherwise("timeout").alias("close_reason"))
     sizes = {c: F.col(c).cast("int") for c in ("min_packet_size", "max_packet_size")}
     return finalise(timed.withColumns(sizes)).select(*FLOW_COLUMNS)
+
+
+def as_of(closed: DataFrame, now: DataFrame, timeout_seconds: int = FLOW_TIMEOUT_SECONDS) -> DataFrame:
+    """Flows of a stream that ran beyond its last packet, as they stood at the one time ``_now`` of ``now``: idle ones within the timeout were open."""
+    gap = F.unix_micros("_now") - F.unix_micros("end_time")
+    still = (F.col("close_reason") != "teardown") & (gap <= timeout_seconds * 1_000_000)
+    return (
+        closed.crossJoin(F.broadcast(now)).withColumn("is_active", still)
+        .withColumn("close_reason", F.when(still, "open").otherwise(F.col("close_reason"))).select(*closed.columns)
+    )
