@@ -1,8 +1,9 @@
 """Reconstruction-error detector: a 13-64-32-64-13 network trained by model averaging.
 
 Each round every learner (one partition of about ``LEARNER_ROWS`` rows, dealt by a random hash) runs one epoch of
-mini-batch Adam from the shared weights and moments; both are averaged in Spark, weighted by rows, and the means
-(three times 5,933 numbers) start the next round (McMahan et al. 2017). With one learner this is plain mini-batch
+mini-batch Adam from the shared weights and moments; both are averaged, weighted by rows, and the means
+(three times 5,933 numbers) start the next round (McMahan et al. 2017). A learner hands on its numbers as one row; beyond
+``MEET`` learners, tasks add up those of ``MEET`` each before the driver adds their sums. With one learner this is plain mini-batch
 training.
 """
 
@@ -13,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.anomalies import FEATURES
-from packetloom.runtime import materialize
+from packetloom.runtime import broadcast_if_small, materialize
 
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 50, 64, 1e-3, 42
 LEARNER_ROWS = 50_000
+MEET = 64
+LEARNED = "learner int, w binary, rows bigint"
 
 
 def layer_sizes(inputs: int = len(FEATURES), hidden: int = HIDDEN) -> list[int]:
@@ -53,29 +56,73 @@ def _activations(x: np.ndarray, layers) -> list[np.ndarray]:
     return out
 
 
+class _Network:
+    """Weights and buffers of one learner; a step writes into them and allocates next to nothing."""
+
+    def __init__(self, flat: np.ndarray, sizes: list[int]):
+        self.flat, self.grad, self._spare, self._step = flat.copy(), np.empty(len(flat)), np.empty(len(flat)), np.empty(len(flat))
+        self.sizes, self.layers, self.grads = sizes, _unpack(self.flat, sizes), _unpack(self.grad, sizes)
+        self._rooms: dict[int, tuple] = {}
+
+    def gradient(self, x: np.ndarray) -> np.ndarray:
+        """Gradient of the mean squared reconstruction error over a mini-batch."""
+        if len(x) not in self._rooms:
+            self._rooms[len(x)] = ([np.empty((len(x), n)) for n in self.sizes[1:]], [np.empty((len(x), n)) for n in self.sizes[1:]])
+        outs, deltas = self._rooms[len(x)]
+        acts = [x, *outs]
+        for i, (w, b) in enumerate(self.layers):
+            np.matmul(acts[i], w, out=outs[i])
+            outs[i] += b
+            if i + 1 < len(self.layers):
+                np.maximum(outs[i], 0.0, out=outs[i])
+        delta = np.subtract(outs[-1], x, out=deltas[-1])
+        delta *= 2.0
+        delta /= x.size
+        for i in range(len(self.layers) - 1, -1, -1):
+            np.matmul(acts[i].T, delta, out=self.grads[i][0])
+            np.add.reduce(delta, axis=0, out=self.grads[i][1])
+            if i:
+                delta = np.matmul(delta, self.layers[i][0].T, out=deltas[i - 1])
+                delta *= acts[i] > 0
+        return self.grad
+
+    def adam(self, x: np.ndarray, rate: float, state: list) -> None:
+        g, (mean, square, _), spare, step = self.gradient(x), state, self._spare, self._step
+        state[2] += 1
+        mean *= 0.9
+        mean += np.multiply(g, 0.1, out=spare)
+        square *= 0.999
+        square += np.multiply(np.multiply(g, 0.001, out=spare), g, out=spare)
+        np.sqrt(np.divide(square, 1 - 0.999 ** state[2], out=spare), out=spare)
+        spare += 1e-8
+        np.divide(np.divide(mean, 1 - 0.9 ** state[2], out=step), spare, out=step)
+        self.flat -= np.multiply(step, rate, out=step)
+
+
 def _gradient(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Gradient of the mean squared reconstruction error over a mini-batch."""
-    layers = _unpack(flat, sizes)
-    acts = _activations(x, layers)
-    delta = 2.0 * (acts[-1] - x) / x.size
-    grads: list[np.ndarray] = []
-    for i in range(len(layers) - 1, -1, -1):
-        grads = [(acts[i].T @ delta).ravel(), delta.sum(axis=0), *grads]
-        if i:
-            delta = (delta @ layers[i][0].T) * (acts[i] > 0)
-    return np.concatenate(grads)
+    return _Network(flat, sizes).gradient(x)
 
 
 def _adam_epoch(x: np.ndarray, flat: np.ndarray, sizes, rng, batch: int, rate: float, state: list) -> np.ndarray:
-    order = rng.permutation(len(x))
+    order, network = rng.permutation(len(x)), _Network(flat, sizes)
+    state[:2] = [np.array(s) for s in state[:2]]
     for start in range(0, len(x), batch):
-        g = _gradient(x[order[start:start + batch]], flat, sizes)
-        state[2] += 1
-        state[0] = 0.9 * state[0] + 0.1 * g
-        state[1] = 0.999 * state[1] + 0.001 * g * g
-        step = (state[0] / (1 - 0.9 ** state[2])) / (np.sqrt(state[1] / (1 - 0.999 ** state[2])) + 1e-8)
-        flat = flat - rate * step
-    return flat
+        network.adam(x[order[start:start + batch]], rate, state)
+    return network.flat
+
+
+def _total(frame: pd.DataFrame) -> tuple[np.ndarray, int]:
+    """Row-weighted sum of the learners' numbers, in order of the learners, and the rows."""
+    total = np.zeros(0)
+    for w, rows in zip(frame.sort_values("learner")["w"], frame.sort_values("learner")["rows"]):
+        part = np.frombuffer(w) * rows
+        total = total + part if len(total) else part
+    return total, int(frame["rows"].sum())
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    total, rows = _total(frame)
+    return pd.DataFrame({"learner": [frame["learner"].min()], "w": [(total / rows).tobytes()], "rows": [rows]})
 
 
 def errors_of(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -116,17 +163,16 @@ def fit_autoencoder(features: DataFrame, hidden: int = HIDDEN, epochs: int = EPO
                         weights = _adam_epoch(x, weights, sizes, np.random.default_rng([seed, epoch, rows]), batch, rate, state)
                         rows += len(x)
                 if rows:
-                    yield pd.DataFrame({"w": [np.concatenate([weights, *state[:2], state[2:]]).tolist()], "rows": [rows]})
-
-            local = placed.mapInPandas(learn, "w array<double>, rows bigint")
-            mean = (
-                local.select("rows", F.posexplode("w").alias("pos", "v"))
-                .groupBy("pos").agg((F.sum(F.col("v") * F.col("rows")) / F.sum("rows")).alias("v"))
-                .orderBy("pos").toPandas()
-            )
-            if len(mean) != len(carried):
+                    numbers = np.concatenate([weights, *state[:2], state[2:]])
+                    yield pd.DataFrame({"learner": [TaskContext.get().partitionId()], "w": [numbers.tobytes()], "rows": [rows]})
+
+            local = placed.mapInPandas(learn, LEARNED)
+            if learners > MEET:
+                local = local.groupBy(F.floor(F.col("learner") / MEET)).applyInPandas(_added, LEARNED)
+            total, rows = _total(local.toPandas())
+            if len(total) != len(carried):
                 raise ValueError("no rows to train on")
-            carried = mean["v"].to_numpy(dtype=np.float64)
+            carried = total / rows
             flat = carried[:len(flat)]
             shared.unpersist()
         model = Autoencoder(flat, sizes, 0.0, 1.0)
@@ -163,7 +209,8 @@ def score_autoencoder(features: DataFrame, model: Autoencoder | None, scope: lis
         scored = materialize(scored, "errors")  # the network runs once; the peaks and the rows read its result
         top = F.max("reconstruction_error")
         peaks = scored.groupBy(*scope).agg(F.when(top == 0, F.lit(1.0)).otherwise(top).alias("_max"))
-        scored = scored.join(peaks, scope)
+        # A few captures hold all rows: dealt by capture, they would keep as few tasks busy.
+        scored = scored.join(broadcast_if_small(materialize(peaks, "peaks")), scope)
     else:
         scored = scored.withColumn("_max", F.lit(model.max_error))
     return (

@@ -39,10 +39,20 @@ class Forest:
     offset: float
 
     def arrays(self) -> list[tuple]:
+        """Per tree (feature, split, left, path, levels), renumbered level by level: the right child follows the left one and a
+        leaf is its own left child behind a split that nothing exceeds, so a step needs no test for leaves."""
         out = []
         for _, t in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
-            out.append((t["feature"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(),
-                        average_path(t["size"].to_numpy())))
+            feature, split, left, right = (t[c].to_numpy() for c in ("feature", "split", "left", "right"))
+            order, depth, child = [0], [0], []
+            for at, node in enumerate(order):  # grows while it is read
+                child.append(at if feature[node] < 0 else len(order))
+                if feature[node] >= 0:
+                    order += [left[node], right[node]]
+                    depth += [depth[at] + 1] * 2
+            leaf = feature[order] < 0
+            out.append((np.where(leaf, 0, feature[order]).astype(np.intp), np.where(leaf, np.inf, split[order]), np.array(child, np.intp),
+                        np.array(depth) + average_path(t["size"].to_numpy())[order], max(depth)))
         return out
 
 
@@ -112,25 +122,35 @@ def fit_forest(features: DataFrame, ids: list[str], trees: int = TREES, contamin
     return forest
 
 
+def _paths(x: np.ndarray, trees: list[tuple]) -> np.ndarray:
+    """Summed path length of every row; all rows go down a tree side by side, in buffers that are used again."""
+    rows, width = x.shape
+    x = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x))  # no number goes right, as it always did
+    flat, first = x.ravel(), np.arange(rows) * width
+    total, value, bound = np.zeros(rows), np.empty(rows), np.empty(rows)
+    at, place, right = np.empty(rows, np.intp), np.empty(rows, np.intp), np.empty(rows, bool)
+    for feature, split, left, path, levels in trees:
+        at[:] = 0
+        for _ in range(levels):
+            # Without "clip" a take into a buffer is copied once more; no index is out of range.
+            np.take(feature, at, out=place, mode="clip")
+            np.take(flat, np.add(place, first, out=place), out=value, mode="clip")
+            np.take(split, at, out=bound, mode="clip")
+            np.greater(value, bound, out=right)
+            np.take(left, at, out=place, mode="clip")
+            np.add(place, right, out=at)
+        total += np.take(path, at, out=value, mode="clip")
+    return total
+
+
 def _scores(features: DataFrame, forest: Forest) -> DataFrame:
     shared = features.sparkSession.sparkContext.broadcast((forest.arrays(), float(average_path(forest.sample))))
 
     @F.pandas_udf("double")
     def score(columns: pd.DataFrame) -> pd.Series:
         trees, scale = shared.value
-        x = columns.to_numpy(dtype=np.float64)
-        total = np.zeros(len(x))
-        for feature, split, left, right, rest in trees:
-            at, depth = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
-            active = np.flatnonzero(feature[at] >= 0)
-            while len(active):
-                here = at[active]
-                goes_left = x[active, feature[here]] <= split[here]
-                at[active] = np.where(goes_left, left[here], right[here])
-                depth[active] += 1
-                active = active[feature[at[active]] >= 0]
-            total += depth + rest[at]
-        return pd.Series(np.exp2(-total / max(1, len(trees)) / scale) if scale > 0 else np.full(len(x), 0.5))
+        total = _paths(columns.to_numpy(dtype=np.float64), trees)
+        return pd.Series(np.exp2(-total / max(1, len(trees)) / scale) if scale > 0 else np.full(len(total), 0.5))
 
     # Marked nondeterministic so that no filter on the score is pushed below it and scored twice.
     return features.withColumn("_s", score.asNondeterministic()(F.struct(*FEATURES)))

@@ -88,3 +88,37 @@ def test_jobs(spark, make_flows, tmp_path):
     assert len(rows) == 61 and rows["f060"]["is_anomaly"] and rows["f060"]["anomaly_type"] == "data_exfiltration"
     r = rows["f003"]
     assert r["ensemble_score"] == pytest.approx((r["if_score"] + r["ae_score"]) / 2)
+
+
+def test_paths_match_a_plain_walk(forest):
+    """Also for values that are no numbers and values that equal a split."""
+    x = np.random.default_rng(3).normal(0.5, 0.3, (300, 13))
+    x[::7, 4], x[5, :] = np.nan, np.inf
+    x[3, int(forest.nodes["feature"].iloc[0])] = forest.nodes["split"].iloc[0]
+
+    def walk(row):
+        total = 0.0
+        for _, t in forest.nodes.groupby("tree"):
+            t, at, depth = t.set_index("node"), 0, 0
+            while t.at[at, "feature"] >= 0:
+                at = t.at[at, "left"] if row[t.at[at, "feature"]] <= t.at[at, "split"] else t.at[at, "right"]
+                depth += 1
+            total += depth + float(FO.average_path(t.at[at, "size"]))
+        return total
+
+    paths = FO._paths(x, forest.arrays())
+    some = [0, 3, 5, 7, 14, 100]
+    assert paths[some].tolist() == [walk(x[i]) for i in some]
+
+
+def test_learners_are_added_by_tasks_first(matrices, monkeypatch):
+    one = AE.fit_autoencoder(matrices[0], epochs=2, partitions=5, ids=["flow_id"])
+    monkeypatch.setattr(AE, "MEET", 2)
+    two = AE.fit_autoencoder(matrices[0], epochs=2, partitions=5, ids=["flow_id"])
+    assert np.allclose(one.weights, two.weights, rtol=0, atol=1e-12) and one.threshold == pytest.approx(two.threshold)
+
+
+def test_rows_are_not_dealt_by_capture(matrices, network):
+    """All rows of a few captures would meet in as few tasks."""
+    plan = AE.score_autoencoder(matrices[0], network, ["capture_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(capture_id" not in plan
