@@ -248,3 +248,18 @@ def test_questions(spark):
     rows = {r["capture_id"]: r["questions"] for r in E.suggested_questions(df).collect()}
     assert len(rows["all"]) == 10 and "DNS spike" in rows["all"][8]
     assert len(rows["none"]) == 4 and rows["none"][-1].startswith("Were there any signs of retransmissions")
+
+
+def test_asked_postings_weigh_as_in_the_whole_index(spark):
+    """Only asked terms are posted, with the lengths of whole documents; an asked term of another scope is none of one's own."""
+    docs = spark.createDataFrame([("a", i, f"flow number{i % 7} shared word{i} shared shared") for i in range(40)]
+                                 + [("b", i, f"other flow{i % 3} shared") for i in range(5)], "capture_id string, doc long, body string")
+    queries = spark.createDataFrame([("a", 1, "shared number3 unheard"), ("b", 1, "other number3"), ("b", 2, "shared")],
+                                    "capture_id string, q long, words string")
+    whole, _ = SP.build_index(docs, "doc", "body", scope=["capture_id"])
+    asked = SP.asked_terms(queries, "q", "words", scope=["capture_id"])
+    some, _ = SP.build_index(docs, "doc", "body", scope=["capture_id"], asked=asked, hot_rows=10)
+    read = lambda df: {(r["capture_id"], r["doc"], r["term"]): round(r["weight"], 12) for r in df.collect()}
+    wanted = {(r["capture_id"], r["term"]) for r in asked.collect()}
+    expected = {k: w for k, w in read(whole).items() if (k[0], k[2]) in wanted}
+    assert ("a", 3, "number3") in expected and read(some) == expected
