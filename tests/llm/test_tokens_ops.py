@@ -14,7 +14,9 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -264,6 +266,36 @@ def test_pruning_skips_blocks_and_stays_exact():
         assert np.allclose(scores, np.sort(full)[::-1][:5], atol=2e-6) and ids[0] == np.lexsort((np.arange(2000), -full))[0]
 
 
+def test_groups_have_rows_for_their_own_frequent_terms():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.3, 40) % 3000) for i in range(2048)]
+    (batch,) = search._shards([pa.RecordBatch.from_arrays([pa.array(range(2048)), pa.array(texts)], names=["doc_id", "text"])])
+    shard = search.Shard(batch.to_pylist()[0], 40.0)
+    # Every posting is in one group's matrix or among the others; a group has rows for the terms that are frequent there, not for all.
+    assert sum(np.count_nonzero(exact) for _, exact, _, _ in shard.groups) + len(shard.left_docs) == len(shard.docs)
+    assert all(0 < len(columns) <= shard.column.max() for columns, _, _, _ in shard.groups)
+    bags = [Counter(t.split()) for t in texts]
+    asked = [search.terms_of(texts[q])[0] for q in range(0, 2048, 64)]
+    weights = [1 + (t % 97) / 10 for t in asked]
+    found = shard.search(list(zip(asked, weights)), 7)
+    assert len(found) == 32
+    for terms, weight, (ids, scores) in zip(asked, weights, found):
+        worth = dict(zip(terms.tolist(), weight.tolist()))
+        full = np.zeros(2048)
+        for i, bag in enumerate(bags):
+            hashes = {w: xxhash.xxh64_intdigest(w) for w in bag}
+            full[i] = sum(worth.get(h - (h >> 63 << 64), 0) * bag[w] * 2.2 / (bag[w] + 1.2) for w, h in hashes.items())
+        order = np.lexsort((np.arange(2048), -np.round(full, 6)))[:7]
+        assert ids.tolist() == order.tolist() and np.allclose(scores, full[order], atol=2e-6)
+
+
+def test_a_block_of_queries_names_each_term_once():
+    rows = pa.table({"query_id": [20, 40], "terms": pa.array([[1, 5, 9], [5, 9]], pa.list_(pa.int64())), "weights": [[0.5, 2.0, 3.0], [2.0, 3.0]]})
+    block = search.Queries(rows)
+    assert block.terms.tolist() == [1, 5, 9] and block.weights.tolist() == [0.5, 2.0, 3.0]
+    assert block.counts.tolist() == [3, 2] and block.numbers.tolist() == [0, 1, 2, 1, 2]
+
+
 PAGE = """<html><head><title>x</title></head><body class="has-sidebar"><header><h1>Site</h1><a href=/>Home</a></header>
 <div id="cookie-notice">We use cookies. Accept them now please.</div><div class="layout"><div class="sidebar"><ul><li><a href=1>One</a></li></ul></div>
 <main><article><h1>Title &amp; more</h1><p>First  para with <em>in</em>line mark<br>up. It is long enough.<p>Second.<div class="ad-slot">Buy now!</div>
