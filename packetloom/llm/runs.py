@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import table
-from packetloom.llm.shared_windows import HASH_BITS, NO_ID, WINDOW, Bytes, candidates, eights, from_planes, minima, mixed, planes
+from packetloom.llm.shared_windows import (
+    NO_ID, TOGETHER_UNITS, WINDOW, Bytes, candidates, eights, from_planes, joined_windows, minima, mixed, n_ranges, planes, ranges)
 from packetloom.llm.substrings import keyed
 
 BATCH_BYTES = 2_000_000
@@ -52,16 +53,27 @@ class Grouping(Bytes):
         return mixed(mixed(eight[:n] * np.uint64(0xC2B2AE3D27D4EB4F)) + eight[8:n + 8] * np.uint64(0x165667B19E3779F9))
 
 
-def stretches(units: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, group) of each stretch of repeatable windows with one smallest gram."""
-    wanted = np.flatnonzero(np.isin(minima(units, Bytes), anchors))
+def stretches(texts: list[np.ndarray], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, first window, last window, group) of each stretch of repeatable windows with one smallest gram.
+
+    An anchor that repeats does so for every text that has it, so ``anchors`` may be those of all the texts.
+    """
+    flat, found, whole, ends = joined_windows(texts, Bytes)
+    none = np.empty(0, np.int64)
+    if not len(found) or not len(anchors):
+        return none, none, none, np.empty(0, np.uint64)
+    runs = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    wanted = np.flatnonzero(np.repeat(np.isin(found[runs], anchors), np.diff(runs, append=len(found))) & whole)
     if not len(wanted):
-        return wanted, wanted, np.empty(0, np.uint64)
-    group = minima(units, Grouping)[wanted]
+        return none, none, none, np.empty(0, np.uint64)
+    group = minima(flat, Grouping)[wanted]
     new = np.ones(len(wanted), bool)
     new[1:] = (np.diff(wanted) != 1) | (group[1:] != group[:-1])
     heads = np.flatnonzero(new)
-    return wanted[heads], wanted[np.append(heads[1:], len(wanted)) - 1], group[heads]
+    first, last = wanted[heads], wanted[np.append(heads[1:], len(wanted)) - 1]
+    number = np.searchsorted(ends, first, side="right")
+    start = ends[number] - np.array([len(t) for t in texts])[number]
+    return number, first - start, last - start, group[heads]
 
 
 _SENT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("spans", pa.list_(pa.int64())), ("blob", pa.binary())])
@@ -115,9 +127,9 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             strings = [s for s, entry in first.items() for _ in entry[2:]]
             docs, groups, keys, places = (np.array(x, t) for x, t in zip(
                 zip(*[(e[0], e[1], key, at) for e in first.values() for key, at in e[2:]]), (np.int64, np.uint64, np.int64, np.int32)))
-            at = (groups >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+            at = ranges(groups, WINDOW - Grouping.gram + 1, buckets)
             order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
+            cuts = np.searchsorted(at[order], np.arange(buckets + 1))
             parts = (groups & np.uint64(255)).astype(np.uint8)
             for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if j > i:
@@ -128,14 +140,16 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         for i in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 5000]), _SENT)], schema=_SENT)
 
-    for batch in batches:
-        for doc_id, text, anchors, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-            if (doc_id, key) in seen:
-                continue
-            seen.add((doc_id, key))
-            raw = text.as_py().encode()
-            starts, last, group = stretches(np.frombuffer(raw, np.uint8), np.asarray(anchors.values).view(np.uint64))
-            for a, b, g in zip(starts.tolist(), (last + WINDOW).tolist(), group.tolist()):
+    waiting: list[tuple] = []
+    units = 0
+
+    def take():
+        nonlocal size, units
+        if waiting:
+            anchors = np.unique(np.concatenate([w[3] for w in waiting])).view(np.uint64)
+            number, starts, last, group = stretches([np.frombuffer(w[1], np.uint8) for w in waiting], anchors)
+            for i, a, b, g in zip(number.tolist(), starts.tolist(), (last + WINDOW).tolist(), group.tolist()):
+                doc_id, raw, key, _ = waiting[i]
                 string = raw[a:b]
                 entry = first.get(string)
                 if entry is None:
@@ -148,9 +162,23 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 else:
                     match(string, entry[0], entry[2:])
                     first[string] = [doc_id, g, (key, a)]
-            if size >= GROUP_BYTES:
-                yield from flush()
-                size = 0
+        waiting.clear()
+        units = 0
+
+    for batch in batches:
+        for doc_id, text, anchors, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            if (doc_id, key) in seen:
+                continue
+            seen.add((doc_id, key))
+            raw = text.as_py().encode()
+            waiting.append((doc_id, raw, key, np.asarray(anchors.values)))
+            units += len(raw)
+            if units >= TOGETHER_UNITS:
+                take()
+                if size >= GROUP_BYTES:
+                    yield from flush()
+                    size = 0
+    take()
     yield from flush()
 
 
@@ -188,10 +216,37 @@ class RunLengthIndex:
         self.samples = owner[rows[self.heads]]  # document at each run's head
         self.context_run = np.maximum.accumulate(np.where(changed[self.heads], np.arange(len(self.heads)), 0))
 
-    def first_documents(self) -> list[np.ndarray]:
-        """Per string, for each window the first document with its 50 bytes (streamed over all windows)."""
+    def first_of_windows(self) -> np.ndarray:
+        """For each window of all strings the first document with its 50 bytes (streamed over all windows)."""
         run = np.searchsorted(self.heads, self.row_of, side="right") - 1
-        return np.split(self.samples[self.context_run[run]], np.cumsum(self.counts)[:-1])
+        return self.samples[self.context_run[run]]
+
+    def first_documents(self) -> list[np.ndarray]:
+        """:meth:`first_of_windows` per string."""
+        return np.split(self.first_of_windows(), np.cumsum(self.counts)[:-1])
+
+
+def long_spans(index: RunLengthIndex, number: np.ndarray, docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """The long matches of entries (number of the string, document, row, place), one list of spans per row."""
+    counts = index.counts[number]
+    ends = np.cumsum(counts)
+    window = np.repeat((np.cumsum(index.counts) - index.counts)[number] - ends + counts, counts) + np.arange(counts.sum())
+    gone = index.first_of_windows()[window] < np.repeat(docs, counts)
+    # Where a stretch of long matches begins and ends; entries do not run into each other.
+    first, last = gone.copy(), gone.copy()
+    inner = np.ones(len(gone), bool)
+    inner[ends - counts] = False
+    first[1:] &= ~(gone[:-1] & inner[1:])
+    last[:-1] &= ~(gone[1:] & inner[1:])
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    entry = np.searchsorted(ends, first, side="right")
+    shift = places[entry] - ends[entry] + counts[entry]
+    spans = (first + shift) << 32 | (last + shift + WINDOW)
+    order = np.lexsort((spans, keys[entry], docs[entry]))
+    docs, keys, spans = docs[entry][order], keys[entry][order], spans[order]
+    new = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]))) if len(spans) else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(spans)).astype(np.int32)), pa.array(spans))
+    return pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(keys[new]), lists], names=["doc_id", "row_key", "spans"])
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +275,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = [different.setdefault(s, len(different)) for s in some]
                 least = np.full(len(different), NO_ID)
                 np.minimum.at(least, number, docs)
-                found = RunLengthIndex(list(different), least).first_documents()
-                for n, doc_id, key, at in zip(number, docs.tolist(), keys.tolist(), places.tolist()):
-                    gone = found[n] < doc_id
-                    if gone.any():
-                        edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                        out.append((doc_id, key, [(at + a) << 32 | (at + b - 1 + WINDOW) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]))
+                yield long_spans(RunLengthIndex(list(different), least), np.array(number), docs, keys, places.astype(np.int64))
         blobs.clear()
 
     def flush():
@@ -241,12 +291,12 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((doc_id, key, np.asarray(spans.values)))
             else:
                 if bucket != current:
-                    finish()
+                    yield from finish()
                     current = bucket
                 blobs.append(blob.as_py())
             if len(out) >= 20_000:
                 yield flush()
-    finish()
+    yield from finish()
     yield flush()
 
 
@@ -272,11 +322,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def long_matches(docs: DataFrame) -> DataFrame:
     """Rows that lose bytes: the removed spans, what is kept, and the sha256 of the whole text."""
     docs = keyed(docs).where("text IS NOT NULL")
-    buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = n_ranges(docs.sparkSession)
     sent = candidates(docs, Bytes).mapInArrow(lambda b: _sent(b, buckets), SENT)
     matched = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_matched, "doc_id long, row_key long, spans array<long>")
-    spans = matched.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    met = docs.join(spans, ["doc_id", "row_key"]).select("doc_id", "text", "spans")
+    # As in ``candidates`` the texts are dealt by row_key alone, so that both joins read one exchange.
+    lists = matched.groupBy(F.col("row_key").alias("_key")).agg(F.collect_list(F.struct("doc_id", "spans")).alias("_lists"))
+    own = F.filter("_lists", lambda x: x["doc_id"] == F.col("doc_id"))
+    met = docs.join(lists, F.col("row_key") == F.col("_key")).select("doc_id", "text", F.flatten(F.transform(own, lambda x: x["spans"])).alias("spans"))
     return met.mapInArrow(_cut, CUT).where("n_removed > 0")
 
 

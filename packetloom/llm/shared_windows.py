@@ -4,7 +4,8 @@ A window's anchor is the smallest hash among its grams, so equal windows have eq
 the different anchors of its windows, about one for every dozen positions. Anchors that occur in two rows or more are
 the only ones whose windows can repeat. They are found in sorted, delta-coded lists by ranges of the hash: a task
 flags what repeats among its own rows and sends each hash on once, so a passage in a third of all rows reaches a range
-once per task. Hashes are cut to 48 bits; a clash only flags a window that is later found unique.
+once per task. Hashes are cut to 48 bits; a clash only flags a window that is later found unique. As small hashes are
+the likelier minima, ranges are cut by the odds of a minimum, so that all are about equally full.
 
 A row is known by its ``row_key``, a 64-bit hash of doc_id and text: rows without an id, and texts that share one, keep
 their anchors apart. Lists name their rows by numbers into a table of keys; number 0 marks a hash that has been flagged.
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 50
 HASH_BITS = 48
 GROUP_ANCHORS = 2_000_000
+TOGETHER_UNITS = 40_000
 #: Stands for a null doc_id: such a row is smaller than no other.
 NO_ID = (1 << 63) - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -117,6 +119,36 @@ def minima(units: np.ndarray, kind) -> np.ndarray:
     return sliding(kind.grams(units) >> np.uint64(64 - HASH_BITS), WINDOW - kind.gram + 1, np.minimum)
 
 
+def joined_windows(texts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units, anchor of each window, whether it lies in one text, ends) of texts given as units, one behind the other."""
+    flat, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    found = minima(flat, kind)
+    whole = np.ones(len(found), bool)
+    for end in ends.tolist():
+        whole[max(0, end - WINDOW + 1):end] = False  # windows that reach into the next text
+    return flat, found, whole, ends
+
+
+def anchors_of(texts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, number of the text): one for each run of windows of a text with the same anchor."""
+    _, found, whole, ends = joined_windows(texts, kind)
+    head = whole.copy()
+    head[1:] &= (found[1:] != found[:-1]) | ~whole[:-1]
+    at = np.flatnonzero(head)
+    return found[at], np.searchsorted(ends, at, side="right")
+
+
+def ranges(hashes: np.ndarray, grams: int, buckets: int) -> np.ndarray:
+    """The range of each hash that is the smallest of so many; ranges are equally likely and in order of the hash."""
+    share = -np.expm1(grams * np.log1p(-np.minimum(hashes.astype(np.float64) / 2.0 ** HASH_BITS, 1 - 2.0 ** -53)))
+    return np.minimum((share * buckets).astype(np.int64), buckets - 1)
+
+
+def n_ranges(spark: SparkSession) -> int:
+    """Ranges are equally full; each list of a range names its rows, so that many short lists would take more room."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """Bytes of equal rank side by side."""
     return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
@@ -162,39 +194,55 @@ def per_row(h: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], kind, buckets: int) -> Iterator[pa.RecordBatch]:
-    hashes, owners, waiting = [], [], 0
+    hashes, owners, keys_of, waiting = [], [], [], 0
+    texts, units = [], 0
+
+    def cut():
+        nonlocal waiting, units
+        if texts:
+            found, number = anchors_of(texts, kind)
+            hashes.append(found)
+            owners.append(number + (len(keys_of) - len(texts) + 1))
+            waiting += len(found)
+        texts.clear()
+        units = 0
 
     def flush():
         nonlocal waiting
         h = np.concatenate(hashes)
-        keys = np.array([k for k, _ in owners], np.int64)
-        numbers = np.repeat(np.arange(1, len(owners) + 1), [n for _, n in owners])
+        keys, numbers = np.array(keys_of, np.int64), np.concatenate(owners)
         order = np.argsort(h, kind="stable")
         h, numbers = h[order], numbers[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (numbers[1:] != numbers[:-1])
+        h, numbers = h[once], numbers[once]
         same = h[1:] == h[:-1]
         repeats = np.append(same, False) | np.insert(same, 0, False)
         rows = [(-1 - k % 65536, k, own, None) for k, own in per_row(h[repeats], keys[numbers[repeats] - 1])]
         first = np.insert(~same, 0, True)
         h, numbers = h[first], np.where(repeats[first], FLAGGED, numbers[first])
-        at = (h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
-        cuts = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
+        at = ranges(h, WINDOW - kind.gram + 1, buckets)
+        cuts = np.searchsorted(at, np.arange(buckets + 1))
         rows += [(b, None, None, _pack(h[i:j], numbers[i:j], keys)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
         hashes.clear()
         owners.clear()
+        keys_of.clear()
         waiting = 0
         for i in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 5000]), _SCHEMA)], schema=_SCHEMA)
 
     for batch in batches:
         for row_key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = minima(kind.units(text.as_py()), kind)
-            if len(found):
-                found = np.unique(found)
-                hashes.append(found)
-                owners.append((row_key, len(found)))
-                waiting += len(found)
-                if waiting >= GROUP_ANCHORS:
-                    yield from flush()
+            own = kind.units(text.as_py())
+            if len(own) >= WINDOW:
+                keys_of.append(row_key)
+                texts.append(own)
+                units += len(own)
+                if units >= TOGETHER_UNITS:
+                    cut()
+                    if waiting >= GROUP_ANCHORS:
+                        yield from flush()
+    cut()
     if waiting:
         yield from flush()
 
@@ -237,7 +285,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_anchors(docs: DataFrame, kind) -> DataFrame:
     """(row_key, text) -> (row_key, anchors): per row its anchors that another row has as well."""
     spark = docs.sparkSession
-    buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = n_ranges(spark)
     rows = docs.select("row_key", "text").mapInArrow(
         lambda b: _grouped(b, kind, buckets), "bucket long, row_key long, anchors array<long>, blob binary")
     met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "row_key long, anchors array<long>")

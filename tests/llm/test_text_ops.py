@@ -172,6 +172,33 @@ def test_index_runs_and_samples():
     assert [f.tolist() for f in found] == [[3] * 11, [3] * 16, [5] + [3] * 3]
 
 
+def test_ranges_of_smallest_hashes_are_equally_full():
+    rng = np.random.default_rng(0)
+    for grams in (27, 35, 43):
+        least = np.sort((rng.integers(0, 1 << 48, (grams, 20_000))).min(axis=0).astype(np.uint64))
+        at = shared_windows.ranges(least, grams, 50)
+        assert (np.diff(at) >= 0).all() and at.min() == 0 and at.max() == 49
+        assert 250 < np.bincount(at, minlength=50).min() and np.bincount(at, minlength=50).max() < 550
+    assert shared_windows.ranges(np.array([0, (1 << 48) - 1], np.uint64), 27, 50).tolist() == [0, 49]
+
+
+def test_texts_are_dealt_once_and_spans_come_one_list_a_row(spark, short_rows):
+    df = spark.createDataFrame([(r[0], r[1]) for r in short_rows], "doc_id long, text string").repartition(3)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = runs.long_matches(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in plan
+    strings, passage = [b"x" * 55 + b"y" * 60, b"q" + b"x" * 55], np.array([0, 0, 1])
+    batch = runs.long_spans(runs.RunLengthIndex(strings, np.array([3, 5])), passage, np.array([3, 9, 5]), np.array([1, 2, 4]), np.array([7, 100, 0]))
+    # Row 2 has all of the first string again, row 4 its windows of x alone; row 1 is the first with all it has.
+    assert batch.to_pylist() == [{"doc_id": 5, "row_key": 4, "spans": [1 << 32 | 56]}, {"doc_id": 9, "row_key": 2, "spans": [100 << 32 | 215]}]
+
+
 def test_empty_tables(nothing):
     assert simhash.near_duplicates(nothing).count() == substrings.factored(nothing).count() == runs.long_matches(nothing).count() == 0
     assert substrings.without_repeats(nothing).columns == nothing.columns
