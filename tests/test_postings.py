@@ -11,8 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from packetloom.operators import postings as PO
 from packetloom.operators import sparse as SP
+from packetloom.plans.catalog import QUERIES
 from packetloom.runtime import shared_dir
 
 STOPS = set(SP.english_stop_words())
@@ -151,3 +153,9 @@ def test_postings_are_neither_written_nor_moved(spark, search):
     assert out.count() > 0 and "Exchange hashpartitioning(term" not in plan and "_salt" not in plan
     made = set(Path(shared_dir(spark).removeprefix("file:")).glob("packetloom-*")) - seen
     assert 0 < sum(f.stat().st_size for p in made for f in p.rglob("*.parquet")) < 0.8 * size
+
+
+def test_the_choice_moves_no_posting(spark):
+    out = QUERIES["retrieval_choice"](spark, SMOKE_DIR)
+    plan = out._jdf.queryExecution().toString()
+    assert out.count() > 0 and "_salt" not in plan and "Exchange hashpartitioning(term" not in plan
